@@ -1,0 +1 @@
+"""Intentionally empty: every input is a closed season, so all operators are batch."""
