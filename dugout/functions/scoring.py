@@ -85,7 +85,7 @@ def add_class_probabilities(
         return out
 
     # Scores, shifted exponentials and shares in three steps, so each is computed once.
-    labels = list(names)
+    labels = list(dict.fromkeys(label for m in models.values() for label in m.labels))
     z = {
         label: pick({
             k: m.scores()[m.labels.index(label)] if label in m.labels else F.lit(None).cast("double")
@@ -105,9 +105,10 @@ def add_class_probabilities(
         e = F.coalesce(F.col(f"__e{i}"), F.lit(0.0))
         total = e if total is None else total + e
     staged = staged.withColumn("__total", F.when(F.col("__peak").isNotNull(), total))
-    staged = staged.withColumns(
-        {names[label]: F.col(f"__e{i}") / F.col("__total") for i, label in enumerate(labels)}
-    )
+    staged = staged.withColumns({
+        names[label]: F.col(f"__e{i}") / F.col("__total")
+        for i, label in enumerate(labels) if label in names
+    })
     helpers = [f"__{p}{i}" for p in "ze" for i in range(len(labels))]
     return staged.drop(*helpers, "__peak", "__total")
 
