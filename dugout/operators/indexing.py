@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dugout.functions.columns import null_safe_join, ratio, scale_suffix
@@ -28,16 +29,14 @@ def plus_stats(
     ``league`` has one row per season. ``baseline_season`` indexes every season against
     that season's league row instead of its own.
     """
-    renamed = league.select(*by, *[F.col(s).alias(f"__{s}") for s in stats])
+    base = league.select(*by, *stats)
     if baseline_season is not None:
-        seasons = [c for c in by if c == "season"]
-        rest = [c for c in by if c != "season"]
-        renamed = renamed.where(F.col("season") == baseline_season).drop(*seasons)
-        players = players.withColumn("__league", F.lit(0))
-        renamed = renamed.withColumn("__league", F.lit(0))
-        joined = null_safe_join(players, renamed, ["__league", *rest], "left").drop("__league")
-    else:
-        joined = null_safe_join(players, renamed, list(by), "left")
+        # One row per season, so a window over the league table is as small as the table.
+        alike = W.partitionBy(*[c for c in by if c != "season"])
+        at = lambda s: F.max(F.when(F.col("season") == baseline_season, F.col(s))).over(alike)
+        base = base.withColumns({s: at(s) for s in stats})
+    renamed = base.withColumnsRenamed({s: f"__{s}" for s in stats})
+    joined = null_safe_join(players, renamed, list(by), "left")
     indexed = joined.withColumns({f"{s}_plus": ratio(F.col(s), F.col(f"__{s}")) for s in stats})
     indexed = indexed.drop(*[f"__{s}" for s in stats])
     return scale_suffix(indexed, "_plus", scale)

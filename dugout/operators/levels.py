@@ -47,8 +47,8 @@ def season_level(
         .withColumn("__rank", rank)
     )
     best = played.groupBy(player, "season").agg(
-        F.min_by("level", F.when(F.col("pa") >= minimum, F.col("__rank"))).alias("__reached"),
-        F.max_by("level", F.struct(F.col("pa"), -F.col("__rank"))).alias("__most"),
+        F.min_by("level", F.when(F.col("pa") >= minimum, F.struct("__rank", "level"))).alias("__reached"),
+        F.max_by("level", F.struct(F.col("pa"), -F.col("__rank"), F.col("level"))).alias("__most"),
         F.count_if(F.col("pa") >= minimum).alias("__qualified"),
     ).select(
         player, "season",
