@@ -61,6 +61,9 @@ def coerce(value: Column, to: T.DataType) -> Column:
     text = F.nullif(value, F.lit(""))
     if isinstance(to, T.DateType):
         return F.try_to_date(text, "yyyy-MM-dd")
+    if isinstance(to, (T.IntegerType, T.LongType)):
+        # "3.0" and "3.7" are whole numbers to a lenient reader; exact text goes first.
+        return F.coalesce(text.try_cast(to), text.try_cast("double").try_cast(to))
     return text.try_cast(to)
 
 
