@@ -27,8 +27,22 @@ class LinearModel:
             tuple(tuple(w - v for w, v in zip(row, w0)) for row in self.weights),
         )
 
-    def scores(self) -> list[Column]:
-        return [linear(b, w, self.features) for b, w in zip(self.intercepts, self.weights)]
+    def probability(self, label: str) -> Column:
+        """Share of one class, as ``1 / sum(exp(score_j - score_label))``.
+
+        Score differences are linear in the features, so nothing has to be shifted for
+        stability and the expression stays flat enough to be pushed into filters. Null for
+        a class the model has not seen.
+        """
+        if label not in self.labels:
+            return F.lit(None).cast("double")
+        i = self.labels.index(label)
+        total = F.lit(1.0)
+        for j in range(len(self.labels)):
+            if j != i:
+                gap = [w - v for w, v in zip(self.weights[j], self.weights[i])]
+                total = total + F.exp(linear(self.intercepts[j] - self.intercepts[i], gap, self.features))
+        return F.lit(1.0) / total
 
     def coefficients(self, spark: SparkSession) -> DataFrame:
         """(label, term, coefficient); a few rows, bounded by classes x features."""
@@ -75,42 +89,16 @@ def add_class_probabilities(
     for f in features:
         usable = usable & F.col(f).isNotNull()
 
-    def pick(values: Mapping[object, Column]) -> Column:
-        if set(values) == {None}:
-            return F.when(usable, values[None])
+    def share(label: str) -> Column:
+        if set(models) == {None}:
+            return F.when(usable, models[None].probability(label))
         out = None
-        for key, value in values.items():
+        for key, m in models.items():
             hit = usable & (F.col(model_key) == F.lit(key))
-            out = F.when(hit, value) if out is None else out.when(hit, value)
+            out = F.when(hit, m.probability(label)) if out is None else out.when(hit, m.probability(label))
         return out
 
-    # Scores, shifted exponentials and shares in three steps, so each is computed once.
-    labels = list(dict.fromkeys(label for m in models.values() for label in m.labels))
-    z = {
-        label: pick({
-            k: m.scores()[m.labels.index(label)] if label in m.labels else F.lit(None).cast("double")
-            for k, m in models.items()
-        })
-        for label in labels
-    }
-    staged = df.withColumns({f"__z{i}": z[label] for i, label in enumerate(labels)})
-    z_cols = [F.col(f"__z{i}") for i in range(len(labels))]
-    peak = F.greatest(*z_cols) if len(z_cols) > 1 else z_cols[0]
-    staged = staged.withColumn("__peak", peak)
-    staged = staged.withColumns(
-        {f"__e{i}": F.exp(z_cols[i] - F.col("__peak")) for i in range(len(labels))}
-    )
-    total = None
-    for i in range(len(labels)):
-        e = F.coalesce(F.col(f"__e{i}"), F.lit(0.0))
-        total = e if total is None else total + e
-    staged = staged.withColumn("__total", F.when(F.col("__peak").isNotNull(), total))
-    staged = staged.withColumns({
-        names[label]: F.col(f"__e{i}") / F.col("__total")
-        for i, label in enumerate(labels) if label in names
-    })
-    helpers = [f"__{p}{i}" for p in "ze" for i in range(len(labels))]
-    return staged.drop(*helpers, "__peak", "__total")
+    return df.withColumns({column: share(label) for label, column in names.items()})
 
 
 def predicted_class(names: Mapping[str, str]) -> Column:

@@ -126,7 +126,9 @@ def read_csv_tree(spark: SparkSession, root: str, schema: T.StructType | None =
         whole_tree = len(layouts) == 1 and not unusable
         text = _read_text(spark, [root] if whole_tree else paths, _names(header))
         rows.append(conform(text.drop(_CORRUPT, "__file"), schema))
-        rejected.append(text.where(F.col(_CORRUPT).isNotNull()).select(
+        # The reader refuses to return the raw record alone, so one parsed field is looked at too.
+        ragged = F.col(_CORRUPT).isNotNull() & (F.length(F.concat_ws("", F.col(text.columns[0]))) >= 0)
+        rejected.append(text.where(ragged).select(
             F.lit("ragged row").alias("reason"), F.col("__file").alias("file_path"), F.col(_CORRUPT).alias("record")
         ))
     if unusable:
