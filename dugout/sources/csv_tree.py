@@ -75,8 +75,12 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     ])
 
 
-def _read_text(spark: SparkSession, paths: list[str], names: list[str]) -> DataFrame:
-    """Files of one header as text columns, with the raw record where a row is ragged."""
+def _read_text(spark: SparkSession, paths: list[str], names: list[str], ragged: bool = False) -> DataFrame:
+    """Files of one header as text columns.
+
+    ``ragged`` keeps only rows with too few or too many fields and adds the raw record. It
+    parses every column; the plain read parses just the ones that are used.
+    """
     positional = T.StructType(
         [T.StructField(f"c{i}", T.StringType()) for i in range(len(names))]
         + [T.StructField(_CORRUPT, T.StringType())]
@@ -85,13 +89,19 @@ def _read_text(spark: SparkSession, paths: list[str], names: list[str]) -> DataF
         spark.read.schema(positional).option("header", True).option("enforceSchema", True)
         .option("nullValue", NULL_TEXT).option("mode", "PERMISSIVE").option("ignoreCorruptFiles", True)
         .option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
-        .option("columnNameOfCorruptRecord", _CORRUPT).csv(paths)
+        .option("columnNameOfCorruptRecord", _CORRUPT).option("columnPruning", not ragged).csv(paths)
     )
     first = {}
     for i, name in enumerate(names):
         first.setdefault(name, f"c{i}")
-    return df.select(
-        *[F.col(c).alias(n) for n, c in first.items()], _CORRUPT, F.col("_metadata.file_path").alias("__file")
+    if not ragged:
+        return df.select(*[F.col(c).alias(n) for n, c in first.items()])
+    # Written so that it is not pushed into the reader, which fills the record column late
+    # and refuses to return that column alone.
+    is_ragged = (F.coalesce(F.length(_CORRUPT), F.lit(0)) > 0) & (F.length(F.concat_ws("", "c0")) >= 0)
+    return df.where(is_ragged).select(
+        F.lit("ragged row").alias("reason"), F.col("_metadata.file_path").alias("file_path"),
+        F.col(_CORRUPT).alias("record"),
     )
 
 
@@ -124,13 +134,9 @@ def read_csv_tree(spark: SparkSession, root: str, schema: T.StructType | None =
     for header, paths in layouts.items():
         # With a single layout the folder itself is the input; no path list is needed.
         whole_tree = len(layouts) == 1 and not unusable
-        text = _read_text(spark, [root] if whole_tree else paths, _names(header))
-        rows.append(conform(text.drop(_CORRUPT, "__file"), schema))
-        # The reader refuses to return the raw record alone, so one parsed field is looked at too.
-        ragged = F.col(_CORRUPT).isNotNull() & (F.length(F.concat_ws("", F.col(text.columns[0]))) >= 0)
-        rejected.append(text.where(ragged).select(
-            F.lit("ragged row").alias("reason"), F.col("__file").alias("file_path"), F.col(_CORRUPT).alias("record")
-        ))
+        source = [root] if whole_tree else paths
+        rows.append(conform(_read_text(spark, source, _names(header)), schema))
+        rejected.append(_read_text(spark, source, _names(header), ragged=True))
     if unusable:
         rejected.append(spark.read.text(unusable).select(
             F.lit("unknown layout").alias("reason"), F.col("_metadata.file_path").alias("file_path"),
