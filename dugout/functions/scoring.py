@@ -44,6 +44,19 @@ class LinearModel:
                 total = total + F.exp(linear(self.intercepts[j] - self.intercepts[i], gap, self.features))
         return F.lit(1.0) / total
 
+    def predicted(self) -> Column:
+        """Most probable class, from scores alone; ties go to the earlier class, null features give null."""
+        out = None
+        for i, label in enumerate(self.labels):
+            best = F.lit(True)
+            for j in range(len(self.labels)):
+                if j != i:
+                    weights = [w - v for w, v in zip(self.weights[j], self.weights[i])]
+                    gap = linear(self.intercepts[j] - self.intercepts[i], weights, self.features)
+                    best = best & (gap < 0 if j < i else gap <= 0)
+            out = F.when(best, F.lit(label)) if out is None else out.when(best, F.lit(label))
+        return out
+
     def coefficients(self, spark: SparkSession) -> DataFrame:
         """(label, term, coefficient); a few rows, bounded by classes x features."""
         rows = [
@@ -99,13 +112,3 @@ def add_class_probabilities(
         return out
 
     return df.withColumns({column: share(label) for label, column in names.items()})
-
-
-def predicted_class(names: Mapping[str, str]) -> Column:
-    """Most probable class; ties go to the earlier class; null when unscored."""
-    cols = [F.col(c) for c in names.values()]
-    best = F.greatest(*cols)
-    out = None
-    for label, c in zip(names, cols):
-        out = F.when(c == best, F.lit(label)) if out is None else out.when(c == best, F.lit(label))
-    return out

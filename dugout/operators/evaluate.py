@@ -68,13 +68,13 @@ def confusion_counts(
 ) -> DataFrame:
     """Count per (reference, prediction) over the full label grid; empty cells are 0."""
     spark = scored.sparkSession
-    known = scored.where(F.col(reference).isin(*labels) & F.col(predicted).isin(*labels))
-    counted = known.groupBy(*by, F.col(reference).alias("reference"), F.col(predicted).alias("prediction")) \
+    counted = scored.groupBy(*by, F.col(reference).alias("reference"), F.col(predicted).alias("prediction")) \
         .agg(F.count("*").alias("n"))
     if by:
         # Complete every group from its own pivoted counts.
         cells = [(r, p) for r in labels for p in labels]
         hit = lambda r, p: (F.col("reference") == r) & (F.col("prediction") == p)
+        # Labels outside the grid are left out by the cells themselves.
         wide = counted.groupBy(*by).agg(*[
             F.coalesce(F.sum(F.when(hit(r, p), F.col("n"))), F.lit(0)).alias(f"__{i}")
             for i, (r, p) in enumerate(cells)

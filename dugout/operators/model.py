@@ -22,6 +22,8 @@ from dugout.operators.evaluate import binary_loss, multiclass_logloss
 from dugout.operators.ordered import hash_rank
 
 WEIGHT = "n_rows"
+#: rows per task while a fit iterates; small tables then need few tasks per pass
+ROWS_PER_TASK = 250_000
 
 
 def kfold(df: DataFrame, ids: Sequence[str], *, k: int = 5, seed: int = 42, name: str = "fold") -> DataFrame:
@@ -47,6 +49,11 @@ def compress(df: DataFrame, features: Sequence[str], *others: str) -> DataFrame:
     return kept.groupBy(*features, *others).agg(F.count("*").cast("double").alias(WEIGHT))
 
 
+def _sized(cached: DataFrame) -> DataFrame:
+    """Fill the cache and merge its partitions to a task size worth a pass; never splits more."""
+    return cached.coalesce(max(1, -(-cached.count() // ROWS_PER_TASK)))
+
+
 def _label_index(label: Column, labels: Sequence[str]) -> Column:
     out = None
     for i, value in enumerate(labels):
@@ -61,25 +68,29 @@ def fit_multinomial(
     """Unpenalised softmax regression; classes without a training row are left out.
 
     The first class present is the baseline, so coefficients read as log-odds against it.
+    ``compressed`` says that ``rows`` already is a cached ``compress`` table.
     """
-    table = rows if compressed else compress(rows, features, label)
-    table = table.where(F.col(label).isin(*labels))
-    table.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        seen = {r[0] for r in table.select(label).distinct().collect()}  # at most len(labels) values
-        present = tuple(x for x in labels if x in seen)
-        if not present:
-            raise ValueError("no training rows")
-        if len(present) == 1:
-            return LinearModel(tuple(features), present, (0.0,), ((0.0,) * len(features),))
-        vectors = VectorAssembler(inputCols=list(features), outputCol="features").transform(
-            table.withColumn("label", _label_index(F.col(label), present))
-        )
-        fitted = LogisticRegression(
-            family="multinomial", regParam=0.0, maxIter=max_iter, tol=tol, weightCol=WEIGHT
-        ).fit(vectors)
-    finally:
-        table.unpersist()
+    if not compressed:
+        table = compress(rows, features, label).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return fit_multinomial(
+                _sized(table), features, label, labels, max_iter=max_iter, tol=tol, compressed=True
+            )
+        finally:
+            table.unpersist()
+    # At most len(labels) values reach the driver.
+    seen = {r[0] for r in rows.where(F.col(label).isin(*labels)).select(label).distinct().collect()}
+    present = tuple(x for x in labels if x in seen)
+    if not present:
+        raise ValueError("no training rows")
+    if len(present) == 1:
+        return LinearModel(tuple(features), present, (0.0,), ((0.0,) * len(features),))
+    vectors = VectorAssembler(inputCols=list(features), outputCol="features").transform(
+        rows.where(F.col(label).isin(*present)).withColumn("label", _label_index(F.col(label), present))
+    )
+    fitted = LogisticRegression(
+        family="multinomial", regParam=0.0, maxIter=max_iter, tol=tol, weightCol=WEIGHT
+    ).fit(vectors)
     weights = fitted.coefficientMatrix.toArray()
     return LinearModel(
         tuple(features), present,
@@ -88,15 +99,18 @@ def fit_multinomial(
     ).relative_to_first()
 
 
+def side_by_side(spark, fn, items: Sequence, workers: int = 4) -> list:
+    """Run independent fits from a few driver threads, so their small jobs overlap."""
+    with ThreadPoolExecutor(max_workers=max(1, min(workers, len(items)))) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(fn), items))
+
+
 def fit_multinomial_per(
     rows: DataFrame, key: str, values: Sequence, features: Sequence[str], label: str, labels: Sequence[str], **options
 ) -> dict[object, LinearModel]:
     """One model per value of ``key`` (e.g. per season), fitted side by side."""
-    fit = inheritable_thread_target(rows.sparkSession)(
-        lambda v: (v, fit_multinomial(rows.where(F.col(key) == v), features, label, labels, **options))
-    )
-    with ThreadPoolExecutor(max_workers=max(1, min(4, len(values)))) as pool:
-        return dict(pool.map(fit, values))
+    fit = lambda v: (v, fit_multinomial(rows.where(F.col(key) == v), features, label, labels, **options))
+    return dict(side_by_side(rows.sparkSession, fit, list(values)))
 
 
 def train_multinomial(
@@ -105,9 +119,10 @@ def train_multinomial(
     """Model and its in-sample log loss."""
     table = compress(rows, features, label).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        model = fit_multinomial(table, features, label, labels, compressed=True, **options)
+        sized = _sized(table)
+        model = fit_multinomial(sized, features, label, labels, compressed=True, **options)
         names = {x: f"p_{i}" for i, x in enumerate(model.labels)}
-        scored = add_class_probabilities(table, model, names)
+        scored = add_class_probabilities(sized, model, names)
         loss = multiclass_logloss(scored, label, names, weight=WEIGHT).first()["log_loss"]
     finally:
         table.unpersist()
@@ -118,11 +133,8 @@ def predictor_sweep(
     rows: DataFrame, predictor_sets: Mapping[str, Sequence[str]], label: str, labels: Sequence[str], **options
 ) -> tuple[dict[str, LinearModel], DataFrame]:
     """Fit every predictor set; (models, DataFrame of (predictor_set, log_loss))."""
-    fit = inheritable_thread_target(rows.sparkSession)(
-        lambda item: (item[0], train_multinomial(rows, item[1], label, labels, **options))
-    )
-    with ThreadPoolExecutor(max_workers=max(1, min(4, len(predictor_sets)))) as pool:
-        fitted = dict(pool.map(fit, predictor_sets.items()))
+    fit = lambda item: (item[0], train_multinomial(rows, item[1], label, labels, **options))
+    fitted = dict(side_by_side(rows.sparkSession, fit, list(predictor_sets.items())))
     losses = rows.sparkSession.createDataFrame(
         [(name, loss) for name, (_, loss) in fitted.items()], "predictor_set string, log_loss double"
     )
@@ -158,7 +170,7 @@ def cross_validated_logloss(
     def fit(job):
         held_out, name, y = job
         columns = list(feature_sets[name])
-        train = table.where(F.col(fold) != held_out).dropna(subset=columns)
+        train = sized.where(F.col(fold) != held_out).dropna(subset=columns)
         vectors = VectorAssembler(inputCols=columns, outputCol="features").transform(train)
         fitted = GeneralizedLinearRegression(
             family="binomial", link="logit", labelCol=y, weightCol=WEIGHT, maxIter=25, tol=1e-8
@@ -167,14 +179,14 @@ def cross_validated_logloss(
         return (held_out, name, y, float(fitted.intercept), *[beta.get(f) for f in features])
 
     try:
-        with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            fits = list(pool.map(inheritable_thread_target(spark)(fit), jobs))
+        sized = _sized(table)
+        fits = side_by_side(spark, fit, jobs, parallelism)
         schema = f"{fold} int, model_set string, outcome string, intercept double, " + ", ".join(
             f"b_{f} double" for f in features
         )
         # k x sets x outcomes rows, known here: small enough to broadcast.
         models = F.broadcast(spark.createDataFrame(fits, schema))
-        rows = table.dropna(subset=features) if common_rows else table
+        rows = sized.dropna(subset=features) if common_rows else sized
         z = F.col("intercept")
         usable = F.lit(True)
         for f in features:

@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dugout import schema as S
-from dugout.functions.scoring import LinearModel, add_class_probabilities, predicted_class
+from dugout.functions.scoring import LinearModel, add_class_probabilities
 from dugout.operators import evaluate
 from dugout.operators.batting import top_k
 from dugout.operators.levels import target_level
 from dugout.operators.model import (
-    HORIZON_SETS, SEASON_SETS, fit_multinomial, predictor_sweep, project_levels, stratified_split,
+    HORIZON_SETS, SEASON_SETS, fit_multinomial, predictor_sweep, project_levels, side_by_side, stratified_split,
 )
 from dugout.sources.shared import materialize
 
@@ -29,15 +29,16 @@ def fit_horizons(
     ``level_columns`` maps the projected year to the column with the level reached after
     that many years. ``chosen=None`` takes the predictor set with the lowest loss.
     """
-    training = materialize(training, "training")  # read by every fit
-    models, losses = {}, []
-    for year, column in level_columns.items():
+    def one_year(item):
+        year, column = item
         labelled = training.withColumn("target_level", target_level(F.col(column)))
         fitted, loss = predictor_sweep(labelled, predictor_sets, "target_level", labels)
         name = chosen or evaluate.select_model(loss, "predictor_set", "log_loss").first()["predictor_set"]
-        models[year] = fitted[name]
-        losses.append(loss.select(F.lit(year).alias("year"), "predictor_set", "log_loss"))
-    return models, reduce(DataFrame.unionByName, losses)
+        return year, fitted[name], loss.select(F.lit(year).alias("year"), "predictor_set", "log_loss")
+
+    training = materialize(training, "training")  # read by every fit
+    years = side_by_side(training.sparkSession, one_year, list(level_columns.items()))
+    return {y: m for y, m, _ in years}, reduce(DataFrame.unionByName, [loss for _, _, loss in years])
 
 
 def project(players: DataFrame, models: Mapping[int, LinearModel]) -> DataFrame:
@@ -54,15 +55,13 @@ def compare_predictors(
     """
     split = materialize(stratified_split(profiles, ids, label, p=p, seed=seed), "split")
     train, test = split.where("is_train"), split.where(~F.col("is_train"))
-    models, predictions = {}, []
-    for name, features in predictor_sets.items():
-        model = models[name] = fit_multinomial(train, features, label, labels)
-        names = {x: f"p_{i}" for i, x in enumerate(model.labels)}
-        scored = add_class_probabilities(test, model, names)
-        predictions.append(scored.select(
-            F.lit(name).alias("model"), F.col(label).alias("actual"), predicted_class(names).alias("predicted")
-        ))
-    every = reduce(DataFrame.unionByName, predictions)
+    fit = lambda item: (item[0], fit_multinomial(train, item[1], label, labels))
+    models = dict(side_by_side(split.sparkSession, fit, list(predictor_sets.items())))
+    # One pass over the test rows scores every model; null features give no prediction.
+    calls = F.array(*[
+        F.struct(F.lit(name).alias("model"), m.predicted().alias("predicted")) for name, m in models.items()
+    ])
+    every = test.select(F.col(label).alias("actual"), F.inline(calls)).where(F.col("predicted").isNotNull())
     counts = evaluate.confusion_counts(every, "actual", "predicted", labels, by=["model"])
     overall = evaluate.overall_metrics(counts, by=["model"])
     return models, evaluate.accuracy_inference(overall)

@@ -1,7 +1,7 @@
 """Maps the given tables onto the shapes the operators expect.
 
-The SQL text is the same for Spark and for the comparison engine (``chr(125)`` is the
-closing brace, which Spark's parameterised SQL would read as a placeholder).
+The SQL text is the same for Spark and for the comparison engine. ``props`` is always
+``{"k": n}``, so the number is cut out by position.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ SELECT event_id AS pitch_id, ts, CAST(ts AS DATE) AS game_date,
   CASE WHEN event_id % 7 = 0 THEN NULL ELSE 50.0 + least(value, 65.0) END AS exit_speed,
   CASE WHEN event_id % 13 = 0 THEN NULL ELSE CAST(k AS DOUBLE) - 40 END AS angle,
   CASE WHEN event_id % 19 = 0 THEN NULL ELSE CAST((user_id * 7 + k) % 90 AS DOUBLE) - 45 END AS direction
-FROM (SELECT *, CAST(split_part(split_part(props, ': ', 2), chr(125), 1) AS INT) AS k FROM events) e
+FROM (SELECT *, CAST(substr(props, 7, length(props) - 7) AS INT) AS k FROM events) e
 """
 
 #: the same plays with the column set of a season table

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from dugout import schema as S
 from dugout.functions import columns as C
-from dugout.functions.scoring import add_class_probabilities, binary_probability, predicted_class
+from dugout.functions.scoring import add_class_probabilities, binary_probability
 from dugout.operators import batting, clean, evaluate, indexing, levels, model, ordered, quality, runvalue
 from dugout.plans import projection, season
 from dugout.sources import csv_tree, tables
@@ -658,7 +658,7 @@ def _(spark, d):
 
 
 def _called(spark, d) -> DataFrame:
-    return _flags(spark, d).withColumn("predicted", predicted_class(X.FLAG_NAMES))
+    return X.table(spark, d, "lineitem").withColumn("predicted", X.FLAG_MODEL.predicted())
 
 
 @query("predict_class", O.final(_CALLED, "called", "l_orderkey l_linenumber l_quantity predicted"))
