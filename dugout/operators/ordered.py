@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dugout.functions.columns import key_of, ratio, sum_or_zero, unpack_key
+from dugout.sources.shared import materialize
 
 _BEFORE = (W.unboundedPreceding, -1)
 
@@ -140,8 +141,11 @@ def hash_rank(
 
 
 def value_counts(df: DataFrame, value: str, *, by: Sequence[str], bin_width: float) -> DataFrame:
-    """(key, bin, value, n): repeated values collapse before anything is shuffled or sorted."""
-    return (
+    """(key, bin, value, n): repeated values collapse before anything is shuffled or sorted.
+
+    Every later step reads this table, so it is written once to the shared folder.
+    """
+    counts = (
         df.where(F.col(value).isNotNull())
         .select(
             key_of(*by).alias("key"),
@@ -150,6 +154,7 @@ def value_counts(df: DataFrame, value: str, *, by: Sequence[str], bin_width: flo
         )
         .groupBy("key", "bin", "value").agg(F.count("*").alias("n"))
     )
+    return materialize(counts, "values")
 
 
 def _ranked_bins(counts: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,13 +59,24 @@ def top_half_quality(
 
 
 def binned_trend(
-    df: DataFrame, x: str, y: str, *, low: float, high: float, bins: int, by: Sequence[str] = ()
+    df: DataFrame, xs: Mapping[str, tuple[float, float]], ys: Sequence[str], *, bins: int, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Mean and spread of ``y`` along ``x`` in equal bins; 0 and ``bins + 1`` collect the tails."""
-    kept = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    return kept.groupBy(*by, _bucket(x, low, high, bins).alias("bin")).agg(
-        F.count("*").alias("n"), F.avg(x).alias("mean_x"),
-        F.avg(y).alias("mean_y"), F.stddev_samp(y).alias("sd_y"),
+    """(by, x, y, bin, n, mean_x, mean_y, sd_y): mean and spread of each ``y`` along each ``x``.
+
+    ``xs`` maps a column to its range, cut into equal bins; bins 0 and ``bins + 1`` collect
+    the tails. All pairs are summarised in one pass.
+    """
+    pairs = F.array(*[
+        F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), _bucket(x, low, high, bins).alias("bin"),
+                 F.col(x).alias("x_value"), F.col(y).alias("y_value"))
+        for x, (low, high) in xs.items() for y in ys
+    ])
+    points = df.select(*by, F.inline(pairs))
+    return points.where(F.col("x_value").isNotNull() & F.col("y_value").isNotNull()).groupBy(
+        *by, "x", "y", "bin"
+    ).agg(
+        F.count("*").alias("n"), F.avg("x_value").alias("mean_x"),
+        F.avg("y_value").alias("mean_y"), F.stddev_samp("y_value").alias("sd_y"),
     )
 
 

@@ -64,7 +64,10 @@ def coerce(value: Column, to: T.DataType) -> Column:
     if isinstance(to, (T.IntegerType, T.LongType)):
         # "3.0" and "3.7" are whole numbers to a lenient reader; exact text goes first.
         return F.coalesce(text.try_cast(to), text.try_cast("double").try_cast(to))
-    return text.try_cast(to)
+    parsed = text.try_cast(to)
+    if isinstance(to, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(parsed), parsed)  # "NaN" is a missing value
+    return parsed
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:

@@ -448,12 +448,13 @@ def _(spark, d):
 
 # --- contact quality ----------------------------------------------------------------
 
-_QUALITY = f"""{O.PLAYS}, {O.QUALIFIED}, quality AS (
+_QUALITY_ONLY = """quality AS (
   SELECT p.season, p.batter, count(*) FILTER (WHERE exit_speed >= 95) AS total_hard_hits,
     count(*) AS total_batted_balls, avg(exit_speed) AS avg_exit_speed, avg(angle) AS avg_angle,
     CAST(count(*) FILTER (WHERE exit_speed >= 95) AS DOUBLE) / count(*) AS hard_hit_percentage
   FROM plays p JOIN qualified q ON q.season = p.season AND q.batter = p.batter
   WHERE exit_speed IS NOT NULL GROUP BY p.season, p.batter)"""
+_QUALITY = f"{O.PLAYS}, {O.QUALIFIED}, {_QUALITY_ONLY}"
 
 
 @query("hit_quality", O.final(_QUALITY, "quality", "season batter total_hard_hits total_batted_balls",
@@ -475,7 +476,7 @@ def _(spark, d):
     return quality.top_half_quality(X.plays(spark, d), minimum=X.MINIMUM)
 
 
-@query("profile_enrich", O.final(f"""{O.PLAYERS}, {_QUALITY.split(', quality AS (', 1)[0].replace(O.PLAYS + ', ' + O.QUALIFIED, '') or 'u AS (SELECT 1)'}, quality AS ({_QUALITY.split(', quality AS (', 1)[1]},
+@query("profile_enrich", O.final(f"""{O.PLAYERS}, {_QUALITY_ONLY},
 enriched AS (SELECT p.season, p.batter, p.woba, q.hard_hit_percentage, q.avg_exit_speed, q.avg_angle
   FROM players p LEFT JOIN quality q USING (season, batter))""",
     "enriched", "season batter", "woba hard_hit_percentage avg_exit_speed avg_angle"))
@@ -491,19 +492,15 @@ _TREND = [("exit_speed", 50, 115), ("angle", -40, 60)]
 
 @query("binned_trend", O.final(f"""{O.SCORED}, trend AS (
   """ + "\n  UNION ALL ".join(
-    f"""SELECT season, '{x}' AS x, CASE WHEN {x} < {lo} THEN 0 WHEN {x} >= {hi} THEN 21
+    f"""SELECT season, '{x}' AS x, '{y}' AS y, CASE WHEN {x} < {lo} THEN 0 WHEN {x} >= {hi} THEN 21
       ELSE CAST(floor(20 * (({x} - {lo}) / {float(hi - lo)})) AS BIGINT) + 1 END AS bin, count(*) AS n,
       avg({x}) AS mean_x, avg({y}) AS mean_y, stddev_samp({y}) AS sd_y
-    FROM scored WHERE {x} IS NOT NULL AND {y} IS NOT NULL GROUP BY 1, 2, 3""".replace("AS x,", f"AS x, '{y}' AS y,").replace("1, 2, 3", "1, 2, 3, 4")
+    FROM scored WHERE {x} IS NOT NULL AND {y} IS NOT NULL GROUP BY 1, 2, 3, 4"""
     for x, lo, hi in _TREND for y in ("xba", "xslg")) + ")",
     "trend", "season x y bin n", "mean_x mean_y sd_y"))
 def _(spark, d):
-    scored = _scored(spark, d)
-    return tables.union_sources([
-        quality.binned_trend(scored, x, y, low=lo, high=hi, bins=20, by=["season"])
-        .select("season", F.lit(x).alias("x"), F.lit(y).alias("y"), "bin", "n", "mean_x", "mean_y", "sd_y")
-        for x, lo, hi in _TREND for y in ("xba", "xslg")
-    ])
+    xs = {x: (lo, hi) for x, lo, hi in _TREND}
+    return quality.binned_trend(_scored(spark, d), xs, ("xba", "xslg"), bins=20, by=["season"])
 
 
 @query("binned_scatter", f"""WITH {O.SCORED}
