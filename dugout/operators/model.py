@@ -7,9 +7,8 @@ is the same, repeated rows cost nothing, and the table is cached for the passes
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
@@ -20,6 +19,7 @@ from dugout.functions.scoring import LinearModel, add_class_probabilities, logis
 from dugout.operators.clean import hit_indicators
 from dugout.operators.evaluate import binary_loss, multiclass_logloss
 from dugout.operators.ordered import hash_rank
+from dugout.session import side_by_side
 
 WEIGHT = "n_rows"
 #: rows per task while a fit iterates; small tables then need few tasks per pass
@@ -99,12 +99,6 @@ def fit_multinomial(
     ).relative_to_first()
 
 
-def side_by_side(spark, fn, items: Sequence, workers: int = 4) -> list:
-    """Run independent fits from a few driver threads, so their small jobs overlap."""
-    with ThreadPoolExecutor(max_workers=max(1, min(workers, len(items)))) as pool:
-        return list(pool.map(inheritable_thread_target(spark)(fn), items))
-
-
 def fit_multinomial_per(
     rows: DataFrame, key: str, values: Sequence, features: Sequence[str], label: str, labels: Sequence[str], **options
 ) -> dict[object, LinearModel]:

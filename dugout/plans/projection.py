@@ -14,8 +14,9 @@ from dugout.operators import evaluate
 from dugout.operators.batting import top_k
 from dugout.operators.levels import target_level
 from dugout.operators.model import (
-    HORIZON_SETS, SEASON_SETS, fit_multinomial, predictor_sweep, project_levels, side_by_side, stratified_split,
+    HORIZON_SETS, SEASON_SETS, fit_multinomial, predictor_sweep, project_levels, stratified_split,
 )
+from dugout.session import side_by_side
 from dugout.sources.shared import materialize
 
 

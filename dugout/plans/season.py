@@ -12,6 +12,7 @@ from dugout.functions.scoring import LinearModel, add_class_probabilities
 from dugout.operators import batting, indexing, quality, runvalue
 from dugout.operators.clean import attach, batted_balls, is_batted_ball
 from dugout.operators.model import fit_multinomial_per
+from dugout.session import side_by_side
 from dugout.sources.shared import materialize
 
 CONTACT = ("exit_speed", "angle")
@@ -58,10 +59,10 @@ def season_statistics(
     The batter totals and the out-state cells feed several results each, so both are
     written to the shared folder once; everything after them is small.
     """
-    totals = materialize(batting.batter_totals(scored), "totals")
-    cells = materialize(
-        runvalue.state_cells(scored, half_inning=half_inning, order=order, chunk=chunk), "cells"
-    )
+    totals, cells = side_by_side(scored.sparkSession, materialize, [
+        batting.batter_totals(scored),
+        runvalue.state_cells(scored, half_inning=half_inning, order=order, chunk=chunk),
+    ])
     values = runvalue.run_values(cells)
     weights = runvalue.linear_weights(values, reference_season=reference_season)
     row = runvalue.weights_row(weights)

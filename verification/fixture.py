@@ -24,12 +24,12 @@ def chunk():
 
 PLAYS = """
 SELECT event_id AS pitch_id, ts, CAST(ts AS DATE) AS game_date,
-  CAST(FLOOR(user_id / 15.0) AS INT) AS game_no,
+  CAST(FLOOR(user_id / 15) AS INT) AS game_no,
   CASE WHEN day(ts) <= 15 THEN 2023 ELSE 2024 END AS season,
-  CAST(FLOOR(hour(ts) / 8.0) AS INT) + 1 AS inning,
+  CAST(FLOOR(hour(ts) / 8) AS INT) + 1 AS inning,
   CASE WHEN user_id % 2 = 0 THEN 'Top' ELSE 'Bottom' END AS top_bottom,
   user_id AS batter,
-  CASE WHEN event_id % 29 = 0 THEN NULL ELSE CAST(FLOOR(event_id / 3.0) AS INT) % 3 END AS outs,
+  CASE WHEN event_id % 29 = 0 THEN NULL ELSE CAST(FLOOR(event_id / 3) AS INT) % 3 END AS outs,
   CASE WHEN event_type = 'error' THEN CASE WHEN event_id % 17 = 0 THEN 2 ELSE 1 END ELSE 0 END AS outs_on_play,
   CASE WHEN event_id % 4 = 0 THEN NULL
        WHEN event_type = 'error'  THEN CASE WHEN k % 6 = 0 THEN 'FieldersChoice' WHEN k % 6 = 1 THEN 'Error' ELSE 'Out' END
