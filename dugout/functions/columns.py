@@ -57,9 +57,13 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str) -
     return joined if how == "left_semi" else joined.drop(*[f"__r_{c}" for c in on])
 
 
+#: word starts inside a name: ``ExitSpeed``, ``GameID``, ``PAofInning``; not ``wOBA`` or ``xSLG``
+_WORD_START = re.compile(r"(?<=[a-z0-9])(?=[A-Z][a-z])|(?<=[a-z])(?=ID$)|(?<=[A-Z])(?=of[A-Z])")
+
+
 def snake_case(name: str) -> str:
-    """``Top/Bottom`` -> ``top_bottom``, ``ExitSpeed`` -> ``exit_speed``, ``2024.Level`` -> ``level_2024``."""
-    words = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", name.strip())
+    """``Top/Bottom`` -> ``top_bottom``, ``xWOBA_plus`` -> ``xwoba_plus``, ``2024.Level`` -> ``level_2024``."""
+    words = _WORD_START.sub("_", name.strip())
     words = re.sub(r"[^0-9A-Za-z]+", "_", words).strip("_").lower()
     leading_year = re.fullmatch(r"(\d{4})_(.+)", words)
     return f"{leading_year[2]}_{leading_year[1]}" if leading_year else words

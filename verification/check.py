@@ -16,7 +16,8 @@ from verification.queries import ORACLES, QUERIES
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for f in sorted(Path(sf_dir).glob("*.parquet")):
-        con.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM read_parquet('{f}')")
+        files = f"{f}/*.parquet" if f.is_dir() else str(f)
+        con.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM read_parquet('{files}')")
     return con
 
 
