@@ -7,6 +7,7 @@ is the same, repeated rows cost nothing, and the table is cached for the passes
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
@@ -135,6 +136,17 @@ def predictor_sweep(
     return {name: model for name, (model, _) in fitted.items()}, losses
 
 
+def fit_binary(
+    table: DataFrame, features: Sequence[str], label: str, *, max_iter: int = 25, tol: float = 1e-8
+) -> tuple[float, tuple[float, ...]]:
+    """Intercept and weights of a logistic regression on a ``compress``-like table."""
+    vectors = VectorAssembler(inputCols=list(features), outputCol="features").transform(table)
+    fitted = GeneralizedLinearRegression(
+        family="binomial", link="logit", labelCol=label, weightCol=WEIGHT, maxIter=max_iter, tol=tol
+    ).fit(vectors)
+    return float(fitted.intercept), tuple(float(v) for v in fitted.coefficients)
+
+
 OUTCOME_FLAGS = ("is_single", "is_double", "is_triple", "is_home_run")
 FEATURE_SETS = {
     "NoDirection": ("exit_speed", "angle"),
@@ -148,61 +160,61 @@ def cross_validated_logloss(
 ) -> DataFrame:
     """(model_set, outcome, log_loss): mean over folds of the held-out binary log loss.
 
-    ``balls`` are batted balls with a fold column. All fits share one cached, compressed
-    table; all folds and models are scored in one pass, by an equi-join on the fold with
-    the coefficient rows. ``common_rows`` scores every model on rows with all features,
-    so the sets are compared on the same balls.
+    ``balls`` are batted balls with a fold column. Each feature set gets one cached table of
+    distinct rows with counts, shared by all its fits; a set of few features stays small
+    however many balls there are. ``common_rows`` scores every set on the balls that have
+    all features, so the sets are compared on the same balls.
     """
     spark = balls.sparkSession
-    features = list(dict.fromkeys(f for fs in feature_sets.values() for f in fs))
-    table = (
-        balls.groupBy(fold, *features, "play_result").agg(F.count("*").cast("double").alias(WEIGHT))
-    )
-    table = hit_indicators(table).persist(StorageLevel.MEMORY_AND_DISK)
-    jobs = [(i, name, y) for i in range(1, k + 1) for name in feature_sets for y in OUTCOME_FLAGS]
+    every = list(dict.fromkeys(f for fs in feature_sets.values() for f in fs))
+    complete = F.lit(True)
+    for f in every:
+        complete = complete & F.col(f).isNotNull()
+    tables = {}
+    for name, features in feature_sets.items():
+        counted = balls.dropna(subset=list(features)).groupBy(fold, *features, "play_result").agg(
+            F.count("*").cast("double").alias(WEIGHT), F.count_if(complete).cast("double").alias("n_complete")
+        )
+        tables[name] = hit_indicators(counted).persist(StorageLevel.MEMORY_AND_DISK)
 
     def fit(job):
         held_out, name, y = job
-        columns = list(feature_sets[name])
-        train = sized.where(F.col(fold) != held_out).dropna(subset=columns)
-        vectors = VectorAssembler(inputCols=columns, outputCol="features").transform(train)
-        fitted = GeneralizedLinearRegression(
-            family="binomial", link="logit", labelCol=y, weightCol=WEIGHT, maxIter=25, tol=1e-8
-        ).fit(vectors)
-        beta = dict(zip(columns, (float(v) for v in fitted.coefficients)))
-        return (held_out, name, y, float(fitted.intercept), *[beta.get(f) for f in features])
-
-    try:
-        sized = _sized(table)
-        fits = side_by_side(spark, fit, jobs, parallelism)
-        schema = f"{fold} int, model_set string, outcome string, intercept double, " + ", ".join(
-            f"b_{f} double" for f in features
-        )
-        # k x sets x outcomes rows, known here: small enough to broadcast.
-        models = F.broadcast(spark.createDataFrame(fits, schema))
-        rows = sized.dropna(subset=features) if common_rows else sized
+        train = sized[name].where(F.col(fold) != held_out)
+        intercept, weights = fit_binary(train, feature_sets[name], y)
+        return (name, held_out, y, intercept, *weights)
+
+    def held_out_losses(name: str, fits: list) -> DataFrame:
+        features = feature_sets[name]
+        schema = f"{fold} int, outcome string, intercept double, " + ", ".join(f"b_{f} double" for f in features)
+        # k x outcomes rows, known here: small enough to broadcast.
+        models = F.broadcast(spark.createDataFrame([r[1:] for r in fits if r[0] == name], schema))
         z = F.col("intercept")
-        usable = F.lit(True)
         for f in features:
-            used = F.col(f"b_{f}").isNotNull()
-            z = z + F.when(used, F.col(f"b_{f}") * F.col(f)).otherwise(0.0)
-            usable = usable & (~used | F.col(f).isNotNull())
+            z = z + F.col(f"b_{f}") * F.col(f)
         hit = F.lit(None).cast("double")
         for y in OUTCOME_FLAGS:
             hit = F.when(F.col("outcome") == y, F.col(y)).otherwise(hit)
-        loss = binary_loss(hit, F.when(usable, logistic(z)))
-        per_fold = (
-            rows.join(models, fold)
-            .select("model_set", "outcome", fold, WEIGHT, loss.alias("loss"))
-            .where(F.col("loss").isNotNull())
+        weight = F.col("n_complete" if common_rows else WEIGHT)
+        return (
+            sized[name].join(models, fold)
+            .select(F.lit(name).alias("model_set"), "outcome", fold, weight.alias("__w"),
+                    binary_loss(hit, logistic(z)).alias("__loss"))
+            .where(F.col("__w") > 0)
             .groupBy("model_set", "outcome", fold)
-            .agg((F.sum(F.col("loss") * F.col(WEIGHT)) / F.sum(WEIGHT)).alias("log_loss"))
+            .agg((F.sum(F.col("__loss") * F.col("__w")) / F.sum("__w")).alias("log_loss"))
         )
+
+    try:
+        sized = {name: _sized(table) for name, table in tables.items()}
+        jobs = [(i, name, y) for i in range(1, k + 1) for name in feature_sets for y in OUTCOME_FLAGS]
+        fits = side_by_side(spark, fit, jobs, parallelism)
+        per_fold = reduce(DataFrame.unionByName, [held_out_losses(name, fits) for name in feature_sets])
         summary = per_fold.groupBy("model_set", "outcome").agg(F.avg("log_loss").alias("log_loss"))
-        found = summary.collect()  # one row per model set and outcome
+        found = [tuple(r) for r in summary.collect()]  # one row per model set and outcome
     finally:
-        table.unpersist()
-    return spark.createDataFrame([tuple(r) for r in found], "model_set string, outcome string, log_loss double")
+        for table in tables.values():
+            table.unpersist()
+    return spark.createDataFrame(found, "model_set string, outcome string, log_loss double")
 
 
 def level_column(year: int, level: str) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 
@@ -38,43 +39,72 @@ def score_pitches(pitches: DataFrame, models: LinearModel | Mapping[object, Line
 
 @dataclass(frozen=True)
 class SeasonStatistics:
+    """Season results from two tables: batter totals and out-state cells.
+
+    Everything is derived on first use. The league tables have one row per season; they are
+    written out before a join, so the planner knows how small they are and broadcasts them
+    instead of shuffling the players by season.
+    """
+
     totals: DataFrame
     cells: DataFrame
-    weights: DataFrame
-    players: DataFrame
-    league_m1: DataFrame
-    league_m2: DataFrame
-    plus_m1: DataFrame
-    plus_m2: DataFrame
-    checks: DataFrame
+    minimum: int = S.MIN_PLATE_APPEARANCES
+    reference_season: int | None = None
+    baseline_season: int | None = None
+
+    @cached_property
+    def values(self) -> DataFrame:
+        return runvalue.run_values(self.cells)
+
+    @cached_property
+    def weights(self) -> DataFrame:
+        return runvalue.linear_weights(self.values, reference_season=self.reference_season)
+
+    @cached_property
+    def weights_row(self) -> DataFrame:
+        return materialize(runvalue.weights_row(self.weights), "weights")
+
+    @cached_property
+    def players(self) -> DataFrame:
+        line = batting.batting_line(self.totals, minimum=self.minimum)
+        return batting.add_weighted_on_base(line, self.weights_row)
+
+    @cached_property
+    def league_m1(self) -> DataFrame:
+        return materialize(indexing.league_average(self.players), "league")
+
+    @cached_property
+    def league_m2(self) -> DataFrame:
+        return materialize(
+            batting.add_weighted_on_base(batting.league_line(self.totals), self.weights_row), "league"
+        )
+
+    @cached_property
+    def plus_m1(self) -> DataFrame:
+        return indexing.plus_stats(self.players, self.league_m1, baseline_season=self.baseline_season)
+
+    @cached_property
+    def plus_m2(self) -> DataFrame:
+        return indexing.plus_stats(self.players, self.league_m2, baseline_season=self.baseline_season)
+
+    @cached_property
+    def checks(self) -> DataFrame:
+        return runvalue.sanity_checks(self.values)
 
 
 def season_statistics(
-    scored: DataFrame, *, half_inning: Sequence[str], order: Sequence[str], chunk: Column,
-    minimum: int = S.MIN_PLATE_APPEARANCES, reference_season: int | None = None,
-    baseline_season: int | None = None,
+    scored: DataFrame, *, half_inning: Sequence[str], order: Sequence[str], chunk: Column, **options
 ) -> SeasonStatistics:
-    """All season results from two passes over the pitches.
+    """Reduce the pitches in two passes, side by side; everything after them is small.
 
-    The batter totals and the out-state cells feed several results each, so both are
-    written to the shared folder once; everything after them is small.
+    ``options``: ``minimum``, ``reference_season`` (whose run values to use) and
+    ``baseline_season`` (whose league to index against).
     """
     totals, cells = side_by_side(scored.sparkSession, materialize, [
         batting.batter_totals(scored),
         runvalue.state_cells(scored, half_inning=half_inning, order=order, chunk=chunk),
     ])
-    values = runvalue.run_values(cells)
-    weights = runvalue.linear_weights(values, reference_season=reference_season)
-    row = runvalue.weights_row(weights)
-    players = batting.add_weighted_on_base(batting.batting_line(totals, minimum=minimum), row)
-    league_m1 = indexing.league_average(players)
-    league_m2 = batting.add_weighted_on_base(batting.league_line(totals), row)
-    return SeasonStatistics(
-        totals, cells, weights, players, league_m1, league_m2,
-        indexing.plus_stats(players, league_m1, baseline_season=baseline_season),
-        indexing.plus_stats(players, league_m2, baseline_season=baseline_season),
-        runvalue.sanity_checks(values),
-    )
+    return SeasonStatistics(totals, cells, **options)
 
 
 def with_contact_quality(plus: DataFrame, pitches: DataFrame, minimum: int = S.MIN_PLATE_APPEARANCES) -> DataFrame:

@@ -13,6 +13,7 @@ from dugout.functions import columns as C
 from dugout.functions.scoring import add_class_probabilities, binary_probability
 from dugout.operators import batting, clean, evaluate, indexing, levels, model, ordered, quality, runvalue
 from dugout.plans import projection, season
+from dugout.session import side_by_side
 from dugout.sources import csv_tree, tables
 from dugout.sources.shared import new_path
 from verification import fixture as X
@@ -402,13 +403,12 @@ def _(spark, d):
 
 @query("woba_players", O.final(O.PLAYERS, "players", "season batter total_pa", "woba xwoba"))
 def _(spark, d):
-    players = batting.add_weighted_on_base(_lines(spark, d), runvalue.weights_row(_weights(spark, d)))
-    return players.select("season", "batter", "total_pa", "woba", "xwoba")
+    return _statistics(spark, d).players.select("season", "batter", "total_pa", "woba", "xwoba")
 
 
 @query("leaderboard", O.final(O.PLAYERS, "players", "season batter", "xwoba x_home_runs") + " ORDER BY 3 DESC, 1, 2")
 def _(spark, d):
-    players = batting.add_weighted_on_base(_lines(spark, d), runvalue.weights_row(_weights(spark, d)))
+    players = _statistics(spark, d).players
     return batting.leaderboard(players.select("season", "batter", "xwoba", "x_home_runs"), "xwoba", "season", "batter")
 
 
@@ -773,7 +773,7 @@ def _(spark, d):
     return projection.project(latest, X.HORIZON_MODELS).select("batter", *_P_LEVELS)
 
 
-# --- fitted models (no SQL equivalent) ----------------------------------------------
+# --- fitted models ----------------------------------------------
 
 
 @query("cv_logloss")
@@ -794,14 +794,57 @@ def _(spark, d):
     return evaluate.coefficient_errors(_flags(spark, d), X.FLAG_NAMES, X.FLAG_FEATURES)
 
 
-@query("outcome_models")
+# At the maximum of the likelihood, and only there, expected and observed class totals and
+# feature totals agree. The fits below are checked on that.
+
+
+@query("multinomial_fit_moments", """SELECT l_returnflag AS label, round(CAST(count(*) AS DOUBLE), 0) AS n, round(sum(l_quantity), 0) AS quantity,
+  round(sum(l_tax), 2) AS tax FROM lineitem GROUP BY l_returnflag""")
 def _(spark, d):
-    """Expected totals of each season under its own fitted outcome model."""
+    rows = X.table(spark, d, "lineitem")
+    fitted = model.fit_multinomial(rows, X.FLAG_FEATURES, "l_returnflag", X.FLAG_LABELS)
+    scored = add_class_probabilities(rows, fitted, X.FLAG_NAMES)
+    return _moments(scored, X.FLAG_NAMES, (), {"n": (F.lit(1.0), 0), "quantity": (F.col("l_quantity"), 0),
+                                               "tax": (F.col("l_tax"), 2)})
+
+
+def _moments(scored, names, by, terms) -> DataFrame:
+    rows = F.array(*[
+        F.struct(F.lit(label).alias("label"), *[(F.col(p) * c).alias(t) for t, (c, _) in terms.items()])
+        for label, p in names.items()
+    ])
+    return scored.select(*by, F.inline(rows)).groupBy(*by, "label").agg(*[
+        F.round(F.sum(t), digits).alias(t) for t, (_, digits) in terms.items()
+    ])
+
+
+@query("outcome_models", f"""WITH {O.BALLS}
+SELECT season, outcome AS label, round(CAST(count(*) AS DOUBLE), 0) AS n, round(sum(exit_speed), 2) AS exit_speed,
+  round(sum(angle), 1) AS angle FROM balls WHERE outcome <> 'Not a Hit' GROUP BY season, outcome""")
+def _(spark, d):
+    """Expected hits of each season under its own fitted outcome model."""
     pitches = X.plays(spark, d)
     scored = season.score_pitches(pitches, season.fit_outcome_models(pitches, X.SEASONS))
-    return scored.groupBy("season").agg(
-        F.count("xba").alias("balls"), *[F.sum(c).alias(c) for c in ("x1b", "x2b", "x3b", "xhr")]
-    )
+    return _moments(scored.where(clean.is_batted_ball()), batting.HIT_PROBABILITIES, ("season",), {
+        "n": (F.lit(1.0), 0), "exit_speed": (F.col("exit_speed"), 2), "angle": (F.col("angle"), 1)})
+
+
+@query("binary_fit", f"""WITH {O.BALLS}, usable AS (SELECT * FROM balls WHERE direction IS NOT NULL)
+""" + "\nUNION ALL ".join(
+    f"""SELECT '{y}' AS label, round(sum({y}), 0) AS n, round(sum({y} * exit_speed), 2) AS exit_speed,
+  round(sum({y} * direction), 1) AS direction FROM usable""" for y in model.OUTCOME_FLAGS))
+def _(spark, d):
+    features = model.FEATURE_SETS["WithDirection"]
+    balls = clean.batted_balls(X.plays(spark, d))
+    table = clean.hit_indicators(model.compress(balls, features, "play_result")).persist()
+    fit = lambda y: (y, model.fit_binary(table, features, y))
+    fits = dict(side_by_side(spark, fit, list(model.OUTCOME_FLAGS)))
+    table.unpersist()
+    scored = balls.dropna(subset=list(features)).withColumns({
+        f"p_{y}": binary_probability(b, w, features) for y, (b, w) in fits.items()
+    })
+    return _moments(scored, {y: f"p_{y}" for y in fits}, (), {
+        "n": (F.lit(1.0), 0), "exit_speed": (F.col("exit_speed"), 2), "direction": (F.col("direction"), 1)})
 
 
 def _profiles(spark, d) -> DataFrame:
