@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from dugout import schema as S
 from dugout.functions.columns import snake_case
+from dugout.sources.shared import materialize
 from dugout.sources.tables import NULL_TEXT, union_sources
 
 _CORRUPT = "_corrupt_record"
@@ -31,7 +32,10 @@ class CsvTree:
 
 
 def _names(header: str) -> list[str]:
-    return [snake_case(n) for n in next(csv.reader([header]), [])]
+    try:
+        return [snake_case(n) for n in next(csv.reader([header]), [])]
+    except csv.Error:  # not text
+        return []
 
 
 def file_headers(spark: SparkSession, root: str) -> DataFrame:
@@ -111,42 +115,35 @@ def _read_text(spark: SparkSession, paths: list[str], names: list[str], ragged:
 def read_csv_tree(spark: SparkSession, root: str, schema: T.StructType | None = None) -> CsvTree:
     """Read all CSV files below ``root`` into one schema.
 
-    Only file names and headers reach the driver. Files are grouped by header and each
-    group is one distributed scan, so the number of scans is the number of layouts.
+    Files are grouped by header, and each group is one distributed scan, so the number of
+    scans is the number of layouts. The driver sees the distinct headers and, only when
+    layouts differ, the file names.
     """
     report = "reason string, file_path string, record string"
+    empty = lambda of: spark.createDataFrame([], of)
     try:
-        headers = [(r["file_path"], r["header"]) for r in file_headers(spark, root).collect()]
-    except AnalysisException:
-        headers = []  # no such folder: same as a folder without files
-    if not headers:
-        return CsvTree(spark.createDataFrame([], schema or S.SEASON_SCHEMA), spark.createDataFrame([], report))
-
-    headers.sort()
-    schema = schema or infer_schema(spark, headers[0][0])
+        headers = materialize(file_headers(spark, root), "headers")
+    except AnalysisException:  # no such folder: same as a folder without files
+        return CsvTree(empty(schema or S.SEASON_SCHEMA), empty(report))
+    layouts = headers.groupBy("header").agg(F.min("file_path").alias("first_file")).collect()
+    if not layouts:
+        return CsvTree(empty(schema or S.SEASON_SCHEMA), empty(report))
+
+    schema = schema or infer_schema(spark, min(r["first_file"] for r in layouts))
     wanted = {f.name for f in schema.fields}
-    layouts: dict[str, list[str]] = {}
-    unusable = []
-    for path, header in headers:
-        if wanted.intersection(_names(header)):
-            layouts.setdefault(header, []).append(path)
-        else:
-            unusable.append(path)
+    known = [r["header"] for r in layouts if wanted.intersection(_names(r["header"]))]
+    paths_of = lambda cond: [r["file_path"] for r in headers.where(cond).select("file_path").collect()]
 
     rows, rejected = [], []
-    for header, paths in layouts.items():
+    for header in known:
         # With a single layout the folder itself is the input; no path list is needed.
-        whole_tree = len(layouts) == 1 and not unusable
-        source = [root] if whole_tree else paths
+        source = [root] if len(layouts) == 1 else paths_of(F.col("header") == header)
         rows.append(conform(_read_text(spark, source, _names(header)), schema))
         rejected.append(_read_text(spark, source, _names(header), ragged=True))
-    if unusable:
+    if len(known) < len(layouts):
+        unusable = paths_of(~F.col("header").isin(*known))
         rejected.append(spark.read.text(unusable).select(
             F.lit("unknown layout").alias("reason"), F.col("_metadata.file_path").alias("file_path"),
             F.col("value").alias("record"),
         ))
-    nothing = spark.createDataFrame([], report)
-    return CsvTree(
-        union_sources(rows) if rows else spark.createDataFrame([], schema),
-        union_sources(rejected) if rejected else nothing,
-    )
+    return CsvTree(union_sources(rows) if rows else empty(schema), union_sources(rejected))
