@@ -23,7 +23,7 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 def _canonical(value):
     if isinstance(value, float):
-        return None if math.isnan(value) else round(value, 5) + 0.0
+        return None if math.isnan(value) else value + 0.0  # no negative zero
     return value
 
 
@@ -46,7 +46,7 @@ def compare(spark, con, sf_dir: str, name: str) -> tuple[bool, str]:
     if len(mine) != len(theirs):
         return False, f"rows {len(mine)} != {len(theirs)}"
     for a, b in zip(mine, theirs):
-        if a != b:
+        if a != b or list(map(type, a)) != list(map(type, b)):
             return False, f"{sorted(names)}: {a} != {b}"
     return True, f"{len(mine)} rows"
 

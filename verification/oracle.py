@@ -8,7 +8,8 @@ from dugout import schema as S
 from dugout.functions.scoring import LinearModel
 from verification import fixture as X
 
-DIGITS = 6
+#: enough digits that averages over powers of two do not end on a half
+DIGITS = 9
 
 
 def text_list(values: Sequence[str]) -> str:

@@ -126,8 +126,9 @@ SELECT 'unknown layout' AS reason, count(*) AS n FROM log WHERE pitch_id % 3 = 1
 UNION ALL SELECT 'ragged row', count(*) FROM log WHERE pitch_id % 11 = 0""")
 def _(spark, d):
     root = _write_tree(spark, d)
-    ragged = X.pitch_log(spark, d).where(F.col("pitch_id") % 11 == 0).select(
-        F.concat_ws(",", F.col("pitch_id").cast("string"), "batter", F.lit("Out"), F.lit("surplus"))
+    surplus = F.when(F.col("pitch_id") % 11 == 0, F.lit("surplus"))  # concat_ws leaves nulls out
+    ragged = X.pitch_log(spark, d).select(
+        F.concat_ws(",", F.col("pitch_id").cast("string"), "batter", F.lit("Out"), surplus)
         .alias("pitch_id,batter,play_result")
     )
     ragged.write.option("header", True).option("sep", "|").csv(f"{root}/d_ragged")
@@ -165,7 +166,8 @@ def _(spark, d):
     )
 
 
-@query("extract_pitches", O.final(O.LOG, f"log WHERE season = {X.SEASONS[0]}", " ".join(S.PITCH_COLUMNS)))
+@query("extract_pitches", O.final(
+    O.LOG, f"log WHERE season = {X.SEASONS[0]}", " ".join(S.PITCH_COLUMNS[:-3]), " ".join(S.PITCH_COLUMNS[-3:])))
 def _(spark, d):
     return tables.extract_pitches(tables.read_season_table(spark, _season_table(spark, d)), X.SEASONS[0])
 
@@ -175,7 +177,7 @@ def _(spark, d):
     return tables.extract_plays(tables.read_season_table(spark, _season_table(spark, d)), X.SEASONS[1])
 
 
-@query("csv_roundtrip", O.final(O.LOG, "log", " ".join(S.PLAY_COLUMNS) + " exit_speed angle"))
+@query("csv_roundtrip", O.final(O.LOG, "log", " ".join(S.PLAY_COLUMNS), "exit_speed angle"))
 def _(spark, d):
     path = new_path(spark, "extract")
     names = {"play_result": "PlayResult", "top_bottom": "Top/Bottom", "game_id": "GameID", "exit_speed": "ExitSpeed"}
@@ -197,7 +199,7 @@ def _(spark, d):
 
 
 @query("dedup_rows", O.final(O.PLAYS, "(SELECT DISTINCT * FROM (SELECT * FROM plays UNION ALL SELECT * FROM plays))",
-                             "pitch_id season batter play_result outs runs_scored exit_speed angle direction"))
+                             "pitch_id season batter play_result outs runs_scored", "exit_speed angle direction"))
 def _(spark, d):
     plays = X.plays(spark, d)
     return clean.deduplicate(plays.unionAll(plays)).select(
@@ -211,7 +213,7 @@ def _(spark, d):
     return clean.with_dense_id(X.table(spark, d, "events").select("event_id"), ["event_id"], name="row_id")
 
 
-@query("batted_balls", O.final(O.BALLS, "balls", "season pitch_id play_result exit_speed angle outcome"))
+@query("batted_balls", O.final(O.BALLS, "balls", "season pitch_id play_result outcome", "exit_speed angle"))
 def _(spark, d):
     return clean.batted_balls(X.plays(spark, d)).select(
         "season", "pitch_id", "play_result", "exit_speed", "angle", "outcome"
@@ -630,7 +632,7 @@ def _(spark, d):
 
 
 @query("binary_logloss", f"WITH {_BINARY}\n" + "\nUNION ALL ".join(
-    f"""SELECT season, '{y}' AS outcome, round(avg(CASE WHEN {y} = 1 THEN -ln(p_{y[3:]}) ELSE -ln(1 - p_{y[3:]}) END), 6) AS log_loss
+    f"""SELECT season, '{y}' AS outcome, round(avg(CASE WHEN {y} = 1 THEN -ln(p_{y[3:]}) ELSE -ln(1 - p_{y[3:]}) END), {O.DIGITS}) AS log_loss
 FROM binary_scores GROUP BY season""" for y in X.BINARY_WEIGHTS))
 def _(spark, d):
     losses = _binary(spark, d).groupBy("season").agg(*[
@@ -649,7 +651,7 @@ _CALLED = f"""{_FLAGS}, called AS (SELECT *, CASE WHEN p_a >= p_n AND p_a >= p_r
   WHEN p_n >= p_r THEN 'N' ELSE 'R' END AS predicted FROM flags)"""
 
 
-@query("multinomial_score", O.final(_FLAGS, "flags", "l_orderkey l_linenumber l_quantity", "p_a p_n p_r"))
+@query("multinomial_score", O.final(_FLAGS, "flags", "l_orderkey l_linenumber", "l_quantity p_a p_n p_r"))
 def _(spark, d):
     return _flags(spark, d).select("l_orderkey", "l_linenumber", "l_quantity", "p_a", "p_n", "p_r")
 
@@ -667,7 +669,7 @@ _ACTUAL = "CASE l_returnflag WHEN 'A' THEN p_a WHEN 'N' THEN p_n WHEN 'R' THEN p
 
 
 @query("multiclass_logloss", f"""WITH {_FLAGS}
-SELECT l_linestatus, round(-avg(ln({_ACTUAL} + 1e-15)), 6) AS log_loss FROM flags GROUP BY l_linestatus""")
+SELECT l_linestatus, round(-avg(ln({_ACTUAL} + 1e-15)), {O.DIGITS}) AS log_loss FROM flags GROUP BY l_linestatus""")
 def _(spark, d):
     return evaluate.multiclass_logloss(_flags(spark, d), "l_returnflag", X.FLAG_NAMES, by=["l_linestatus"])
 
@@ -734,7 +736,7 @@ def _(spark, d):
 @query("select_model", f"WITH {_BINARY}, losses AS (" + "\nUNION ALL ".join(
     f"""SELECT season, '{y}' AS model, avg(CASE WHEN {y} = 1 THEN -ln(p_{y[3:]}) ELSE -ln(1 - p_{y[3:]}) END) AS log_loss
 FROM binary_scores GROUP BY season""" for y in X.BINARY_WEIGHTS) + """)
-SELECT l.season, l.model, round(l.log_loss, 6) AS log_loss FROM losses l
+SELECT l.season, l.model, round(l.log_loss, 9) AS log_loss FROM losses l
 WHERE l.log_loss = (SELECT min(log_loss) FROM losses o WHERE o.season = l.season)""")
 def _(spark, d):
     losses = _binary(spark, d).groupBy("season").agg(*[
