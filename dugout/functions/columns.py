@@ -48,6 +48,8 @@ def unpack_key(df: DataFrame, key: str, cols: Iterable[str], *rest) -> DataFrame
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
     """Equi-join in which null keys match each other; the right key columns are dropped."""
+    if not on:
+        raise ValueError("a join needs at least one key")
     renamed = right.withColumnsRenamed({c: f"__r_{c}" for c in on})
     cond = None
     for c in on:

@@ -107,19 +107,19 @@ def hash_rank(
     by: Sequence[str] = (),
     rank: str = "rank",
     size: str = "group_size",
-    prefix: int = 4,
+    slice_digits: int = 4,
 ) -> DataFrame:
     """Reproducible shuffled 1..n rank inside ``by``, plus the group size.
 
     Rows are ordered by ``md5(ids ':' seed)``; ``ids`` must identify a row. The first
-    ``prefix`` hex digits of the digest split every group into 16**prefix even slices,
+    ``slice_digits`` hex digits of the digest split every group into even slices,
     so neither a global sort nor one large group reaches a single task: with the default,
     a slice holds 1/65536 of its group.
     """
     text = F.concat_ws("|", *[F.col(c).cast("string") for c in ids])
     digest = F.md5(F.concat(text, F.lit(f":{seed}")))
     rows = df.withColumns({"__key": key_of(*by), "__digest": digest})
-    rows = rows.withColumn("__slice", F.substring("__digest", 1, prefix))
+    rows = rows.withColumn("__slice", F.substring("__digest", 1, slice_digits))
     pair = ["__key", "__slice"]
     along = W.partitionBy("__key").orderBy("__slice").rowsBetween(*_BEFORE)
     offsets = (

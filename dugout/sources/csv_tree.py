@@ -39,7 +39,10 @@ def _names(header: str) -> list[str]:
 
 
 def file_headers(spark: SparkSession, root: str) -> DataFrame:
-    """(file_path, header) of every CSV file under ``root``, read in parallel."""
+    """(file_path, header) of every CSV file under ``root``, read in parallel.
+
+    Costs one extra pass over the files: a header cannot be matched by name before it is seen.
+    """
     lines = (
         spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
         .option("ignoreCorruptFiles", True).text(root)

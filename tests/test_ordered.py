@@ -54,12 +54,12 @@ def test_changed_since_previous(spark, width):
     assert got == want
 
 
-@pytest.mark.parametrize("prefix", [1, 3])
-def test_hash_rank_is_dense_and_stable(spark, prefix):
+@pytest.mark.parametrize("slice_digits", [1, 3])
+def test_hash_rank_is_dense_and_stable(spark, slice_digits):
     df = spark.range(1000).withColumn("grp", F.when(F.col("id") < 700, "hot").when(F.col("id") < 900, "b"))
     rank = lambda frame: {
         r.id: (r.grp, r.rank, r.group_size)
-        for r in ordered.hash_rank(frame, ids=["id"], seed=3, by=["grp"], prefix=prefix).collect()
+        for r in ordered.hash_rank(frame, ids=["id"], seed=3, by=["grp"], slice_digits=slice_digits).collect()
     }
     got = rank(df)
     assert got == rank(df.repartition(5, F.rand(1)))

@@ -16,9 +16,9 @@ def text_list(values: Sequence[str]) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
 
-def final(ctes: str, source: str, plain: str, rounded: str = "") -> str:
+def final(ctes: str, source: str, plain: str, rounded: str = "", digits: int = DIGITS) -> str:
     """``plain`` columns as they are, ``rounded`` ones rounded, from ``source``."""
-    columns = [*plain.split(), *[f"round({c}, {DIGITS}) AS {c}" for c in rounded.split()]]
+    columns = [*plain.split(), *[f"round({c}, {digits}) AS {c}" for c in rounded.split()]]
     head = f"WITH {ctes}\n" if ctes else ""
     return f"{head}SELECT {', '.join(columns)} FROM {source}"
 

@@ -23,18 +23,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def rounded(df: DataFrame) -> DataFrame:
+def rounded(df: DataFrame, digits: int = O.DIGITS) -> DataFrame:
     """Doubles to a fixed number of digits: sums of doubles depend on their order."""
     return df.select(*[
-        F.round(F.col(f"`{f.name}`"), O.DIGITS).alias(f.name) if isinstance(f.dataType, T.DoubleType)
+        F.round(F.col(f"`{f.name}`"), digits).alias(f.name) if isinstance(f.dataType, T.DoubleType)
         else F.col(f"`{f.name}`")
         for f in df.schema.fields
     ])
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, digits: int = O.DIGITS):
+    """``digits`` is lower where values are around 100 and carry as many more digits of noise."""
     def register(fn):
-        QUERIES[name] = lambda spark, sf_dir: rounded(fn(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: rounded(fn(spark, sf_dir), digits)
         if sql is not None:
             ORACLES[name] = sql
         return fn
@@ -424,19 +425,19 @@ def _(spark, d):
     return _statistics(spark, d).league_m2.select("season", *O.LINE_PLAIN.split(), *O.STATS)
 
 
-@query("plus_stats_m1", O.final(f"{O.LEAGUE_M1}, {O.plus('league_m1')}", "plus", "season batter", O.PLUS_COLUMNS))
+@query("plus_stats_m1", O.final(f"{O.LEAGUE_M1}, {O.plus('league_m1')}", "plus", "season batter", O.PLUS_COLUMNS, 6), 6)
 def _(spark, d):
     return _statistics(spark, d).plus_m1.select("season", "batter", *O.PLUS_COLUMNS.split())
 
 
 @query("plus_stats_m1_baseline_season",
-       O.final(f"{O.LEAGUE_M1}, {O.plus('league_m1', f'l.season = {X.SEASONS[0]}')}", "plus", "season batter", O.PLUS_COLUMNS))
+       O.final(f"{O.LEAGUE_M1}, {O.plus('league_m1', f'l.season = {X.SEASONS[0]}')}", "plus", "season batter", O.PLUS_COLUMNS, 6), 6)
 def _(spark, d):
     plus = _statistics(spark, d, baseline_season=X.SEASONS[0]).plus_m1
     return plus.select("season", "batter", *O.PLUS_COLUMNS.split())
 
 
-@query("plus_stats_m2", O.final(f"{O.LEAGUES}, {O.plus('league_m2')}", "plus", "season batter", O.PLUS_COLUMNS))
+@query("plus_stats_m2", O.final(f"{O.LEAGUES}, {O.plus('league_m2')}", "plus", "season batter", O.PLUS_COLUMNS, 6), 6)
 def _(spark, d):
     return _statistics(spark, d).plus_m2.select("season", "batter", *O.PLUS_COLUMNS.split())
 
@@ -460,7 +461,7 @@ _QUALITY = f"{O.PLAYS}, {O.QUALIFIED}, {_QUALITY_ONLY}"
 
 
 @query("hit_quality", O.final(_QUALITY, "quality", "season batter total_hard_hits total_batted_balls",
-                              "avg_exit_speed avg_angle hard_hit_percentage"))
+                              "avg_exit_speed avg_angle hard_hit_percentage", 8), 8)
 def _(spark, d):
     return quality.hit_quality(X.plays(spark, d), minimum=X.MINIMUM)
 
@@ -473,7 +474,7 @@ fast AS (
   FROM plays p JOIN medians m ON m.season = p.season AND m.batter = p.batter WHERE exit_speed >= cut
   GROUP BY p.season, p.batter),
 joined AS (SELECT q.season, q.batter, avg_exit_speed_top, avg_angle FROM quality q JOIN fast USING (season, batter))""",
-    "joined", "season batter", "avg_exit_speed_top avg_angle"))
+    "joined", "season batter", "avg_exit_speed_top avg_angle", 8), 8)
 def _(spark, d):
     return quality.top_half_quality(X.plays(spark, d), minimum=X.MINIMUM)
 
@@ -481,7 +482,7 @@ def _(spark, d):
 @query("profile_enrich", O.final(f"""{O.PLAYERS}, {_QUALITY_ONLY},
 enriched AS (SELECT p.season, p.batter, p.woba, q.hard_hit_percentage, q.avg_exit_speed, q.avg_angle
   FROM players p LEFT JOIN quality q USING (season, batter))""",
-    "enriched", "season batter", "woba hard_hit_percentage avg_exit_speed avg_angle"))
+    "enriched", "season batter", "woba hard_hit_percentage avg_exit_speed avg_angle", 8), 8)
 def _(spark, d):
     players = _statistics(spark, d).players
     return season.with_contact_quality(players, X.plays(spark, d), X.MINIMUM).select(
@@ -499,7 +500,7 @@ _TREND = [("exit_speed", 50, 115), ("angle", -40, 60)]
       avg({x}) AS mean_x, avg({y}) AS mean_y, stddev_samp({y}) AS sd_y
     FROM scored WHERE {x} IS NOT NULL AND {y} IS NOT NULL GROUP BY 1, 2, 3, 4"""
     for x, lo, hi in _TREND for y in ("xba", "xslg")) + ")",
-    "trend", "season x y bin n", "mean_x mean_y sd_y"))
+    "trend", "season x y bin n", "mean_x mean_y sd_y", 8), 8)
 def _(spark, d):
     xs = {x: (lo, hi) for x, lo, hi in _TREND}
     return quality.binned_trend(_scored(spark, d), xs, ("xba", "xslg"), bins=20, by=["season"])
@@ -525,7 +526,7 @@ boxes AS (
     max(o_totalprice) FILTER (WHERE o_totalprice <= q3 + 1.5 * (q3 - q1)) AS whisker_high,
     count(*) FILTER (WHERE o_totalprice < q1 - 1.5 * (q3 - q1) OR o_totalprice > q3 + 1.5 * (q3 - q1)) AS outliers
   FROM orders o JOIN h USING (o_orderpriority) GROUP BY o.o_orderpriority, h.q1, h.median, h.q3)""",
-    "boxes", "o_orderpriority n outliers", "whisker_low q1 median q3 whisker_high"))
+    "boxes", "o_orderpriority n outliers", "whisker_low q1 median q3 whisker_high", 6), 6)
 def _(spark, d):
     return ordered.box_summary(X.table(spark, d, "orders"), "o_totalprice", by=["o_orderpriority"], bin_width=500.0)
 
