@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` (or the checkpoint folder already set on the context).
 
-    Only a session without either, as in local tests, gets a temporary folder.
+    A local session without either, as in tests, gets a temporary folder; a cluster session
+    must name one, because a folder of one machine is not visible to the others.
     """
     found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         found = tempfile.mkdtemp(prefix="dugout-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

@@ -107,3 +107,28 @@ def test_shared_dir_follows_the_session(spark, tmp_path):
     assert shared_dir(spark) == (spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()).rstrip("/")
     df = materialize(spark.range(5).withColumn("k", F.struct("id")), "t")
     assert df.count() == 5 and df.columns == ["id", "k"]
+
+
+class _Session:
+    """The few parts of a session that decide on the shared folder."""
+
+    def __init__(self, setting, checkpoint, master):
+        self.conf = {"spark.checkpoint.dir": setting} if setting else {}
+        self.sparkContext = self
+        self.master = master
+        self._checkpoint = checkpoint
+
+    def getCheckpointDir(self):
+        return self._checkpoint
+
+    def setCheckpointDir(self, path):
+        self._checkpoint = path
+
+
+def test_shared_dir_rules():
+    assert shared_dir(_Session("hdfs:/shared/", "file:/x", "yarn")) == "hdfs:/shared"
+    assert shared_dir(_Session(None, "hdfs:/other", "yarn")) == "hdfs:/other"
+    with pytest.raises(RuntimeError):
+        shared_dir(_Session(None, None, "yarn"))
+    local = _Session(None, None, "local[2]")
+    assert shared_dir(local) == local.getCheckpointDir()
