@@ -11,7 +11,7 @@ from verification.queries import QUERIES
 
 EAGER = {
     "cv_logloss", "multinomial_fit", "coefficient_errors", "outcome_models", "predictor_sweep", "project_levels",
-    "horizon_losses", "confusion_inference",
+    "horizon_losses", "confusion_inference", "accuracy_p_value",
 }
 
 

@@ -715,7 +715,7 @@ def _(spark, d):
     return evaluate.class_metrics(_confusion(spark, d))
 
 
-@query("confusion_overall", O.final(f"""{_CONFUSION}, refs AS (
+_OVERALL = f"""{_CONFUSION}, refs AS (
   SELECT reference AS label, CAST(sum(n) AS DOUBLE) AS ref FROM confusion GROUP BY 1),
 preds AS (SELECT prediction AS label, CAST(sum(n) AS DOUBLE) AS pred FROM confusion GROUP BY 1),
 agreement AS (
@@ -723,12 +723,22 @@ agreement AS (
 overall AS (
   SELECT n, correct, (SELECT max(ref) FROM refs) / n AS no_information_rate, CAST(correct AS DOUBLE) / n AS accuracy,
     (CAST(correct AS DOUBLE) / n - e) / (1 - e) AS kappa
-  FROM agreement, (SELECT sum(ref * pred) / (SELECT CAST(n AS DOUBLE) * n FROM agreement) AS e FROM refs JOIN preds USING (label)))""",
-    "overall", "n correct", "no_information_rate accuracy kappa"))
+  FROM agreement, (SELECT sum(ref * pred) / (SELECT CAST(n AS DOUBLE) * n FROM agreement) AS e FROM refs JOIN preds USING (label)))"""
+
+
+@query("confusion_overall", O.final(_OVERALL, "overall", "n correct", "no_information_rate accuracy kappa"))
 def _(spark, d):
     return evaluate.overall_metrics(_confusion(spark, d))
 
 
+@query("accuracy_p_value", f"""WITH {_OVERALL}, hits AS (
+  SELECT n, no_information_rate AS r, unnest(range(correct, n + 1)) AS i FROM overall)
+SELECT round(sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(r) + (n - i) * ln(1 - r))), 6) AS p_value
+FROM hits""", 6)
+def _(spark, d):
+    return evaluate.accuracy_inference(evaluate.overall_metrics(_confusion(spark, d))).select("p_value")
+
+
 @query("confusion_inference")
 def _(spark, d):
     return evaluate.accuracy_inference(evaluate.overall_metrics(_confusion(spark, d)))
