@@ -63,9 +63,10 @@ def exact_groups(
         raise ArithmeticError("two different texts share both hashes")
     best = members.groupBy(*key).agg(F.max(_preference(keep, F.col("doc_id"), (-F.col("row")).alias("tie"))).alias("best"))
     keep_id = F.col("best.rank") if keep == "largest" else -F.col("best.rank")
-    decided = classes.join(best, key).select(
+    # Written, so that both sides of the last join are shuffled and adaptive execution can split a large group.
+    decided = materialize(classes.join(best, key).select(
         *key, "group_size", keep_id.alias("keep_id"), (-F.col("best.tie")).alias("keep_row")
-    )
+    ), "decided")
     return members.join(decided, key).select(
         "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256"
     )
