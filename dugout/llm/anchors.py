@@ -21,7 +21,6 @@ What remains, deciding which windows really recur, is done on the text itself by
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -72,56 +71,49 @@ def _powers(n: int, base: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-class ByteHasher:
-    """Hashes of all grams of a byte string, from prefix sums modulo 2^64."""
+class Hasher:
+    """Hashes of all grams of a text, from prefix sums modulo 2^64."""
 
-    def __init__(self, gram: int):
-        self.gram = gram
+    def __init__(self, sieve: Sieve):
+        self.gram, self.words = sieve.gram, sieve.unit == "words"
         self.table = np.random.default_rng(7).integers(0, 2**64, 256, np.uint64)
         self.room = 0
 
-    def grams(self, raw: np.ndarray) -> np.ndarray:
+    def _prefix(self, raw: np.ndarray) -> np.ndarray:
         n = len(raw)
-        if n < self.gram:
-            return np.zeros(0, np.uint64)
         if n >= self.room:
             self.room = n + 1
             self.up = _powers(self.room, int(_STEP))
             self.down = _powers(self.room, pow(int(_STEP), -1, 1 << 64))
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(self.table[raw] * self.up[:n], out=sums[1:])
-        return mix((sums[self.gram:] - sums[:-self.gram]) * self.down[:n - self.gram + 1])
-
-
-class WordHasher:
-    """Hashes of all grams of a word list; hashes of words are remembered up to a limit."""
-
-    def __init__(self, gram: int, limit: int = 300_000):
-        self.gram, self.limit, self.known = gram, limit, {}
-
-    def words(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
-        digest = xxhash.xxh3_64_intdigest
-        out = []
-        for w in words:
-            h = known.get(w)
-            if h is None:
-                h = known[w] = digest(w)
-            out.append(h)
-        return np.array(out, np.uint64)
-
-    def grams(self, hashes: np.ndarray) -> np.ndarray:
-        n = len(hashes) - self.gram + 1
+        return sums
+
+    def grams(self, raw: bytes) -> np.ndarray:
+        """``raw`` is any text, or words joined by single spaces if words are the units."""
+        text = np.frombuffer(raw, np.uint8)
+        sums = self._prefix(text)
+        if not self.words:
+            n = len(text) - self.gram + 1
+            return mix((sums[self.gram:] - sums[:n]) * self.down[:n]) if n > 0 else np.zeros(0, np.uint64)
+        start = word_starts(raw)
+        word = mix((sums[np.append(start[1:] - 1, len(text))] - sums[start]) * self.down[start])
+        n = len(start) - self.gram + 1
         if n <= 0:
             return np.zeros(0, np.uint64)
         out = np.zeros(n, np.uint64)
-        for j in range(self.gram):
-            out = out * _OTHER + hashes[j:j + n]
+        for k in range(self.gram):
+            out = out * _OTHER + word[k:k + n]
         return mix(out)
 
 
+def word_starts(flat: bytes) -> np.ndarray:
+    """Where the words of a text begin whose words are joined by single spaces."""
+    if not flat:
+        return np.zeros(0, np.int64)
+    return np.append(0, np.flatnonzero(np.frombuffer(flat, np.uint8) == 32) + 1)
+
+
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     have = 1
     while have < width:
@@ -161,34 +153,48 @@ class Bucket:
 
     Arrays with one entry per run: ``doc`` (row of the bucket), ``start`` (unit inside the
     document), ``count`` (windows), ``place`` (unit of the anchor), ``key`` (hash of the anchor).
+    ``flat`` is the text of a row, with single spaces if words are the units; ``edge`` is where its
+    units begin, and one more for the end.
     """
 
-    def __init__(self, table: pa.Table, sieve: Sieve, hasher):
-        self.table, self.sieve = table, sieve
+    def __init__(self, table: pa.Table, sieve: Sieve):
+        self.sieve = sieve
         self.ids = table.column("doc_id").fill_null(int(NO_ID)).to_numpy()
-        self.raw = [t if t is not None else b"" for t in table.column("text").to_pylist()]
-        self.units = [t.split() for t in self.raw] if sieve.unit == "words" else self.raw
+        self.raw = table.column("text").to_pylist()
+        if sieve.unit == "words":
+            self.flat = [b" ".join(t.split()) for t in self.raw]
+            self.edge = [np.append(word_starts(t), len(t) + 1) for t in self.flat]
+            self.size = [len(e) - 1 for e in self.edge]
+        else:
+            self.flat, self.size = self.raw, [len(t) for t in self.raw]
+        hasher = Hasher(sieve)
         found = [self._part(rows, hasher) for rows in self._parts()]
         names = ("doc", "start", "count", "place", "key")
         for i, name in enumerate(names):
             kind = np.uint64 if name == "key" else np.int64
             setattr(self, name, np.concatenate([f[i] for f in found]) if found else np.zeros(0, kind))
 
+    def content(self, doc: int, start: int, stop: int) -> bytes:
+        if self.sieve.unit == "words":
+            edge = self.edge[doc]
+            return self.flat[doc][edge[start]:edge[stop] - 1]
+        return self.flat[doc][start:stop]
+
     def _parts(self):
         """(document, from unit, to unit): groups of about PART_BYTES; long documents in overlapping pieces."""
         per_unit = 6 if self.sieve.unit == "words" else 1
         room, overlap = PART_BYTES // per_unit, self.sieve.length - 1
         part, held = [], 0
-        for d, u in enumerate(self.units):
+        for d, size in enumerate(self.size):
             start = 0
-            while len(u) - start >= self.sieve.length:
-                stop = min(len(u), start + max(room, 2 * self.sieve.length))
+            while size - start >= self.sieve.length:
+                stop = min(size, start + max(room, 2 * self.sieve.length))
                 if held and held + stop - start > room:
                     yield part
                     part, held = [], 0
                 part.append((d, start, stop))
                 held += stop - start
-                if stop == len(u):
+                if stop == size:
                     break
                 start = stop - overlap
         if part:
@@ -198,20 +204,14 @@ class Bucket:
         sizes = np.array([b - a for _, a, b in rows])
         offsets = np.cumsum(sizes) - sizes
         ends = np.repeat(offsets + sizes, sizes)
-        if self.sieve.unit == "words":
-            grams = hasher.grams(hasher.words([w for d, a, b in rows for w in self.units[d][a:b]]))
-        else:
-            grams = hasher.grams(np.frombuffer(b"".join(self.units[d][a:b] for d, a, b in rows), np.uint8))
+        glue = b" " if self.sieve.unit == "words" else b""
+        grams = hasher.grams(glue.join([self.content(d, a, b) for d, a, b in rows]))
         start, count, place = window_runs(grams, ends, self.sieve.length, self.sieve.gram)
         row = np.searchsorted(offsets, start, side="right") - 1
         shift = np.array([a for _, a, _ in rows])[row] - offsets[row]
         doc = np.array([d for d, _, _ in rows])[row]
         return doc, start + shift, count, place + shift, mix(grams[place] ^ _OTHER)
 
-    def content(self, doc: int, start: int, stop: int) -> bytes:
-        part = self.units[doc][start:stop]
-        return b" ".join(part) if self.sieve.unit == "words" else part
-
     def shard_keys(self) -> np.ndarray:
         """Shard in the upper, 32 bits of the hash in the lower half."""
         shard = (self.key >> np.uint64(32)) % np.uint64(self.sieve.shards)
@@ -230,27 +230,74 @@ class Bucket:
         found, counts = np.unique(keys, return_counts=True)
         return found, np.minimum(counts, 255).astype(np.uint8)
 
-    def segments(self, recurring: np.ndarray, hot: np.ndarray):
-        """(document, first window, windows, routing hash) of every candidate segment."""
+    def segments(self, recurring: np.ndarray, hot: np.ndarray) -> Segments:
+        """Runs whose anchor recurs; those of a hot anchor in steps of ``hot_run`` windows."""
         keys = self.shard_keys()
-        at = np.searchsorted(recurring, keys)
-        at[at == len(recurring)] = 0
-        known = recurring[at] == keys if len(recurring) else np.zeros(len(keys), bool)
-        is_hot = known & hot[at] if len(recurring) else known
-        for r in np.flatnonzero(known & ~is_hot).tolist():
-            yield int(self.doc[r]), int(self.start[r]), int(self.count[r]), int(self.key[r])
+        known, is_hot = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+        if len(recurring):
+            at = np.minimum(np.searchsorted(recurring, keys), len(recurring) - 1)
+            known = recurring[at] == keys
+            is_hot = known & hot[at]
+        cold = np.flatnonzero(known & ~is_hot)
+        doc, start, count, route = self.doc[cold], self.start[cold], self.count[cold], self.key[cold]
+        more = [s for r in np.flatnonzero(is_hot).tolist() for s in self._steps(r)]
+        if more:
+            d, f, n, k = zip(*more)
+            doc, start, count = np.append(doc, d), np.append(start, f), np.append(count, n)
+            route = np.append(route, np.array(k, np.uint64))
+        return Segments(self, doc, start, count, route)
+
+    def _steps(self, run: int):
         step, length = self.sieve.hot_run, self.sieve.length
-        for r in np.flatnonzero(is_hot).tolist():
-            doc, place = int(self.doc[r]), int(self.place[r])
-            first, stop = int(self.start[r]), int(self.start[r] + self.count[r])
-            while first < stop:
-                # Windows whose distance to the anchor falls into the same step go together; the part
-                # that all windows of the step share says where.
-                top = place - (place - first) // step * step  # last window of the step
-                last = min(stop - 1, top)
-                shared = self.content(doc, top, top - step + 1 + length)
-                yield doc, first, last - first + 1, xxhash.xxh3_64_intdigest(shared)
-                first = last + 1
+        doc, place = int(self.doc[run]), int(self.place[run])
+        first, stop = int(self.start[run]), int(self.start[run] + self.count[run])
+        while first < stop:
+            # Windows whose distance to the anchor falls into the same step go together; the part that
+            # all windows of the step share says where.
+            top = place - (place - first) // step * step  # last window of the step
+            last = min(stop - 1, top)
+            shared = self.content(doc, top, top - step + 1 + length)
+            yield doc, first, last - first + 1, xxhash.xxh3_64_intdigest(shared)
+            first = last + 1
+
+
+class Segments:
+    """Candidate places of a bucket and the distinct texts among them.
+
+    ``doc``, ``start``, ``count`` and ``code`` describe places; ``code`` numbers distinct texts, whose
+    128-bit digests, one place each (``sample``) and routes are listed in that order.
+    """
+
+    def __init__(self, bucket: Bucket, doc, start, count, route):
+        self.bucket, self.doc, self.start, self.count = bucket, doc, start, count
+        stop = start + count + bucket.sieve.length - 1
+        if bucket.sieve.unit == "words" and len(doc):
+            sizes = np.array([len(e) for e in bucket.edge])
+            edges, offset = np.concatenate(bucket.edge), np.cumsum(sizes) - sizes
+            self.low, self.high = edges[offset[doc] + start], edges[offset[doc] + stop] - 1
+        else:
+            self.low, self.high = start, stop
+        digest, flat = xxhash.xxh3_128_digest, bucket.flat
+        number: dict[bytes, int] = {}
+        name = number.setdefault
+        places = zip(doc.tolist(), self.low.tolist(), self.high.tolist())
+        self.code = np.array([name(digest(flat[d][a:b]), len(number)) for d, a, b in places], np.int64)
+        self.digests = list(number)
+        _, self.sample = np.unique(self.code, return_index=True)
+        self.route = route[self.sample]
+
+    def text(self, code: int) -> bytes:
+        at = self.sample[code]
+        return self.bucket.flat[self.doc[at]][self.low[at]:self.high[at]]
+
+    def by_shard(self, shards: int):
+        """(shard, codes) of the distinct texts; texts of one anchor side by side."""
+        shard = ((self.route >> np.uint64(17)) % np.uint64(shards)).astype(np.int64)
+        order = np.lexsort((self.route, shard))
+        cuts = np.flatnonzero(np.diff(shard[order])) + 1
+        for codes in np.split(order, cuts):
+            if len(codes):
+                yield int(shard[codes[0]]), codes
 
 
 # --- arrays in binary columns ---------------------------------------------------------------
@@ -322,13 +369,13 @@ def bucket_table(df: DataFrame, id_col: str, text_col: str, carry: bool = False)
     return table
 
 
-def recurring_anchors(buckets: DataFrame, sieve: Sieve, hasher: Callable) -> DataFrame:
+def recurring_anchors(buckets: DataFrame, sieve: Sieve) -> DataFrame:
     """(bucket, shard, blob): for each bucket its anchors that recur in the corpus, with a hot mark."""
 
     counted, returned = "shard long, bucket long, blob binary", "bucket long, shard long, blob binary"
 
     def count(key, table):
-        keys, counts = Bucket(table, sieve, hasher()).anchor_counts()
+        keys, counts = Bucket(table, sieve).anchor_counts()
         shard = (keys >> np.uint64(32)).astype(np.int64)
         edges = np.flatnonzero(np.diff(shard, prepend=-1))
         rows = []

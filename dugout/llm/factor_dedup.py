@@ -144,41 +144,27 @@ def _sieve(df: DataFrame, length: int, hot: int) -> tuple[A.Sieve, int]:
     return A.Sieve(length, gram, "bytes", False, shards=parts, hot=hot, hot_run=max(1, length // 20)), 4 * parts
 
 
-def _candidates(bucket: A.Bucket, anchors: pa.Table):
-    """digest -> [first (id, position), places, windows, text, route]; (document, start, windows, digest) of places."""
-    keys, hot = A.read_anchors(anchors)
-    known: dict[bytes, list] = {}
-    places = []
-    length = bucket.sieve.length
-    for doc, start, count, route in bucket.segments(keys, hot):
-        text = bucket.content(doc, start, start + count + length - 1)
-        digest = xxhash.xxh3_128_digest(text)
-        at = (int(bucket.ids[doc]), start)
-        entry = known.get(digest)
-        if entry is None:
-            known[digest] = [at, 1, count, text, route]
-        else:
-            entry[0], entry[1] = min(entry[0], at), entry[1] + 1
-        places.append((doc, start, count, digest))
-    return known, places
+def _first_places(found: A.Segments) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every distinct segment of a bucket the first (id, position) and the number of places."""
+    ids = found.bucket.ids[found.doc]
+    order = np.lexsort((found.start, ids, found.code))
+    _, head = np.unique(found.code[order], return_index=True)
+    return ids[order][head], found.start[order][head], np.bincount(found.code, minlength=len(found.digests))
 
 
 def _send(sieve: A.Sieve, shards: int):
     def run(key, docs, anchors):
-        known, _ = _candidates(A.Bucket(docs, sieve, A.ByteHasher(sieve.gram)), anchors)
-        groups: dict[int, list] = {}
-        for entry in known.values():
-            groups.setdefault((entry[4] >> 17) % shards, []).append(entry)
+        found = A.Bucket(docs, sieve).segments(*A.read_anchors(anchors))
+        ids, starts, places = _first_places(found)
+        windows = found.count[found.sample]
         coder = zstandard.ZstdCompressor(level=3)
-        rows = []
-        for shard, group in groups.items():
-            group.sort(key=lambda e: e[4])  # segments of one anchor side by side compress well
-            heads = A.pack(
-                np.array([e[0][0] for e in group], np.int64), np.array([e[0][1] for e in group], np.int64),
-                np.array([e[4] for e in group], np.uint64), np.array([min(e[1], 255) for e in group], np.int32),
-                np.array([e[2] for e in group], np.int32),
-            )
-            rows.append((shard, key[0].as_py(), heads, coder.compress(b"".join(e[3] for e in group))))
+        rows = [
+            (shard, key[0].as_py(),
+             A.pack(ids[codes], starts[codes], found.route[codes], np.minimum(places[codes], 255).astype(np.int32),
+                    windows[codes].astype(np.int32)),
+             coder.compress(b"".join([found.text(c) for c in codes.tolist()])))
+            for shard, codes in found.by_shard(shards)
+        ]
         return table_of(arrow_schema(_SENT), rows)
 
     return run
@@ -267,24 +253,25 @@ def _removed_bytes(bucket: A.Bucket, found: pa.Table, keep: str) -> list[np.ndar
     for blob in marks.column("blob").to_pylist():
         for row in A.unpack(blob, f"V{width}")[0].tolist():
             bits_of[row[:16]] = row[16:]
-    known, places = _candidates(bucket, anchors)
-    edges = [np.zeros(len(u) + 1, np.int32) for u in bucket.units]
-    for doc, start, count, digest in places:
-        first, copies, *_ = known[digest]
-        if copies > 1 and (keep == "none" or (int(bucket.ids[doc]), start) != first):
-            edges[doc][start] += 1
-            edges[doc][start + count + length - 1] -= 1
-            continue
-        bits = bits_of.get(digest)
-        if bits is None:
-            continue
-        gone = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8))[:count])
-        if len(gone) == count:
-            edges[doc][start] += 1
-            edges[doc][start + count + length - 1] -= 1
-        else:
-            edges[doc][start + gone] += 1
-            edges[doc][start + gone + length] -= 1
+    places = bucket.segments(*A.read_anchors(anchors))
+    ids, starts, copies = _first_places(places)
+    edges = [np.zeros(n + 1, np.int32) for n in bucket.size]
+    whole = copies[places.code] > 1
+    if keep == "first":
+        whole &= (bucket.ids[places.doc] != ids[places.code]) | (places.start != starts[places.code])
+    bits = [bits_of.get(d) for d in places.digests]
+    rows = zip(places.doc.tolist(), places.start.tolist(), places.count.tolist(), places.code.tolist(), whole.tolist())
+    for doc, start, count, code, all_of_it in rows:
+        if not all_of_it:
+            if bits[code] is None:
+                continue
+            gone = np.flatnonzero(np.unpackbits(np.frombuffer(bits[code], np.uint8))[:count])
+            if len(gone) < count:
+                edges[doc][start + gone] += 1
+                edges[doc][start + gone + length] -= 1
+                continue
+        edges[doc][start] += 1
+        edges[doc][start + count + length - 1] -= 1
     return [np.cumsum(e[:-1]) > 0 for e in edges]
 
 
@@ -303,7 +290,7 @@ def repeated_bytes(
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     sieve, shards = _sieve(df, length, hot)
     buckets = A.bucket_table(df, id_col, text_col)
-    anchors = A.recurring_anchors(buckets, sieve, lambda: A.ByteHasher(sieve.gram))
+    anchors = A.recurring_anchors(buckets, sieve)
     sent = buckets.groupBy("bucket").cogroup(anchors.groupBy("bucket")).applyInArrow(_send(sieve, shards), _SENT)
     marks = sent.groupBy("shard").applyInArrow(_mark(sieve, keep), _FOUND)
     found = materialize(
@@ -311,7 +298,7 @@ def repeated_bytes(
     )
 
     def run(key, docs, found):
-        bucket = A.Bucket(docs, sieve, A.ByteHasher(sieve.gram))
+        bucket = A.Bucket(docs, sieve)
         rows = []
         gone_of = _removed_bytes(bucket, found, keep)
         for id_, raw, gone in zip(docs.column("doc_id").to_pylist(), bucket.raw, gone_of):

@@ -36,7 +36,7 @@ from dugout.sources.shared import materialize
 PHRASES, GRAM_WORDS = 50_000, 7
 #: windows of a segment are marked in one byte
 MASK_BITS = 8
-_SENT = "shard long, bucket long, first array<long>, many array<boolean>, text binary"
+_SENT = "shard long, bucket long, heads binary, text binary"
 _FOUND = "bucket long, kind int, shard long, blob binary"
 
 
@@ -47,65 +47,112 @@ def _sieve(df: DataFrame, length: int, hot: int) -> tuple[A.Sieve, int]:
     return A.Sieve(length, gram, "words", True, shards=parts, hot=hot), 4 * parts
 
 
-def _candidates(bucket: A.Bucket, anchors: pa.Table):
-    """digest -> [smallest id, held by several ids, text, routing hash]; (document, start, windows, digest) of places."""
-    keys, hot = A.read_anchors(anchors)
-    known: dict[bytes, list] = {}
-    places = []
-    length = bucket.sieve.length
-    for doc, start, count, route in bucket.segments(keys, hot):
-        text = bucket.content(doc, start, start + count + length - 1)
-        digest = xxhash.xxh3_128_digest(text)
-        entry = known.get(digest)
-        if entry is None:
-            known[digest] = [int(bucket.ids[doc]), False, text, route]
-        elif bucket.ids[doc] != entry[0]:
-            entry[0], entry[1] = min(entry[0], int(bucket.ids[doc])), True
-        places.append((doc, start, count, digest))
-    return known, places
+def _smallest_ids(found: A.Segments) -> tuple[np.ndarray, np.ndarray]:
+    """Of every distinct segment of a bucket the smallest id that has it, and whether several have."""
+    ids = found.bucket.ids[found.doc]
+    low = np.full(len(found.digests), A.NO_ID)
+    high = np.full(len(found.digests), np.iinfo(np.int64).min)
+    np.minimum.at(low, found.code, ids)
+    np.maximum.at(high, found.code, ids)
+    return low, low != high
+
+
+class _Numbers(dict):
+    def __missing__(self, word):
+        n = self[word] = len(self)
+        return n
+
+
+def _repeated_windows(words: np.ndarray, valid: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of windows that occur twice or more among the segments, and a number for each distinct one."""
+    n = len(valid)
+    hashed = A.mix(words.astype(np.uint64) + np.uint64(1))
+    name = np.zeros(n, np.uint64)
+    for j in range(length):
+        name = name * np.uint64(0x9E3779B97F4A7C15) + hashed[j:j + n]
+    at = np.flatnonzero(valid)
+    order = np.argsort(name[at], kind="stable")
+    at, name = at[order], name[at][order]
+    new = np.ones(len(at), bool)
+    new[1:] = name[1:] != name[:-1]
+    group = np.cumsum(new) - 1
+    twice = np.bincount(group)[group] > 1 if len(at) else new
+    at, group = at[twice], group[twice]
+    if len(at):  # the same hash must mean the same words
+        heads = np.append(True, group[1:] != group[:-1])
+        head = at[heads][np.cumsum(heads) - 1]
+        steps = np.arange(length)
+        for k in range(0, len(at), 1 << 16):
+            part = slice(k, k + (1 << 16))
+            if (words[at[part, None] + steps] != words[head[part, None] + steps]).any():
+                _, group = np.unique(words[at[:, None] + steps], axis=0, return_inverse=True)
+                return at, group.reshape(-1)
+    return at, np.unique(group, return_inverse=True)[1].reshape(-1) if len(at) else group
 
 
 def confirm_and_locate(
-    segments: list[tuple], first: np.ndarray, several: np.ndarray, length: int, per_automaton: int = PHRASES
-) -> list[np.ndarray]:
+    texts: list[bytes], first: np.ndarray, several: np.ndarray, length: int, per_automaton: int = PHRASES
+) -> list[list[int]]:
     """For every window of every segment the smallest id that holds it, NO_ID if no second id does.
 
-    ``segments`` are distinct sequences of word numbers, ``first`` the smallest id that has each and
-    ``several`` whether more than one id has it.
+    ``texts`` are distinct segments, ``first`` the smallest id that has each, ``several`` whether more
+    than one id has it. Two kinds of passage are confirmed: whole segments that several ids have, and
+    single windows that occur in different segments. The automata hold both; their symbols are words.
     """
-    seen: dict[tuple, int] = {}
-    phrases: dict[tuple, int] = {}
-    for words, doc, shared in zip(segments, first.tolist(), several.tolist()):
-        for j in range(len(words) - length + 1):
-            phrase = words[j:j + length]
-            before = seen.setdefault(phrase, doc)
-            if shared or before != doc:
-                phrases[phrase] = min(before, doc, phrases.get(phrase, doc))
-    del seen
-    smallest = [np.full(max(0, len(w) - length + 1), A.NO_ID) for w in segments]
-    confirmed = list(phrases)
-    for at in range(0, len(confirmed), per_automaton):
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for phrase in confirmed[at:at + per_automaton]:
-            automaton.add_word(phrase, phrases[phrase])
+    sizes = np.array([t.count(b" ") + 1 for t in texts])
+    words = np.array(list(map(_Numbers().__getitem__, b" ".join(texts).split(b" "))), np.int64)
+    offsets = np.cumsum(sizes) - sizes
+    segment = np.repeat(np.arange(len(texts)), sizes)
+    n = max(0, len(words) - length + 1)
+    valid = segment[:n] == segment[length - 1:length - 1 + n]
+    at, group = _repeated_windows(words, valid, length)
+    listed = words.tolist()
+    passages: dict[tuple, int] = {}
+    busy = several.copy()
+    if len(at):
+        held = segment[at]
+        low, high = np.full(group.max() + 1, A.NO_ID), np.full(group.max() + 1, -1 << 63)
+        shared = np.zeros(group.max() + 1, bool)
+        np.minimum.at(low, group, first[held])
+        np.maximum.at(high, group, first[held])
+        np.logical_or.at(shared, group, several[held])
+        confirmed = shared | (low != high)
+        busy[held[confirmed[group]]] = True
+        _, sample = np.unique(group, return_index=True)
+        for g in np.flatnonzero(confirmed).tolist():
+            k = int(at[sample[g]])
+            passages[tuple(listed[k:k + length])] = int(low[g])
+    for s in np.flatnonzero(several).tolist():
+        whole = tuple(listed[offsets[s]:offsets[s] + sizes[s]])
+        passages[whole] = min(int(first[s]), passages.get(whole, A.NO_ID))
+    smallest = [[A.NO_ID] * max(0, size - length + 1) for size in sizes.tolist()]
+    streamed = [(s, tuple(listed[offsets[s]:offsets[s] + sizes[s]])) for s in np.flatnonzero(busy).tolist()]
+    todo = list(passages.items())
+    for k in range(0, len(todo), per_automaton):
+        part = todo[k:k + per_automaton]
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for i, (passage, _) in enumerate(part):
+            automaton.add_word(passage, i)
         automaton.make_automaton()
-        for words, row in zip(segments, smallest):
-            for end, doc in automaton.iter(words):
-                row[end - length + 1] = doc
+        for s, symbols in streamed:
+            row = smallest[s]
+            for end, i in automaton.iter(symbols):
+                passage, doc = part[i]
+                for w in range(end - len(passage) + 1, end - length + 2):
+                    if doc < row[w]:
+                        row[w] = doc
     return smallest
 
 
 def _send(sieve: A.Sieve, shards: int):
     def run(key, docs, anchors):
-        known, _ = _candidates(A.Bucket(docs, sieve, A.WordHasher(sieve.gram)), anchors)
-        groups: dict[int, list] = {}
-        for entry in known.values():
-            groups.setdefault((entry[3] >> 17) % shards, []).append(entry)
+        found = A.Bucket(docs, sieve).segments(*A.read_anchors(anchors))
+        low, several = _smallest_ids(found)
         coder = zstandard.ZstdCompressor(level=3)
         rows = [
-            (shard, key[0].as_py(), [e[0] for e in group], [e[1] for e in group],
-             coder.compress(b"\n".join(e[2] for e in group)))
-            for shard, group in groups.items()
+            (shard, key[0].as_py(), A.pack(low[codes], several[codes].astype(np.uint8)),
+             coder.compress(b"\n".join([found.text(c) for c in codes.tolist()])))
+            for shard, codes in found.by_shard(shards)
         ]
         return table_of(arrow_schema(_SENT), rows)
 
@@ -115,37 +162,33 @@ def _send(sieve: A.Sieve, shards: int):
 def _locate(sieve: A.Sieve):
     def run(key, table):
         opened = zstandard.ZstdDecompressor()
-        number: dict[bytes, int] = {}
         index: dict[bytes, int] = {}
-        segments, first, several, rows = [], [], [], []
-        columns = (table.column(c).to_pylist() for c in ("bucket", "first", "many", "text"))
-        for bucket, ids, many, blob in zip(*columns):
-            for doc, more, text in zip(ids, many, opened.decompress(blob).split(b"\n")):
-                at = index.get(text)
-                if at is None:
-                    at = index[text] = len(segments)
-                    segments.append(tuple([number.setdefault(w, len(number)) for w in text.split(b" ")]))
-                    first.append(doc)
-                    several.append(more)
-                else:
-                    several[at] = several[at] or more or first[at] != doc
-                    first[at] = min(first[at], doc)
-                rows.append((bucket, doc, at))
-        digests = [xxhash.xxh3_128_digest(text) for text in index]
-        del index, number
-        smallest = confirm_and_locate(segments, np.array(first, np.int64), np.array(several, bool), sieve.length)
-        # A segment that several buckets hold starts with the smallest id of them all.
-        out: dict[int, list] = {}
-        for bucket, doc, at in rows:
-            earlier = smallest[at] < doc
-            if earlier.any():
-                out.setdefault(bucket, []).append((digests[at], np.packbits(earlier[:8], bitorder="little")[0]))
-        shard = key[0].as_py()
-        found = [
-            (bucket, 1, shard, A.pack(np.frombuffer(b"".join(d for d, _ in marks), np.uint8).reshape(-1, 16),
-                                      np.array([m for _, m in marks], np.uint8)))
-            for bucket, marks in out.items()
-        ]
+        buckets, ids, many, codes = [], [], [], []
+        for bucket, heads, blob in zip(*(table.column(c).to_pylist() for c in ("bucket", "heads", "text"))):
+            low, several = A.unpack(heads, np.int64, np.uint8)
+            codes += [index.setdefault(t, len(index)) for t in opened.decompress(blob).split(b"\n")]
+            buckets.append(np.full(len(low), bucket))
+            ids.append(low)
+            many.append(several.astype(bool))
+        bucket, id_, code = np.concatenate(buckets), np.concatenate(ids), np.array(codes, np.int64)
+        first, last = np.full(len(index), A.NO_ID), np.full(len(index), -1 << 63)
+        several = np.zeros(len(index), bool)
+        np.minimum.at(first, code, id_)
+        np.maximum.at(last, code, id_)
+        np.logical_or.at(several, code, np.concatenate(many))
+        texts = list(index)
+        smallest = confirm_and_locate(texts, first, several | (first != last), sieve.length)
+        # A window of a bucket's smallest holder goes if a smaller id elsewhere holds the window.
+        mask = np.array([sum((doc < mine) << j for j, doc in enumerate(smallest[c]))
+                         for c, mine in zip(codes, id_.tolist())], np.uint8)
+        marked = np.flatnonzero(mask)
+        marked = marked[np.argsort(bucket[marked], kind="stable")]
+        found = []
+        for part in np.split(marked, np.flatnonzero(np.diff(bucket[marked])) + 1):
+            if len(part):
+                digests = b"".join([xxhash.xxh3_128_digest(texts[c]) for c in code[part].tolist()])
+                found.append((int(bucket[part[0]]), 1, key[0].as_py(),
+                              A.pack(np.frombuffer(digests, np.uint8).reshape(-1, 16), mask[part])))
         return table_of(arrow_schema(_FOUND), found)
 
     return run
@@ -159,21 +202,33 @@ def _removed_words(bucket: A.Bucket, found: pa.Table) -> list[np.ndarray]:
     for blob in marks.column("blob").to_pylist():
         digests, masks = A.unpack(blob, "V16", np.uint8)
         mask_of.update(zip(digests.tolist(), masks.tolist()))
-    known, places = _candidates(bucket, anchors)
-    length = bucket.sieve.length
-    edges = [np.zeros(len(u) + 1, np.int64) for u in bucket.units]
-    for doc, start, count, digest in places:
-        if bucket.ids[doc] > known[digest][0]:
-            edges[doc][start] += 1
-            edges[doc][start + count + length - 1] -= 1
-            continue
-        mask = mask_of.get(digest, 0)
-        while mask:
-            j = (mask & -mask).bit_length() - 1
-            edges[doc][start + j] += 1
-            edges[doc][start + j + length] -= 1
-            mask &= mask - 1
-    return [np.cumsum(e[:-1]) > 0 for e in edges]
+    places = bucket.segments(*A.read_anchors(anchors))
+    low, _ = _smallest_ids(places)
+    length, sizes = bucket.sieve.length, np.array(bucket.size)
+    offset = np.cumsum(sizes + 1) - (sizes + 1)
+    change = np.zeros(int((sizes + 1).sum()), np.int32)
+    at = offset[places.doc] + places.start
+    # Holders with a larger id than the smallest of the bucket lose the whole segment.
+    later = bucket.ids[places.doc] > low[places.code]
+    np.add.at(change, at[later], 1)
+    np.add.at(change, (at + places.count + length - 1)[later], -1)
+    mask = np.array([mask_of.get(d, 0) for d in places.digests], np.uint8)[places.code]
+    mask[later] = 0
+    for j in range(MASK_BITS):
+        hit = at[(mask >> j & 1).astype(bool)] + j
+        np.add.at(change, hit, 1)
+        np.add.at(change, hit + length, -1)
+    gone = np.cumsum(change) > 0
+    return [gone[a:a + n] for a, n in zip(offset.tolist(), sizes.tolist())]
+
+
+def kept_words(flat: bytes, edge: np.ndarray, gone: np.ndarray) -> bytes:
+    """The words that stay, joined by single spaces."""
+    if not gone.any():
+        return flat
+    change = np.flatnonzero(np.diff(np.concatenate([[True], gone, [True]]).astype(np.int8)))
+    spans = zip(edge[change[0::2]].tolist(), edge[change[1::2]].tolist())
+    return b" ".join([flat[a:b - 1] for a, b in spans])
 
 
 def kept_text(raw: bytes, words: list[bytes], gone: np.ndarray) -> bytes:
@@ -191,8 +246,7 @@ def kept_text(raw: bytes, words: list[bytes], gone: np.ndarray) -> bytes:
 def _find(df: DataFrame, id_col: str, text_col: str, length: int, hot: int, carry: bool):
     sieve, shards = _sieve(df, length, hot)
     buckets = A.bucket_table(df, id_col, text_col, carry)
-    hasher = lambda: A.WordHasher(sieve.gram)
-    anchors = A.recurring_anchors(buckets, sieve, hasher)
+    anchors = A.recurring_anchors(buckets, sieve)
     sent = buckets.select("bucket", "doc_id", "text").groupBy("bucket").cogroup(
         anchors.groupBy("bucket")).applyInArrow(_send(sieve, shards), _SENT)
     marks = sent.groupBy("shard").applyInArrow(_locate(sieve), _FOUND)
@@ -210,11 +264,12 @@ def phrase_digests(
     sieve, buckets, found = _find(df, id_col, text_col, length, hot, carry=False)
 
     def run(key, docs, found):
-        bucket = A.Bucket(docs, sieve, A.WordHasher(sieve.gram))
+        bucket = A.Bucket(docs, sieve)
         rows = []
-        for id_, words, gone in zip(docs.column("doc_id").to_pylist(), bucket.units, _removed_words(bucket, found)):
-            kept = [w for w, g in zip(words, gone.tolist()) if not g] if gone.any() else words
-            rows.append((id_, len(words), int(gone.sum()), hashlib.sha256(b" ".join(kept)).hexdigest()))
+        ids = docs.column("doc_id").to_pylist()
+        for id_, flat, edge, gone in zip(ids, bucket.flat, bucket.edge, _removed_words(bucket, found)):
+            kept = hashlib.sha256(kept_words(flat, edge, gone)).hexdigest()
+            rows.append((id_, len(gone), int(gone.sum()), kept))
         return table_of(arrow_schema(ddl), rows)
 
     return buckets.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(run, ddl)
@@ -238,11 +293,11 @@ def without_repeated_phrases(
     schema = buckets.select("row.*").schema
 
     def run(key, docs, found):
-        bucket = A.Bucket(docs, sieve, A.WordHasher(sieve.gram))
+        bucket = A.Bucket(docs, sieve)
         rows = docs.column("row").to_pylist()
-        for row, raw, words, gone in zip(rows, bucket.raw, bucket.units, _removed_words(bucket, found)):
+        for row, raw, gone in zip(rows, bucket.raw, _removed_words(bucket, found)):
             if row[text_col] is not None and gone.any():
-                row[text_col] = kept_text(raw, words, gone).decode()
+                row[text_col] = kept_text(raw, raw.split(), gone).decode()
                 if chars_col:
                     row[chars_col] = len(row[text_col])
         return pa.Table.from_pylist(rows, schema=to_arrow_schema(schema))
