@@ -33,6 +33,8 @@ from dugout.sources.shared import materialize, new_path
 
 #: rolls over to a new archive file; reads at most so much at once; reads over gaps up to this size
 FILE_BYTES, RANGE_BYTES, GAP_BYTES = 64 << 20, 4 << 20, 64 << 10
+#: compressed bytes that one reading task takes
+TASK_BYTES = 16 << 20
 INDEX = (
     "page_id long, url string, file string, offset long, length long, payload_digest string, "
     "payload_bytes long, record_type string, refers_to long"
@@ -190,7 +192,11 @@ def read_records(index: DataFrame, folder: str, **limits) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    return byte_ranges(index, **limits).mapInArrow(run, RECORD + ", url string, payload binary")
+    # Range rows are tiny and what they stand for is not: deal them out by the bytes to read.
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, -(-total // TASK_BYTES))
+    ranges = byte_ranges(index, **limits).repartition(tasks, "file", "range")
+    return ranges.mapInArrow(run, RECORD + ", url string, payload binary")
 
 
 def archive_pages(
