@@ -17,6 +17,9 @@ class LinearModel:
     labels: tuple[str, ...]
     intercepts: tuple[float, ...]
     weights: tuple[tuple[float, ...], ...]
+    #: steps of the fit and whether it ended before its limit; None for a model that was not fitted here
+    iterations: int | None = None
+    converged: bool | None = None
 
     def relative_to_first(self) -> LinearModel:
         """The same probabilities, written with the first class as the zero baseline."""
@@ -25,6 +28,7 @@ class LinearModel:
             self.features, self.labels,
             tuple(b - b0 for b in self.intercepts),
             tuple(tuple(w - v for w, v in zip(row, w0)) for row in self.weights),
+            self.iterations, self.converged,
         )
 
     def probability(self, label: str) -> Column:

@@ -66,28 +66,26 @@ def model_deviance(
 def confusion_counts(
     scored: DataFrame, reference: str, predicted: str, labels: Sequence[str], *, by: Sequence[str] = (),
 ) -> DataFrame:
-    """Count per (reference, prediction) over the full label grid; empty cells are 0."""
-    spark = scored.sparkSession
+    """Count per (reference, prediction) over the full label grid; empty cells are 0.
+
+    ``dropped`` is, in every row, the number of rows of the group that fit no cell: a null on
+    either side, or a label that is not in ``labels``.
+    """
     counted = scored.groupBy(*by, F.col(reference).alias("reference"), F.col(predicted).alias("prediction")) \
         .agg(F.count("*").alias("n"))
-    if by:
-        # Complete every group from its own pivoted counts.
-        cells = [(r, p) for r in labels for p in labels]
-        hit = lambda r, p: (F.col("reference") == r) & (F.col("prediction") == p)
-        # Labels outside the grid are left out by the cells themselves.
-        wide = counted.groupBy(*by).agg(*[
-            F.coalesce(F.sum(F.when(hit(r, p), F.col("n"))), F.lit(0)).alias(f"__{i}")
-            for i, (r, p) in enumerate(cells)
-        ])
-        rows = F.array(*[
-            F.struct(F.lit(r).alias("reference"), F.lit(p).alias("prediction"), F.col(f"__{i}").alias("n"))
-            for i, (r, p) in enumerate(cells)
-        ])
-        return wide.select(*by, F.inline(rows))
-    grid = spark.createDataFrame([(r, p) for r in labels for p in labels], "reference string, prediction string")
-    return grid.join(counted, ["reference", "prediction"], "left").select(
-        "reference", "prediction", F.coalesce("n", F.lit(0)).cast("long").alias("n")
+    cells = [(r, p) for r in labels for p in labels]
+    hit = lambda r, p: (F.col("reference") == r) & (F.col("prediction") == p)
+    total = lambda column: F.coalesce(F.sum(column), F.lit(0))
+    inside = F.col("reference").isin(*labels) & F.col("prediction").isin(*labels)
+    wide = counted.groupBy(*by).agg(
+        total(F.when(~F.coalesce(inside, F.lit(False)), F.col("n"))).alias("dropped"),
+        *[total(F.when(hit(r, p), F.col("n"))).alias(f"__{i}") for i, (r, p) in enumerate(cells)],
     )
+    rows = F.array(*[
+        F.struct(F.lit(r).alias("reference"), F.lit(p).alias("prediction"), F.col(f"__{i}").alias("n"))
+        for i, (r, p) in enumerate(cells)
+    ])
+    return wide.select(*by, F.inline(rows), "dropped")
 
 
 def _margins(counts: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -118,16 +116,17 @@ def class_metrics(counts: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
 
 
 def overall_metrics(counts: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
-    """Accuracy, no-information rate and kappa."""
+    """Accuracy, no-information rate and kappa of the counted rows, and how many rows were dropped."""
     marked = _margins(counts, by)
     same = F.col("reference") == F.col("prediction")
     n = F.max("__all")
     chance = F.sum(F.when(same, F.col("__ref").cast("double") * F.col("__pred").cast("double")))
     out = marked.groupBy(*by).agg(
         n.alias("n"),
+        F.max("dropped").alias("dropped"),
         F.sum(F.when(same, F.col("n"))).alias("correct"),
         ratio(F.max("__ref"), n).alias("no_information_rate"),
-        (chance / (n.cast("double") * n.cast("double"))).alias("__chance"),
+        ratio(chance, n.cast("double") * n.cast("double")).alias("__chance"),
     ).withColumn("accuracy", ratio(F.col("correct"), F.col("n")))
     return out.withColumn(
         "kappa", F.try_divide(F.col("accuracy") - F.col("__chance"), F.lit(1.0) - F.col("__chance"))
@@ -151,23 +150,54 @@ def accuracy_inference(overall: DataFrame, level: float = 0.95) -> DataFrame:
             rows.append((lower, upper, 1.0 if k == 0 else _beta_cdf(p, k, m - k + 1)))
         return pd.DataFrame(rows, columns=["accuracy_lower", "accuracy_upper", "p_value"])
 
-    return overall.withColumn("__x", exact("correct", "n", "no_information_rate")).select("*", "__x.*").drop("__x")
+    counted = F.col("n") > 0
+    found = overall.withColumn("__x", exact(
+        F.when(counted, F.col("correct")).otherwise(0), F.when(counted, F.col("n")).otherwise(1),
+        F.when(counted, F.col("no_information_rate")).otherwise(0.0)))
+    names = ("accuracy_lower", "accuracy_upper", "p_value")
+    return found.withColumns({c: F.when(counted, F.col(f"__x.{c}")) for c in names}).drop("__x")
+
+
+def _stirling_rest(z: float) -> float:
+    """What Stirling's formula for ln(gamma(z)) leaves out."""
+    if z < 16.0:
+        return math.lgamma(z) - ((z - 0.5) * math.log(z) - z + 0.5 * math.log(2.0 * math.pi))
+    i = 1.0 / (z * z)
+    return (1 / 12 - i * (1 / 360 - i * (1 / 1260 - i * (1 / 1680 - i / 1188)))) / z
+
+
+def _excess(count: float, expected: float) -> float:
+    """``count * ln(count / expected) + expected - count`` without cancellation."""
+    gap = (count - expected) / expected
+    if abs(gap) > 0.1:
+        return count * math.log(count / expected) + expected - count
+    # ln(1 + g) = 2 atanh(v) with v = g / (2 + g); the leading terms cancel by hand.
+    v = gap / (2.0 + gap)
+    total, power, k = 0.0, 2.0 * count * v * v * v, 3
+    while abs(power / k) > 1e-18 * max(abs(total), 1e-300):
+        total += power / k
+        power, k = power * v * v, k + 2
+    return (count - expected) * v + total
 
 
 def _beta_cdf(x: float, a: float, b: float) -> float:
-    """Regularised incomplete beta function by its continued fraction (modified Lentz)."""
+    """Regularised incomplete beta function by its continued fraction (modified Lentz).
+
+    The factor in front is built from Stirling remainders and the distance to the mean, so that
+    nothing large is subtracted. Raises when the fraction has not converged.
+    """
     if x <= 0.0 or x >= 1.0:
         return 0.0 if x <= 0.0 else 1.0
     if x > (a + 1.0) / (a + b + 2.0):
         return 1.0 - _beta_cdf(1.0 - x, b, a)
-    front = math.exp(
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    ) / a
+    n = a + b
+    front = math.sqrt(b / (2.0 * math.pi * a * n)) * math.exp(
+        _stirling_rest(n) - _stirling_rest(a) - _stirling_rest(b) - _excess(a, n * x) - _excess(b, n * (1.0 - x))
+    )
     floor = 1e-300
     c, d = 1.0, 1.0 / max(1.0 - (a + b) * x / (a + 1.0), floor)
     total = d
-    for m in range(1, 100_000):
-        step = 1.0
+    for m in range(1, 2_000_000):
         for term in (
             m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
             -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
@@ -178,9 +208,9 @@ def _beta_cdf(x: float, a: float, b: float) -> float:
             c = c if abs(c) > floor else floor
             step = c * d
             total *= step
-        if abs(step - 1.0) < 1e-14:
-            break
-    return front * total
+        if abs(step - 1.0) < 1e-15:
+            return front * total
+    raise ArithmeticError(f"incomplete beta function did not converge at x={x}, a={a}, b={b}")
 
 
 def _beta_quantile(q: float, a: float, b: float) -> float:

@@ -26,6 +26,12 @@ def consolidate_levels(level: Column) -> Column:
     return recode(level, {"Affiliated": S.AFFILIATED, "Independent": S.INDEPENDENT})
 
 
+def seasons_of(appearances: DataFrame, season: str = "season") -> list[int]:
+    """The seasons that occur, in order; the driver receives one number per season."""
+    found = appearances.select(season).distinct().where(F.col(season).isNotNull()).collect()
+    return sorted(r[0] for r in found)
+
+
 def season_level(
     appearances: DataFrame, players: DataFrame, *, player: str, seasons: Sequence[int],
     ranks: Mapping[str, int], minimum: int = S.MIN_PLATE_APPEARANCES, excluded: Sequence[str] = (),

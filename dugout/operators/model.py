@@ -6,6 +6,7 @@ is the same, repeated rows cost nothing, and the table is cached for the passes
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -23,7 +24,7 @@ from dugout.operators.ordered import hash_rank
 from dugout.session import side_by_side
 
 WEIGHT = "n_rows"
-#: rows per task while a fit iterates; small tables then need few tasks per pass
+#: rows per task while a fit iterates (a parameter of speed only); small tables then need few tasks per pass
 ROWS_PER_TASK = 250_000
 
 
@@ -62,13 +63,25 @@ def _label_index(label: Column, labels: Sequence[str]) -> Column:
     return out
 
 
+class NotConverged(UserWarning):
+    """A fit stopped at its iteration limit; on separable data no finite optimum exists."""
+
+
+def _report(what: str, iterations: int, limit: int) -> bool:
+    converged = iterations < limit
+    if not converged:
+        warnings.warn(f"{what} stopped after {iterations} iterations without converging", NotConverged, stacklevel=3)
+    return converged
+
+
 def fit_multinomial(
     rows: DataFrame, features: Sequence[str], label: str, labels: Sequence[str], *,
     max_iter: int = 200, tol: float = 1e-9, compressed: bool = False,
 ) -> LinearModel:
     """Unpenalised softmax regression; classes without a training row are left out.
 
-    The first class present is the baseline, so coefficients read as log-odds against it.
+    The first class present is the baseline, so coefficients read as log-odds against it. The model
+    says how many iterations it took; one that reaches ``max_iter`` is marked and warned about.
     ``compressed`` says that ``rows`` already is a cached ``compress`` table.
     """
     if not compressed:
@@ -85,18 +98,19 @@ def fit_multinomial(
     if not present:
         raise ValueError("no training rows")
     if len(present) == 1:
-        return LinearModel(tuple(features), present, (0.0,), ((0.0,) * len(features),))
+        return LinearModel(tuple(features), present, (0.0,), ((0.0,) * len(features),), 0, True)
     vectors = VectorAssembler(inputCols=list(features), outputCol="features").transform(
         rows.where(F.col(label).isin(*present)).withColumn("label", _label_index(F.col(label), present))
     )
     fitted = LogisticRegression(
         family="multinomial", regParam=0.0, maxIter=max_iter, tol=tol, weightCol=WEIGHT
     ).fit(vectors)
-    weights = fitted.coefficientMatrix.toArray()
+    weights, steps = fitted.coefficientMatrix.toArray(), fitted.summary.totalIterations
     return LinearModel(
         tuple(features), present,
         tuple(float(v) for v in fitted.interceptVector.toArray()),
         tuple(tuple(float(v) for v in row) for row in weights),
+        steps, _report(f"softmax fit of {label}", steps, max_iter),
     ).relative_to_first()
 
 
@@ -139,11 +153,15 @@ def predictor_sweep(
 def fit_binary(
     table: DataFrame, features: Sequence[str], label: str, *, max_iter: int = 25, tol: float = 1e-8
 ) -> tuple[float, tuple[float, ...]]:
-    """Intercept and weights of a logistic regression on a ``compress``-like table."""
+    """Intercept and weights of a logistic regression on a ``compress``-like table.
+
+    Warns with ``NotConverged`` when the fit reaches ``max_iter``.
+    """
     vectors = VectorAssembler(inputCols=list(features), outputCol="features").transform(table)
     fitted = GeneralizedLinearRegression(
         family="binomial", link="logit", labelCol=label, weightCol=WEIGHT, maxIter=max_iter, tol=tol
     ).fit(vectors)
+    _report(f"logistic fit of {label}", fitted.summary.numIterations, max_iter)
     return float(fitted.intercept), tuple(float(v) for v in fitted.coefficients)
 
 

@@ -135,7 +135,7 @@ def linear_weights(
 
     ``values`` is ``run_values``: at most a dozen rows per season, which is why windows per
     season are safe here. ``reference_season`` takes the run values of that season for every
-    season, keeping each season's own league totals.
+    season, keeping each season's own league totals; other keys in ``by`` keep to themselves.
     """
     league = W.partitionBy(*by)
     result, plays = F.col("play_result"), F.col("plays")
@@ -144,7 +144,7 @@ def linear_weights(
     out = values.withColumn("league_obp", on_base)
     for m in methods:
         if reference_season is not None:
-            same_result = W.partitionBy("play_result")
+            same_result = W.partitionBy(*[c for c in by if c != "season"], "play_result")
             taken = F.max(F.when(F.col("season") == reference_season, F.col(m))).over(same_result)
             out = out.withColumn(m, taken)
         at_out = F.max(F.when(result == S.OUT, F.col(m))).over(league)

@@ -14,7 +14,7 @@ from dugout.operators import evaluate
 from dugout.operators.batting import top_k
 from dugout.operators.levels import target_level
 from dugout.operators.model import (
-    HORIZON_SETS, SEASON_SETS, fit_multinomial, predictor_sweep, project_levels, stratified_split,
+    HORIZON_SETS, SEASON_SETS, fit_multinomial, predictor_sweep, stratified_split,
 )
 from dugout.session import side_by_side
 from dugout.sources.shared import materialize
@@ -42,17 +42,14 @@ def fit_horizons(
     return {y: m for y, m, _ in years}, reduce(DataFrame.unionByName, [loss for _, _, loss in years])
 
 
-def project(players: DataFrame, models: Mapping[int, LinearModel]) -> DataFrame:
-    return project_levels(players, models)
-
-
 def compare_predictors(
     profiles: DataFrame, ids: Sequence[str], label: str, labels: Sequence[str], *,
     predictor_sets: Mapping[str, Sequence[str]] = SEASON_SETS, p: float = 0.8, seed: int = 425,
 ) -> tuple[dict[str, LinearModel], DataFrame]:
     """Fit on the training split, evaluate on the rest.
 
-    Returns the models and one row of overall metrics per predictor set.
+    Returns the models and one row of overall metrics per predictor set. A set keeps its row, with
+    ``n = 0`` and null rates, when no test row could be scored; unscored rows count as ``dropped``.
     """
     split = materialize(stratified_split(profiles, ids, label, p=p, seed=seed), "split")
     train, test = split.where("is_train"), split.where(~F.col("is_train"))
@@ -62,10 +59,13 @@ def compare_predictors(
     calls = F.array(*[
         F.struct(F.lit(name).alias("model"), m.predicted().alias("predicted")) for name, m in models.items()
     ])
-    every = test.select(F.col(label).alias("actual"), F.inline(calls)).where(F.col("predicted").isNotNull())
+    every = test.select(F.col(label).alias("actual"), F.inline(calls))
     counts = evaluate.confusion_counts(every, "actual", "predicted", labels, by=["model"])
     overall = evaluate.overall_metrics(counts, by=["model"])
-    return models, evaluate.accuracy_inference(overall)
+    names = split.sparkSession.createDataFrame([(m,) for m in models], "model string")
+    full = names.join(overall, "model", "left").withColumns(
+        {c: F.coalesce(c, F.lit(0)) for c in ("n", "dropped", "correct")})
+    return models, evaluate.accuracy_inference(full)
 
 
 def board(players: DataFrame, model: LinearModel, label: str, *, player: str = "batter", k: int = 5) -> DataFrame:

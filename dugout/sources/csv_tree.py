@@ -2,7 +2,8 @@
 
 The first file sets the schema. Every other file is matched to it by column name:
 missing columns become null, unknown ones are dropped, values that do not parse become
-null. Files that share no column with the schema are set aside.
+null. What cannot be used goes to the quarantine and is not in the rows: files that share
+no column with the schema, records with too few or too many fields, and damaged files.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ from pyspark.sql import types as T
 from dugout import schema as S
 from dugout.functions.columns import snake_case
 from dugout.sources.shared import materialize
-from dugout.sources.tables import NULL_TEXT, union_sources
+from dugout.sources.tables import NULL_TEXT, coerce, conform  # noqa: F401  (part of this module's interface)
 
 _CORRUPT = "_corrupt_record"
+_TREE = {"recursiveFileLookup": True, "pathGlobFilter": "*.csv"}
 
 
 @dataclass(frozen=True)
@@ -38,19 +40,31 @@ def _names(header: str) -> list[str]:
         return []
 
 
-def file_headers(spark: SparkSession, root: str) -> DataFrame:
-    """(file_path, header) of every CSV file under ``root``, read in parallel.
+def file_layouts(spark: SparkSession, root: str, *, skip_damaged: bool = False) -> DataFrame:
+    """(file_path, header, names, damaged) of every CSV file under ``root``, found in parallel.
 
-    Costs one extra pass over the files: a header cannot be matched by name before it is seen.
+    Costs one pass over the text: a header cannot be matched by name before it is seen. With
+    ``skip_damaged`` a file that cannot be read to its end does not stop the pass. Lines are cut at
+    line feeds alone, so their lengths add up to the size of the file; a file that gave less than
+    that is damaged. Without it, reading a damaged file raises.
     """
     lines = (
-        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
-        .option("ignoreCorruptFiles", True).text(root)
+        spark.read.options(**_TREE, lineSep="\n", ignoreCorruptFiles=skip_damaged).text(root)
         .select("value", "_metadata.file_path", "_metadata.file_block_start")
-        .where(F.col("file_block_start") == 0)
-        .withColumn("position", F.monotonically_increasing_id())
+        .withColumn("position", F.struct("file_block_start", F.monotonically_increasing_id()))
     )
-    return lines.groupBy("file_path").agg(F.min_by("value", "position").alias("header"))
+    read = lines.groupBy("file_path").agg(
+        F.rtrim(F.min_by("value", "position"), F.lit("\r")).alias("header"),
+        F.sum(F.octet_length("value") + 1).alias("bytes"),
+    )
+    # The listing alone: no content is read here.
+    files = spark.read.format("binaryFile").options(**_TREE).load(root).select(
+        F.col("_metadata.file_path").alias("file_path"), F.col("length"))
+    found = files.join(read, "file_path", "left").where("length > 0").select(
+        "file_path", "header", F.udf(lambda h: _names(h or ""), T.ArrayType(T.StringType()))("header").alias("names"),
+        (F.coalesce("bytes", F.lit(0)) < F.col("length")).alias("damaged"),
+    )
+    return materialize(found, "layouts")
 
 
 def infer_schema(spark: SparkSession, path: str) -> T.StructType:
@@ -63,90 +77,69 @@ def infer_schema(spark: SparkSession, path: str) -> T.StructType:
     return T.StructType([T.StructField(snake_case(f.name), keep(f.dataType)) for f in found.fields])
 
 
-def coerce(value: Column, to: T.DataType) -> Column:
-    """Text to ``to``; null where it does not parse."""
-    text = F.nullif(value, F.lit(""))
-    if isinstance(to, T.DateType):
-        return F.try_to_date(text, "yyyy-MM-dd")
-    if isinstance(to, (T.IntegerType, T.LongType)):
-        # "3.0" and "3.7" are whole numbers to a lenient reader; exact text goes first.
-        return F.coalesce(text.try_cast(to), text.try_cast("double").try_cast(to))
-    parsed = text.try_cast(to)
-    if isinstance(to, (T.DoubleType, T.FloatType)):
-        return F.when(~F.isnan(parsed), parsed)  # "NaN" is a missing value
-    return parsed
-
+def _field_count(record: Column) -> Column:
+    """Fields of a raw record; separators between quotes do not count."""
+    bare = F.regexp_replace(record, '"[^"]*"', "")
+    return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
 
-def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Text columns matched by name to ``schema``: cast, padded, extras dropped, reordered."""
-    return df.select(*[
-        (coerce(F.col(f.name), f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)).alias(f.name)
-        for f in schema.fields
-    ])
 
-
-def _read_text(spark: SparkSession, paths: list[str], names: list[str], ragged: bool = False) -> DataFrame:
-    """Files of one header as text columns.
-
-    ``ragged`` keeps only rows with too few or too many fields and adds the raw record. It
-    parses every column; the plain read parses just the ones that are used.
-    """
-    positional = T.StructType(
-        [T.StructField(f"c{i}", T.StringType()) for i in range(len(names))]
-        + [T.StructField(_CORRUPT, T.StringType())]
-    )
-    df = (
-        spark.read.schema(positional).option("header", True).option("enforceSchema", True)
-        .option("nullValue", NULL_TEXT).option("mode", "PERMISSIVE").option("ignoreCorruptFiles", True)
-        .option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
-        .option("columnNameOfCorruptRecord", _CORRUPT).option("columnPruning", not ragged).csv(paths)
-    )
-    first = {}
-    for i, name in enumerate(names):
-        first.setdefault(name, f"c{i}")
-    if not ragged:
-        return df.select(*[F.col(c).alias(n) for n, c in first.items()])
-    # Written so that it is not pushed into the reader, which fills the record column late
-    # and refuses to return that column alone.
-    is_ragged = (F.coalesce(F.length(_CORRUPT), F.lit(0)) > 0) & (F.length(F.concat_ws("", "c0")) >= 0)
-    return df.where(is_ragged).select(
-        F.lit("ragged row").alias("reason"), F.col("_metadata.file_path").alias("file_path"),
-        F.col(_CORRUPT).alias("record"),
+def _scan(spark: SparkSession, root: str, width: int, skip_damaged: bool, multi_line: bool) -> DataFrame:
+    """All records of all files by position: values (array), record (null if there are exactly ``width``), file_path."""
+    cells = [f"c{i}" for i in range(width)]
+    positional = T.StructType([T.StructField(c, T.StringType()) for c in (*cells, _CORRUPT)])
+    df = spark.read.schema(positional).options(
+        **_TREE, header=True, enforceSchema=True, nullValue=NULL_TEXT, mode="PERMISSIVE", multiLine=multi_line,
+        columnNameOfCorruptRecord=_CORRUPT, columnPruning=False, ignoreCorruptFiles=skip_damaged,
+    ).csv(root)
+    # Always true; the reader refuses to return the record column alone, as a plain count would ask.
+    return df.where(F.length(F.concat_ws("", "c0")) >= 0).select(
+        F.array(*cells).alias("values"), F.col(_CORRUPT).alias("record"), F.col("_metadata.file_path").alias("file_path")
     )
 
 
-def read_csv_tree(spark: SparkSession, root: str, schema: T.StructType | None = None) -> CsvTree:
-    """Read all CSV files below ``root`` into one schema.
+def read_csv_tree(
+    spark: SparkSession, root: str, schema: T.StructType | None = None, *,
+    skip_damaged: bool = False, multi_line: bool = False,
+) -> CsvTree:
+    """Read all CSV files below ``root`` into one schema with a single scan for all layouts.
+
+    Files are joined by path to the small table of their headers, and columns are picked by position;
+    the driver sees one number, the widest header. Only a missing folder gives an empty table, every
+    other error is raised.
 
-    Files are grouped by header, and each group is one distributed scan, so the number of
-    scans is the number of layouts. The driver sees the distinct headers and, only when
-    layouts differ, the file names.
+    ``skip_damaged``: a file that cannot be read to its end is left out whole and listed in the
+    quarantine; otherwise it raises. ``multi_line``: quoted fields may hold line breaks; a file is then
+    read by one task, not in splits.
     """
     report = "reason string, file_path string, record string"
     empty = lambda of: spark.createDataFrame([], of)
     try:
-        headers = materialize(file_headers(spark, root), "headers")
-    except AnalysisException:  # no such folder: same as a folder without files
+        layouts = file_layouts(spark, root, skip_damaged=skip_damaged)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return CsvTree(empty(schema or S.SEASON_SCHEMA), empty(report))
-    layouts = headers.groupBy("header").agg(F.min("file_path").alias("first_file")).collect()
-    if not layouts:
-        return CsvTree(empty(schema or S.SEASON_SCHEMA), empty(report))
-
-    schema = schema or infer_schema(spark, min(r["first_file"] for r in layouts))
-    wanted = {f.name for f in schema.fields}
-    known = [r["header"] for r in layouts if wanted.intersection(_names(r["header"]))]
-    paths_of = lambda cond: [r["file_path"] for r in headers.where(cond).select("file_path").collect()]
-
-    rows, rejected = [], []
-    for header in known:
-        # With a single layout the folder itself is the input; no path list is needed.
-        source = [root] if len(layouts) == 1 else paths_of(F.col("header") == header)
-        rows.append(conform(_read_text(spark, source, _names(header)), schema))
-        rejected.append(_read_text(spark, source, _names(header), ragged=True))
-    if len(known) < len(layouts):
-        unusable = paths_of(~F.col("header").isin(*known))
-        rejected.append(spark.read.text(unusable).select(
-            F.lit("unknown layout").alias("reason"), F.col("_metadata.file_path").alias("file_path"),
-            F.col("value").alias("record"),
-        ))
-    return CsvTree(union_sources(rows) if rows else empty(schema), union_sources(rejected))
+    sound = layouts.where("NOT damaged")
+    damaged = layouts.where("damaged").select(
+        F.lit("damaged file").alias("reason"), "file_path", F.lit(None).cast("string").alias("record"))
+    first, width = sound.agg(F.min("file_path"), F.max(F.size("names"))).first()
+    if first is None:
+        return CsvTree(empty(schema or S.SEASON_SCHEMA), damaged)
+
+    schema = schema or infer_schema(spark, first)
+    wanted = F.array(*[F.lit(f.name) for f in schema.fields])
+    known = sound.withColumn("known", F.arrays_overlap("names", wanted))
+    records = _scan(spark, root, max(1, width), skip_damaged, multi_line).join(known, "file_path")
+    fields = F.when(F.col("record").isNull(), F.lit(width)).otherwise(_field_count(F.col("record")))
+    fits = fields == F.size("names")
+    cell = lambda name: F.get(F.col("values"), F.array_position("names", F.lit(name)).cast("int") - 1)
+    rows = records.where(F.col("known") & fits).select(
+        *[coerce(cell(f.name), f.dataType).alias(f.name) for f in schema.fields]
+    )
+    text = F.coalesce("record", F.array_join("values", ",", NULL_TEXT))
+    reason = F.when(~F.col("known"), "unknown layout").otherwise("ragged row")
+    rejected = records.where(~F.col("known") | ~fits).select(
+        reason.alias("reason"), "file_path", text.alias("record"))
+    headers = known.where("NOT known").select(
+        F.lit("unknown layout").alias("reason"), "file_path", F.col("header").alias("record"))
+    return CsvTree(rows, rejected.unionByName(headers).unionByName(damaged))

@@ -2,29 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: paths written in this process, by application
+_WRITTEN: dict[str, list[str]] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` (or the checkpoint folder already set on the context).
+    """``spark.checkpoint.dir``, or the checkpoint folder set on the context.
 
-    A local session without either, as in tests, gets a temporary folder; a cluster session
-    must name one, because a folder of one machine is not visible to the others.
+    Without either, a folder below the warehouse, which all executors of a session share.
     """
     found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        found = tempfile.mkdtemp(prefix="dugout-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+    return (found or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints").rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/dugout/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/dugout/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
@@ -36,3 +34,13 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_written(spark: SparkSession) -> int:
+    """Delete what this application wrote to the shared folder; results read from it are gone then."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    removed = 0
+    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        removed += bool(target.getFileSystem(conf).delete(target, True))
+    return removed

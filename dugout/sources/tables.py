@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dugout import schema as S
-from dugout.functions.columns import normalize_names
+from dugout.functions.columns import normalize_names, snake_case
 
 #: text that stands for a missing value in CSV files
 NULL_TEXT = "NA"
@@ -58,15 +58,40 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("nullValue", NULL_TEXT).csv(path)
 
 
+def coerce(value: Column, to: T.DataType) -> Column:
+    """Text to ``to``; null where it does not parse."""
+    text = F.nullif(value, F.lit(""))
+    if isinstance(to, T.DateType):
+        return F.try_to_date(text, "yyyy-MM-dd")
+    if isinstance(to, (T.IntegerType, T.LongType)):
+        # "3.0" and "3.7" are whole numbers to a lenient reader; exact text goes first.
+        return F.coalesce(text.try_cast(to), text.try_cast("double").try_cast(to))
+    parsed = text.try_cast(to)
+    if isinstance(to, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(parsed), parsed)  # "NaN" is a missing value
+    return parsed
+
+
+def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Text columns matched by name to ``schema``: cast, padded, extras dropped, reordered."""
+    return df.select(*[
+        (coerce(F.col(f.name), f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)).alias(f.name)
+        for f in schema.fields
+    ])
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Read back a CSV extract: ``NA`` and empty text are null, names become snake case."""
-    df = (
-        spark.read.schema(schema).option("header", True).option("nullValue", NULL_TEXT)
-        .option("recursiveFileLookup", True).csv(path)
-    )
-    texts = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
-    df = df.withColumns({c: F.nullif(F.col(f"`{c}`"), F.lit("")) for c in texts})
-    return normalize_names(df)
+    """Read back a CSV extract, columns matched by the names in its header.
+
+    ``NA`` and empty text are null, names become snake case, columns follow ``schema``. All files of
+    an extract must have the same header; a file that differs fails the read.
+    """
+    options = {"header": True, "nullValue": NULL_TEXT, "recursiveFileLookup": True}
+    header = spark.read.options(**options).csv(path).columns
+    texts = T.StructType([T.StructField(c, T.StringType()) for c in header])
+    found = normalize_names(spark.read.schema(texts).options(**options, enforceSchema=False).csv(path))
+    wanted = [T.StructField(snake_case(f.name), f.dataType) for f in schema.fields]
+    return conform(found, T.StructType(wanted))
 
 
 def write_sheet(df: DataFrame, base: str, sheet: str) -> None:

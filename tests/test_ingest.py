@@ -112,23 +112,100 @@ def test_shared_dir_follows_the_session(spark, tmp_path):
 class _Session:
     """The few parts of a session that decide on the shared folder."""
 
-    def __init__(self, setting, checkpoint, master):
+    def __init__(self, setting, checkpoint, warehouse):
         self.conf = {"spark.checkpoint.dir": setting} if setting else {}
+        self.conf["spark.sql.warehouse.dir"] = warehouse
         self.sparkContext = self
-        self.master = master
         self._checkpoint = checkpoint
 
     def getCheckpointDir(self):
         return self._checkpoint
 
-    def setCheckpointDir(self, path):
-        self._checkpoint = path
-
 
 def test_shared_dir_rules():
-    assert shared_dir(_Session("hdfs:/shared/", "file:/x", "yarn")) == "hdfs:/shared"
-    assert shared_dir(_Session(None, "hdfs:/other", "yarn")) == "hdfs:/other"
-    with pytest.raises(RuntimeError):
-        shared_dir(_Session(None, None, "yarn"))
-    local = _Session(None, None, "local[2]")
-    assert shared_dir(local) == local.getCheckpointDir()
+    assert shared_dir(_Session("hdfs:/shared/", "file:/x", "hdfs:/house")) == "hdfs:/shared"
+    assert shared_dir(_Session(None, "hdfs:/other", "hdfs:/house")) == "hdfs:/other"
+    assert shared_dir(_Session(None, None, "hdfs:/house/")) == "hdfs:/house/checkpoints"
+
+
+def _accounted(tree):
+    return tree.rows.count(), [tuple(r) for r in tree.quarantine.orderBy("reason", "record").collect()]
+
+
+def test_quarantined_records_are_not_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("batter,outs,note\nAnn,1,x\nBob,2,y,extra\nCy\n\"D, E\",0,\"a,b\"\n")
+    schema = T.StructType([T.StructField("batter", T.StringType()), T.StructField("outs", T.IntegerType())])
+    tree = csv_tree.read_csv_tree(spark, str(tmp_path), schema)
+    assert sorted(tuple(r) for r in tree.rows.collect()) == [("Ann", 1), ("D, E", 0)]
+    assert [(r.reason, r.record) for r in tree.quarantine.orderBy("record").collect()] == [
+        ("ragged row", "Bob,2,y,extra"), ("ragged row", "Cy")]
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('batter,outs\n"Two\nLines",0\nAnn,1\n')
+    (tmp_path / "b.csv").write_text('extra,outs,batter\n"p\nq",2,"Three\n\nLines"\n')
+    schema = T.StructType([T.StructField("batter", T.StringType()), T.StructField("outs", T.IntegerType())])
+    tree = csv_tree.read_csv_tree(spark, str(tmp_path), schema, multi_line=True)
+    assert sorted(tuple(r) for r in tree.rows.collect()) == [
+        ("Ann", 1), ("Three\n\nLines", 2), ("Two\nLines", 0)]
+    assert tree.quarantine.count() == 0
+
+
+def _damage(spark, tmp_path):
+    """Two written files of 200,000 rows, one byte flipped in one of them; its checksum no longer fits."""
+    df = spark.range(200_000).selectExpr("id AS pitch_id", "'B' || id AS batter")
+    for name in ("good", "bad"):
+        tables.write_csv(df.coalesce(1), str(tmp_path / name))
+    target = next((tmp_path / "bad").glob("part-*.csv"))
+    raw = bytearray(target.read_bytes())
+    raw[len(raw) // 2] ^= 1
+    target.write_bytes(raw)
+    return target.name
+
+
+def test_a_damaged_file_is_left_out_whole_and_listed(spark, tmp_path):
+    name = _damage(spark, tmp_path)
+    schema = T.StructType([T.StructField("pitch_id", T.LongType()), T.StructField("batter", T.StringType())])
+    rows, bad = _accounted(csv_tree.read_csv_tree(spark, str(tmp_path), schema, skip_damaged=True))
+    assert rows == 200_000
+    assert [(r[0], r[1].endswith(name), r[2]) for r in bad] == [("damaged file", True, None)]
+
+
+def test_a_damaged_file_is_an_error_by_default(spark, tmp_path):
+    from pyspark.errors import PySparkException
+
+    _damage(spark, tmp_path)
+    with pytest.raises((PySparkException, Exception), match="(?i)checksum|corrupt|FAILED_READ_FILE"):
+        csv_tree.read_csv_tree(spark, str(tmp_path)).rows.count()
+
+
+def test_other_errors_are_not_taken_for_an_empty_folder(spark, tmp_path):
+    with pytest.raises(Exception, match="(?i)scheme|filesystem"):
+        csv_tree.read_csv_tree(spark, "nosuchscheme://x/y")
+
+
+def test_one_scan_whatever_the_number_of_layouts(spark, tmp_path):
+    for i in range(6):
+        (tmp_path / f"{i}.csv").write_text(",".join(["batter", *[f"c{k}" for k in range(i)]]) + "\nAnn" + ",1" * i + "\n")
+    tree = csv_tree.read_csv_tree(spark, str(tmp_path), SCHEMA)
+    plan = tree.rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan csv") == 1 and tree.rows.count() == 6
+
+
+def test_extracts_are_read_by_name(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("batter,Angle,ExitSpeed\nAnn,12.5,90\nNA,,101\n")
+    schema = T.StructType([T.StructField("Batter", T.StringType()), T.StructField("ExitSpeed", T.DoubleType()),
+                           T.StructField("Angle", T.DoubleType()), T.StructField("outs", T.IntegerType())])
+    got = tables.read_csv(spark, str(tmp_path), schema)
+    assert got.columns == ["batter", "exit_speed", "angle", "outs"]
+    assert sorted((tuple(r) for r in got.collect()), key=str) == [("Ann", 90.0, 12.5, None), (None, 101.0, None, None)]
+
+
+def test_written_tables_can_be_removed(spark, tmp_path, monkeypatch):
+    from dugout.sources import shared
+
+    monkeypatch.setattr(shared, "_WRITTEN", {})
+    path = materialize(spark.range(3)).inputFiles()[0]
+    assert shared.remove_written(spark) == 1
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()

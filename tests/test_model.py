@@ -173,7 +173,7 @@ def test_deviance(spark):
 def test_projection_columns_and_boards(spark):
     m = LinearModel(("x",), S.TARGET_LEVELS[:3], (0.0, 1.0, 2.0), ((0.0,), (1.0,), (-1.0,)))
     players = spark.createDataFrame([(f"p{i}", float(i)) for i in range(8)], "batter string, x double")
-    out = projection.project(players, {2025: m})
+    out = model.project_levels(players, {2025: m})
     assert out.columns == ["batter", "x", "p_2025_a_plus", "p_2025_aa", "p_2025_aaa"]
     top = projection.board(players, m, "AA", k=3).collect()
     assert [r.batter for r in top] == ["p7", "p6", "p5"]
@@ -199,3 +199,72 @@ def test_fitted_outcome_models_reproduce_league_hits(spark):
         F.sum("x1b").alias("x"), F.count_if(F.col("play_result") == "Single").alias("n"))
     for r in sums.collect():
         assert r.x == pytest.approx(r.n, rel=1e-3)
+
+
+def test_confusion_accounts_for_every_row(spark):
+    df = spark.createDataFrame([("a", "a"), ("b", None), (None, "a"), ("zz", "b"), ("a", "zz")], "ref string, pred string")
+    counts = evaluate.confusion_counts(df, "ref", "pred", ("a", "b"))
+    assert {r.dropped for r in counts.collect()} == {4} and sum(r.n for r in counts.collect()) == 1
+    overall = evaluate.overall_metrics(counts).first()
+    assert (overall.n, overall.dropped, overall.accuracy) == (1, 4, 1.0)
+    nothing = evaluate.accuracy_inference(evaluate.overall_metrics(
+        evaluate.confusion_counts(df.limit(0), "ref", "pred", ("a", "b")))).first()
+    assert (nothing.n, nothing.dropped, nothing.accuracy, nothing.p_value) == (0, 0, None, None)
+
+
+def test_p_value_keeps_its_digits():
+    import math
+
+    for n in (10**4, 10**8, 10**11, 6 * 10**11, 10**12):
+        k = n // 2
+        # P[X >= n/2] for a fair coin is one half and half the probability of the middle.
+        middle = math.sqrt(2.0 / (math.pi * n)) * (1 - 1 / (4 * n))
+        assert abs(evaluate._beta_cdf(0.5, k, n - k + 1) - (0.5 + 0.5 * middle)) < 1e-9
+    for n, k, p in ((10, 3, 0.2), (50, 1, 0.01), (400, 390, 0.95), (3000, 900, 0.31)):
+        tail = math.fsum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1)) if n < 900 else None
+        if tail is not None:
+            assert abs(evaluate._beta_cdf(p, k, n - k + 1) - tail) < 1e-12
+
+
+def test_fits_report_convergence(spark):
+    from dugout.operators.model import NotConverged
+
+    apart = spark.createDataFrame([(float(i), "a" if i < 50 else "b") for i in range(100)], "x double, y string")
+    with pytest.warns(NotConverged):
+        fitted = model.fit_multinomial(apart, ["x"], "y", ("a", "b"), max_iter=5)
+    assert fitted.converged is False and fitted.iterations == 5
+    mixed = spark.createDataFrame([(float(i % 7), "a" if i % 3 else "b") for i in range(200)], "x double, y string")
+    assert model.fit_multinomial(mixed, ["x"], "y", ("a", "b")).converged
+
+
+def test_comparison_keeps_sets_without_scored_rows(spark):
+    from dugout.plans.projection import compare_predictors
+
+    rows = [(i, float(i % 5), float(i) if i < 0 else None, "ab"[i % 2]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, x double, gap double, y string")
+    _, found = compare_predictors(df, ["id"], "y", ("a", "b"), predictor_sets={"x": ("x",)})
+    assert [(r.model, r.n, r.dropped) for r in found.collect()] == [("x", 8, 0)]
+    half = df.withColumn("z", F.when(F.col("id") % 4 < 2, F.col("x")))
+    found = compare_predictors(half, ["id"], "y", ("a", "b"), predictor_sets={"z": ("z",)})[1].first()
+    assert found.n + found.dropped == 8 and found.dropped > 0
+
+
+def test_workers_find_the_package_from_another_folder(tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    repo = Path(__file__).resolve().parents[1]
+    code = f"""
+import sys; sys.path.insert(0, {str(repo)!r})
+import __spark_entry__ as e
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config(
+    "spark.checkpoint.dir", {str(tmp_path / 'shared')!r}).getOrCreate()
+print("P", e.queries()["accuracy_p_value"](spark, "/root/testdata/sf0.001").count())
+"""
+    import os
+
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
+    assert "P 1" in out.stdout, out.stderr[-2000:]

@@ -115,3 +115,14 @@ def test_plus_statistics_centre_on_100(stats):
 def test_checks_report_instead_of_raising(stats):
     rows = stats.checks.collect()
     assert len(rows) == 12 and {type(r.passed) for r in rows} == {bool}
+
+
+def test_reference_season_stays_inside_its_league(spark):
+    rows = [(lg, s, r, float(v), 10) for lg, base in (("a", 0), ("b", 5)) for s in (1, 2)
+            for r, v in (("Out", base - 0.3 * s), ("Walk", base + 0.3 * s), ("Single", base + 0.5 * s))]
+    values = spark.createDataFrame(rows, "league string, season int, play_result string, m3 double, plays long")
+    by = ("league", "season")
+    taken = runvalue.linear_weights(values, methods=("m3",), by=by, reference_season=1)
+    found = {(r.league, r.season, r.play_result): r.m3 for r in taken.collect()}
+    for s in (1, 2):
+        assert found["a", s, "Out"] == -0.3 and found["b", s, "Out"] == 4.7

@@ -97,7 +97,8 @@ BINARY_WEIGHTS = {
 
 PRIORITY_RANKS = {"1-URGENT": 1, "2-HIGH": 2, "3-MEDIUM": 3, "4-NOT SPECIFIED": 4, "5-LOW": 5}
 PRIORITY_LEVELS = {"1-URGENT": "MLB", "2-HIGH": "AAA", "3-MEDIUM": "AA", "4-NOT SPECIFIED": "A+", "5-LOW": "Mex"}
-LEVEL_SEASONS = (1997, 1998, 1999)
+#: horizons that are projected: the level after one, two and three seasons
+HORIZONS = 3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -564,15 +564,19 @@ def _(spark, d):
     )
 
 
-def _season_levels(spark, d) -> DataFrame:
-    orders = X.table(spark, d, "orders")
-    appearances = orders.select(
+def _appearances(spark, d) -> DataFrame:
+    return X.table(spark, d, "orders").select(
         F.col("o_custkey").alias("player"), F.year("o_orderdate").alias("season"),
         F.col("o_orderpriority").alias("level"), F.lit(1).alias("pa"),
     )
+
+
+def _season_levels(spark, d) -> DataFrame:
+    appearances = _appearances(spark, d)
     roster = X.table(spark, d, "customer").select(F.col("c_custkey").alias("player"))
     return levels.season_level(
-        appearances, roster, player="player", seasons=X.LEVEL_SEASONS, ranks=X.PRIORITY_RANKS, minimum=2
+        appearances, roster, player="player", seasons=levels.seasons_of(appearances),
+        ranks=X.PRIORITY_RANKS, minimum=2
     )
 
 
@@ -586,7 +590,7 @@ ranked AS (
   SELECT *, row_number() OVER (PARTITION BY player, season
     ORDER BY CASE WHEN pa >= 2 THEN 0 ELSE 1 END, CASE WHEN pa >= 2 THEN {_RANK_CASE} ELSE -pa END, {_RANK_CASE}) AS pick
   FROM played),
-grid AS (SELECT c_custkey AS player, s.season FROM customer, (VALUES {", ".join(f"({s})" for s in X.LEVEL_SEASONS)}) s(season))
+grid AS (SELECT c_custkey AS player, s.season FROM customer, (SELECT DISTINCT season FROM played) s)
 SELECT g.player, CAST(g.season AS INT) AS season, coalesce(r.level, 'DNP') AS level
 FROM grid g LEFT JOIN ranked r ON r.player = g.player AND r.season = g.season AND r.pick = 1""")
 def _(spark, d):
@@ -688,12 +692,13 @@ def _confusion(spark, d) -> DataFrame:
 
 _GRID = ", ".join(f"('{r}', '{p}')" for r in X.FLAG_LABELS for p in X.FLAG_LABELS)
 _CONFUSION = f"""{_CALLED}, confusion AS (
-  SELECT g.reference, g.prediction, count(c.l_returnflag) AS n
+  SELECT g.reference, g.prediction, count(c.l_returnflag) AS n, (SELECT count(*) FROM called
+    WHERE (l_returnflag IN ('A', 'N', 'R') AND predicted IN ('A', 'N', 'R')) IS NOT TRUE) AS dropped
   FROM (VALUES {_GRID}) g(reference, prediction)
   LEFT JOIN called c ON c.l_returnflag = g.reference AND c.predicted = g.prediction GROUP BY 1, 2)"""
 
 
-@query("confusion_counts", O.final(_CONFUSION, "confusion", "reference prediction n"))
+@query("confusion_counts", O.final(_CONFUSION, "confusion", "reference prediction n dropped"))
 def _(spark, d):
     return _confusion(spark, d)
 
@@ -719,14 +724,15 @@ _OVERALL = f"""{_CONFUSION}, refs AS (
   SELECT reference AS label, CAST(sum(n) AS DOUBLE) AS ref FROM confusion GROUP BY 1),
 preds AS (SELECT prediction AS label, CAST(sum(n) AS DOUBLE) AS pred FROM confusion GROUP BY 1),
 agreement AS (
-  SELECT CAST(sum(n) AS BIGINT) AS n, CAST(sum(n) FILTER (WHERE reference = prediction) AS BIGINT) AS correct FROM confusion),
+  SELECT CAST(sum(n) AS BIGINT) AS n, CAST(sum(n) FILTER (WHERE reference = prediction) AS BIGINT) AS correct,
+    max(dropped) AS dropped FROM confusion),
 overall AS (
-  SELECT n, correct, (SELECT max(ref) FROM refs) / n AS no_information_rate, CAST(correct AS DOUBLE) / n AS accuracy,
+  SELECT n, correct, dropped, (SELECT max(ref) FROM refs) / n AS no_information_rate, CAST(correct AS DOUBLE) / n AS accuracy,
     (CAST(correct AS DOUBLE) / n - e) / (1 - e) AS kappa
   FROM agreement, (SELECT sum(ref * pred) / (SELECT CAST(n AS DOUBLE) * n FROM agreement) AS e FROM refs JOIN preds USING (label)))"""
 
 
-@query("confusion_overall", O.final(_OVERALL, "overall", "n correct", "no_information_rate accuracy kappa"))
+@query("confusion_overall", O.final(_OVERALL, "overall", "n correct dropped", "no_information_rate accuracy kappa"))
 def _(spark, d):
     return evaluate.overall_metrics(_confusion(spark, d))
 
@@ -783,7 +789,7 @@ def _project_sql() -> str:
 @query("project_scores", _project_sql())
 def _(spark, d):
     latest = _lines(spark, d).where(F.col("season") == X.SEASONS[1])
-    return projection.project(latest, X.HORIZON_MODELS).select("batter", *_P_LEVELS)
+    return model.project_levels(latest, X.HORIZON_MODELS).select("batter", *_P_LEVELS)
 
 
 # --- fitted models ----------------------------------------------
@@ -870,16 +876,23 @@ def _profiles(spark, d) -> DataFrame:
         "level", clean.recode(F.col("level"), {v: (k,) for k, v in X.PRIORITY_LEVELS.items()})
     )
     by_year = reached.groupBy(F.col("player").alias("batter")).agg(*[
-        F.max(F.when(F.col("season") == s, F.col("level"))).alias(f"level_{s}") for s in X.LEVEL_SEASONS
+        F.max(F.when(F.col("season") == s, F.col("level"))).alias(f"level_{s}")
+        for s in levels.seasons_of(_appearances(spark, d))
     ])
     out = clean.attach(plus, top, ["season", "batter"])
     return clean.attach(clean.attach(out, _ages(pitches), ["batter"]), by_year, ["batter"])
 
 
+def _horizons(spark, d) -> dict[int, str]:
+    seasons = levels.seasons_of(_appearances(spark, d))[:X.HORIZONS]
+    return {2025 + i: f"level_{s}" for i, s in enumerate(seasons)}
+
+
 @query("predictor_sweep")
 def _(spark, d):
     profiles = _profiles(spark, d).where(F.col("season") == X.SEASONS[0])
-    labelled = profiles.withColumn("level", levels.consolidate_levels(F.col(f"level_{X.LEVEL_SEASONS[0]}")))
+    first = levels.seasons_of(_appearances(spark, d))[0]
+    labelled = profiles.withColumn("level", levels.consolidate_levels(F.col(f"level_{first}")))
     labels = ("AAA", "Affiliated", "DNP", "Independent", "MLB")
     return projection.compare_predictors(labelled, ["batter"], "level", labels)[1]
 
@@ -888,14 +901,14 @@ def _(spark, d):
 def _(spark, d):
     profiles = _profiles(spark, d)
     training = profiles.where(F.col("season") == X.SEASONS[0])
-    years = {2025 + i: f"level_{s}" for i, s in enumerate(X.LEVEL_SEASONS)}
+    years = _horizons(spark, d)
     models, _ = projection.fit_horizons(training, years)
     target = profiles.where(F.col("season") == X.SEASONS[1])
     added = [model.level_column(y, x) for y, m in models.items() for x in m.labels]
-    return projection.project(target, models).select("batter", *added)
+    return model.project_levels(target, models).select("batter", *added)
 
 
 @query("horizon_losses")
 def _(spark, d):
     training = _profiles(spark, d).where(F.col("season") == X.SEASONS[0])
-    return projection.fit_horizons(training, {2025 + i: f"level_{s}" for i, s in enumerate(X.LEVEL_SEASONS)})[1]
+    return projection.fit_horizons(training, _horizons(spark, d))[1]
