@@ -6,15 +6,20 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dugout import schema as S
 from dugout.functions.scoring import LinearModel, add_class_probabilities
 from dugout.operators import batting, indexing, quality, runvalue
-from dugout.operators.clean import attach, batted_balls, is_batted_ball
+from dugout.operators.clean import attach, batted_balls, deduplicate, is_batted_ball, with_dense_id
+from dugout.operators.levels import seasons_of
 from dugout.operators.model import fit_multinomial_per
 from dugout.session import side_by_side
+from dugout.sources.csv_tree import read_csv_tree
 from dugout.sources.shared import materialize
+from dugout.sources.tables import union_sources, write_csv, write_season_table
 
 CONTACT = ("exit_speed", "angle")
 
@@ -113,3 +118,52 @@ def with_contact_quality(plus: DataFrame, pitches: DataFrame, minimum: int = S.M
         plus, line.select("season", "batter", "hard_hit_percentage", "avg_exit_speed", "avg_angle"),
         ["season", "batter"],
     )
+
+
+#: result tables of a run, each written as CSV files below the output folder
+RESULT_TABLES = ("players", "league_m2", "plus_m2", "weights")
+
+
+def ingest_seasons(
+    spark: SparkSession, roots: Mapping[int, str], table: str, schema: T.StructType | None = None, **options
+) -> DataFrame:
+    """Read the CSV tree of each season into the season table, exact repeats dropped.
+
+    Every game file is delivered once per team, so the files hold most rows twice. Seasons already in
+    the table are replaced, others stay. Returns what could not be used: (season, reason, file_path, record).
+    """
+    rejected = []
+    for season, root in roots.items():
+        tree = read_csv_tree(spark, root, schema, **options)
+        rows = deduplicate(tree.rows).withColumn("season", F.lit(season))
+        write_season_table(rows, table)
+        rejected.append(tree.quarantine.select(F.lit(season).alias("season"), "*"))
+    return union_sources(rejected)
+
+
+def run_seasons(
+    pitches: DataFrame,
+    out: str,
+    *,
+    half_inning: Sequence[str],
+    order: Sequence[str],
+    chunk: Column,
+    models: LinearModel | Mapping[object, LinearModel] | None = None,
+    id_columns: Sequence[str] = (),
+    **options,
+) -> SeasonStatistics:
+    """From pitches as delivered to result files: deduplicate, number, fit, score, summarise, write.
+
+    ``id_columns`` identify a pitch and give it a dense ``pitch_id``; leave them out when the pitches have
+    an id. ``models`` skips the fit. The pitches are written once, since fits and statistics read them.
+    """
+    unique = deduplicate(pitches)
+    if id_columns:
+        unique = with_dense_id(unique, id_columns)
+    unique = materialize(unique, "pitches")
+    if models is None:
+        models = fit_outcome_models(unique, seasons_of(unique))
+    stats = season_statistics(
+        score_pitches(unique, models), half_inning=half_inning, order=order, chunk=chunk, **options)
+    side_by_side(pitches.sparkSession, lambda name: write_csv(getattr(stats, name), f"{out}/{name}"), RESULT_TABLES)
+    return stats

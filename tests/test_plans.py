@@ -11,7 +11,7 @@ from verification.queries import QUERIES
 
 EAGER = {
     "cv_logloss", "multinomial_fit", "coefficient_errors", "outcome_models", "predictor_sweep", "project_levels",
-    "horizon_losses", "confusion_inference", "accuracy_p_value",
+    "horizon_losses", "confusion_inference", "accuracy_p_value",  # the interval is a function of one row per model
 }
 
 
@@ -52,3 +52,29 @@ def test_row_level_data_never_lands_in_one_partition(spark):
         for part in plan.split("Exchange SinglePartition")[1:]:
             # what is gathered has been reduced by an aggregate or is bounded by the slice count
             assert "Aggregate" in part.split("FileScan")[0]
+
+
+def test_a_season_from_files_to_results(spark, tmp_path):
+    from dugout.plans import season
+    from dugout.sources import tables
+
+    log = X.plays(spark, SF).selectExpr(
+        "season", "CAST(ts AS STRING) AS stamp", "game_no", "inning", "top_bottom", "batter", "outs", "outs_on_play",
+        "play_result", "runs_scored", "exit_speed", "angle", "direction", "pitch_id AS row")
+    for s in X.SEASONS:
+        for team in ("home", "away"):  # each game is delivered twice
+            tables.write_csv(log.where(f"season = {s}").drop("season"), str(tmp_path / str(s) / team))
+    schema = log.drop("season").schema
+    table, out = str(tmp_path / "table"), str(tmp_path / "out")
+    bad = season.ingest_seasons(spark, {s: str(tmp_path / str(s)) for s in X.SEASONS}, table, schema)
+    assert bad.count() == 0
+    pitches = tables.read_season_table(spark, table).selectExpr("*", "CAST(stamp AS TIMESTAMP_NTZ) AS ts",
+                                                                "CAST(CAST(stamp AS TIMESTAMP_NTZ) AS DATE) AS game_date")
+    assert pitches.count() == log.count()
+    stats = season.run_seasons(
+        pitches, out, models=X.OUTCOME_MODEL, id_columns=["row"], minimum=X.MINIMUM, half_inning=X.HALF_INNING,
+        order=("ts", "row"), chunk=X.chunk())
+    back = tables.read_csv(spark, f"{out}/players", stats.players.schema)
+    key = lambda df: sorted((r["season"], r["batter"], r["total_pa"]) for r in df.collect())
+    expected = QUERIES["batting_line"](spark, SF)
+    assert key(back) == key(expected)

@@ -442,6 +442,17 @@ def _(spark, d):
     return _statistics(spark, d).plus_m2.select("season", "batter", *O.PLUS_COLUMNS.split())
 
 
+@query("season_run", O.final(f"{O.LEAGUES}, {O.plus('league_m2')}", "plus", "season batter", O.PLUS_COLUMNS, 6), 6)
+def _(spark, d):
+    """The doubled delivery through the season table to the result files, read back by name."""
+    plays, table, out = X.plays(spark, d), new_path(spark, "delivered"), new_path(spark, "results")
+    tables.write_season_table(plays.unionAll(plays), table)
+    stats = season.run_seasons(
+        tables.read_season_table(spark, table), out, models=X.OUTCOME_MODEL, minimum=X.MINIMUM, **_half_innings())
+    back = tables.read_csv(spark, f"{out}/plus_m2", stats.plus_m2.schema)
+    return back.select("season", "batter", *O.PLUS_COLUMNS.split())
+
+
 @query("simple_index", O.final(f"""{O.PLAYERS}, indexed AS (
   SELECT season, batter, xwoba / (SELECT avg(xwoba) FROM players) AS xwoba_plus FROM players)""",
     "indexed", "season batter", "xwoba_plus"))
@@ -745,7 +756,31 @@ def _(spark, d):
     return evaluate.accuracy_inference(evaluate.overall_metrics(_confusion(spark, d))).select("p_value")
 
 
-@query("confusion_inference")
+# The bounds are the probabilities at which the tails of the binomial distribution hold 2.5 %; halving finds them.
+_TAILS = f"""WITH RECURSIVE {_OVERALL}, terms AS MATERIALIZED (
+  SELECT side, i, lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) AS c, n
+  FROM (SELECT n, 'lower' AS side, unnest(range(correct, n + 1)) AS i FROM overall
+        UNION ALL SELECT n, 'upper', unnest(range(0, correct + 1)) FROM overall)),
+search AS (
+  SELECT 0 AS step, 'lower' AS side, CAST(0 AS DOUBLE) AS a, CAST(1 AS DOUBLE) AS b
+  UNION ALL SELECT 0, 'upper', CAST(0 AS DOUBLE), CAST(1 AS DOUBLE)
+  UNION ALL SELECT step + 1, s.side,
+    CASE WHEN (t.tail < 0.025) = (s.side = 'lower') THEN (a + b) / 2 ELSE a END,
+    CASE WHEN (t.tail < 0.025) = (s.side = 'lower') THEN b ELSE (a + b) / 2 END
+  FROM search s JOIN LATERAL (
+    SELECT sum(exp(c + i * ln((s.a + s.b) / 2) + (n - i) * ln(1 - (s.a + s.b) / 2))) AS tail
+    FROM terms WHERE terms.side = s.side) t ON TRUE
+  WHERE step < 40),
+bounds AS (SELECT max((a + b) / 2) FILTER (WHERE side = 'lower') AS accuracy_lower,
+  max((a + b) / 2) FILTER (WHERE side = 'upper') AS accuracy_upper FROM search WHERE step = 40),
+tail AS (SELECT sum(exp(c + i * ln(no_information_rate) + (terms.n - i) * ln(1 - no_information_rate))) AS p_value
+  FROM terms, overall WHERE side = 'lower')
+SELECT n, correct, dropped, {", ".join(f"round({c}, 6) AS {c}" for c in (
+    "no_information_rate", "accuracy", "kappa", "accuracy_lower", "accuracy_upper", "p_value"))}
+FROM overall, bounds, tail"""
+
+
+@query("confusion_inference", _TAILS, 6)
 def _(spark, d):
     return evaluate.accuracy_inference(evaluate.overall_metrics(_confusion(spark, d)))
 
