@@ -918,6 +918,79 @@ def _profiles(spark, d) -> DataFrame:
     return clean.attach(clean.attach(out, _ages(pitches), ["batter"]), by_year, ["batter"])
 
 
+FINE_LABELS = ("A+", "AA", "AAA", "DNP", "MLB", "Mex")
+COARSE_LABELS = ("AAA", "Affiliated", "DNP", "Independent", "MLB")
+#: predictor sets whose features are plain ratios, so that SQL can select the same training rows
+MOMENT_SETS = {k: model.SEASON_SETS[k] for k in ("age", "traditional", "rates", "traditional_rates")}
+
+
+def _season_models(spark, d, coarse: bool) -> projection.ModelReports:
+    first = levels.seasons_of(_appearances(spark, d))[0]
+    reached = F.col(f"level_{first}")
+    profiles = _profiles(spark, d).where(F.col("season") == X.SEASONS[0])
+    labelled = profiles.withColumn("level", levels.consolidate_levels(reached) if coarse else reached)
+    return projection.report_models(
+        labelled, ["batter"], "level", COARSE_LABELS if coarse else FINE_LABELS, predictor_sets=MOMENT_SETS)
+
+
+def _season_moments(spark, d, coarse: bool) -> DataFrame:
+    """Players expected in every class by each model over its own training rows."""
+    found = _season_models(spark, d, coarse)
+    parts = []
+    for name, m in found.models.items():
+        names = {x: f"p_{i}" for i, x in enumerate(m.labels)}
+        train = found.split.where("is_train").where(F.col("level").isin(*m.labels)).dropna(subset=list(m.features))
+        scored = add_class_probabilities(train, m, names)
+        parts.append(_moments(scored, names, (), {"n": (F.lit(1.0), 1)}).select(F.lit(name).alias("model"), "*"))
+    return tables.union_sources(parts)
+
+
+def _season_moments_sql(coarse: bool) -> str:
+    fine = "CASE r.level " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in X.PRIORITY_LEVELS.items()) + " END"
+    level = f"CASE WHEN c.c_custkey IS NULL THEN NULL ELSE coalesce({fine}, 'DNP') END"
+    if coarse:
+        groups = {S.AFFILIATED: "Affiliated", S.INDEPENDENT: "Independent"}
+        for members, name in groups.items():
+            listed = ", ".join(f"'{m}'" for m in members)
+            level = f"CASE WHEN ({level}) IN ({listed}) THEN '{name}' ELSE ({level}) END"
+    each = "\nUNION ALL ".join(
+        f"""SELECT '{name}' AS model, level AS label, round(CAST(count(*) AS DOUBLE), 1) AS n FROM split
+WHERE is_train AND level IS NOT NULL AND {" AND ".join(f"{c} IS NOT NULL" for c in columns)} GROUP BY level"""
+        for name, columns in MOMENT_SETS.items())
+    return f"""WITH {O.LINES}, played AS (
+  SELECT o_custkey AS player, o_orderpriority AS level, count(*) AS pa FROM orders
+  WHERE year(o_orderdate) = (SELECT min(year(o_orderdate)) FROM orders) GROUP BY 1, 2),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY player
+    ORDER BY CASE WHEN pa >= 2 THEN 0 ELSE 1 END, CASE WHEN pa >= 2 THEN {_RANK_CASE} ELSE -pa END, {_RANK_CASE}) AS pick
+  FROM played),
+base AS (
+  SELECT l.*, CASE WHEN l.batter % 7 = 3 THEN NULL ELSE 22 + l.batter % 15 END AS age, {level} AS level
+  FROM lines l LEFT JOIN customer c ON c.c_custkey = l.batter
+  LEFT JOIN ranked r ON r.player = l.batter AND r.pick = 1 WHERE l.season = {X.SEASONS[0]}),
+split AS (
+  SELECT *, row_number() OVER (PARTITION BY level ORDER BY md5(CAST(batter AS VARCHAR) || ':425'), batter)
+    <= ceil(0.8 * count(*) OVER (PARTITION BY level)) AS is_train FROM base)
+{each}"""
+
+
+@query("season_models_fine", _season_moments_sql(False))
+def _(spark, d):
+    return _season_moments(spark, d, coarse=False)
+
+
+@query("season_models_coarse", _season_moments_sql(True))
+def _(spark, d):
+    return _season_moments(spark, d, coarse=True)
+
+
+@query("season_model_reports")
+def _(spark, d):
+    """Rates of every class and fit summary of every model on the fine labels."""
+    found = _season_models(spark, d, coarse=False)
+    return found.by_class.join(found.summary, "model")
+
+
 def _horizons(spark, d) -> dict[int, str]:
     seasons = levels.seasons_of(_appearances(spark, d))[:X.HORIZONS]
     return {2025 + i: f"level_{s}" for i, s in enumerate(seasons)}
