@@ -166,8 +166,22 @@ def _ranked_bins(counts: DataFrame) -> DataFrame:
     )
 
 
-def _quantiles(counts: DataFrame, bins: DataFrame, probs: Sequence[float]) -> DataFrame:
-    """(key, q0, q1, ...) with linear interpolation between order statistics."""
+#: sub-bins into which a bin that holds a wanted rank is cut before any of its values are sorted
+SUB_BINS = 1000
+
+
+def _holding_rank(bins: DataFrame, wanted: Column) -> DataFrame:
+    """Bins that contain a wanted rank; ``before`` and ``n`` say which ranks a bin holds."""
+    inside = lambda w: (w["rank"] >= F.col("before")) & (w["rank"] < F.col("before") + F.col("n"))
+    return bins.withColumn("wanted", F.filter(wanted, inside)).where(F.size("wanted") > 0)
+
+
+def _quantiles(counts: DataFrame, bins: DataFrame, probs: Sequence[float], bin_width: float) -> DataFrame:
+    """(key, q0, q1, ...) with linear interpolation between order statistics.
+
+    Bins that hold a wanted rank are counted again in finer bins, and only the fine bins that hold
+    one are sorted value by value. A group of many distinct values thus never meets in one task.
+    """
     position = [(F.col("total") - 1) * F.lit(float(p)) for p in probs]
     wanted = F.array(*[
         F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"),
@@ -175,16 +189,18 @@ def _quantiles(counts: DataFrame, bins: DataFrame, probs: Sequence[float]) -> Da
         for i, pos in enumerate(position)
         for side, edge in ((0, F.floor), (1, F.ceil))
     ])
-    # Only the bins that contain a wanted rank are searched value by value.
-    inside = lambda w: (w["rank"] >= F.col("before")) & (w["rank"] < F.col("before") + F.col("n"))
-    targets = (
-        bins.withColumn("wanted", F.filter(wanted, inside))
-        .where(F.size("wanted") > 0)
-        .select("key", "bin", "before", "wanted")
-    )
-    along = W.partitionBy("key", "bin").orderBy("value").rowsBetween(*_BEFORE)
+    coarse = _holding_rank(bins, wanted).select("key", "bin", F.col("before").alias("bin_before"), "wanted")
+    part = (F.col("value") / F.lit(float(bin_width)) - F.col("bin")) * F.lit(float(SUB_BINS))
+    rows = counts.join(coarse, ["key", "bin"]).withColumn(
+        "sub", F.greatest(F.lit(0), F.least(F.lit(SUB_BINS - 1), F.floor(part).cast("int"))))
+    along_bins = W.partitionBy("key", "bin").orderBy("sub").rowsBetween(*_BEFORE)  # at most SUB_BINS rows
+    fine = rows.groupBy("key", "bin", "sub").agg(
+        F.sum("n").alias("n"), F.any_value("bin_before").alias("bin_before"), F.any_value("wanted").alias("wanted")
+    ).withColumn("before", F.col("bin_before") + F.coalesce(F.sum("n").over(along_bins), F.lit(0)))
+    targets = _holding_rank(fine, F.col("wanted")).select("key", "bin", "sub", "before", "wanted")
+    along = W.partitionBy("key", "bin", "sub").orderBy("value").rowsBetween(*_BEFORE)
     hits = (
-        counts.join(targets, ["key", "bin"])
+        rows.drop("bin_before", "wanted").join(targets, ["key", "bin", "sub"])
         .withColumn("lo", F.col("before") + F.coalesce(F.sum("n").over(along), F.lit(0)))
         .withColumn("hi", F.col("lo") + F.col("n"))
         .select("key", "value", "lo", "hi", F.explode("wanted").alias("w"))
@@ -216,7 +232,7 @@ def exact_quantiles(
     only the bins holding a wanted rank are sorted.
     """
     counts = value_counts(df, value, by=by, bin_width=bin_width)
-    found = _quantiles(counts, _ranked_bins(counts), probs)
+    found = _quantiles(counts, _ranked_bins(counts), probs, bin_width)
     return unpack_key(found, "key", by, *[F.col(f"q{i}").alias(n) for i, n in enumerate(names)])
 
 
@@ -231,7 +247,7 @@ def top_fraction_mean(
     """Mean of the values at or above the ``1 - top`` quantile of their group."""
     counts = value_counts(df, value, by=by, bin_width=bin_width)
     bins = _ranked_bins(counts)
-    cut = _quantiles(counts, bins, [1.0 - top])
+    cut = _quantiles(counts, bins, [1.0 - top], bin_width)
     kept = _with_group_scalars(counts, bins, cut).where(F.col("value") >= F.col("q0"))
     means = kept.groupBy("key").agg(
         ratio(F.sum(F.col("value") * F.col("n")), F.sum("n")).alias(name)
@@ -243,7 +259,7 @@ def box_summary(df: DataFrame, value: str, *, by: Sequence[str], bin_width: floa
     """Median, hinges, whiskers (extremes within 1.5 IQR of the hinges) and outlier count."""
     counts = value_counts(df, value, by=by, bin_width=bin_width)
     bins = _ranked_bins(counts)
-    hinges = _quantiles(counts, bins, [0.25, 0.5, 0.75])
+    hinges = _quantiles(counts, bins, [0.25, 0.5, 0.75], bin_width)
     reach = F.lit(1.5) * (F.col("q2") - F.col("q0"))
     fences = hinges.withColumns({"low": F.col("q0") - reach, "high": F.col("q2") + reach})
     rows = _with_group_scalars(counts, bins, fences)

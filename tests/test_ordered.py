@@ -122,3 +122,18 @@ def test_box_summary(spark):
         assert [r.q1, r.median, r.q3, r.whisker_low, r.whisker_high] == pytest.approx(
             [q1, q2, q3, inside.min(), inside.max()]
         )
+
+
+def test_one_group_of_distinct_values_is_cut_finely(spark):
+    rng = random.Random(3)
+    values = [rng.random() * 3 for _ in range(4000)] + [0.25] * 500 + [1e9, -1e9]
+    df = spark.createDataFrame([("g", v) for v in values], "g string, v double")
+    got = ordered.exact_quantiles(df, "v", by=["g"], probs=[0.0, 0.1, 0.5, 0.99, 1.0], names=list("abcde"), bin_width=100.0).first()
+    ranked = sorted(values)
+    for name, p in zip("abcde", (0.0, 0.1, 0.5, 0.99, 1.0)):
+        at = (len(ranked) - 1) * p
+        low, high = ranked[int(at)], ranked[min(len(ranked) - 1, int(at) + 1)]
+        assert abs(got[name] - (low + (high - low) * (at - int(at)))) < 1e-9
+    plan = ordered.exact_quantiles(df, "v", by=["g"], probs=[0.5], names=["m"], bin_width=100.0)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "sub#" in text.split("Window")[1]
