@@ -15,6 +15,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from dugout.session import local_session  # noqa: E402
+from dugout.sources.shared import remove_written  # noqa: E402
 from verification.queries import QUERIES  # noqa: E402
 
 HEADLINE = (
@@ -41,6 +42,7 @@ def main() -> None:
         "metric": "total_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
         "queries": times, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
     }))
+    remove_written(spark)
     spark.stop()
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dugout.functions.columns import null_safe_join, ratio, scale_suffix
+from dugout.sources.shared import materialize
 
 INDEXED = ("xba", "xobp", "xslg", "xops", "k_percentage", "bb_percentage", "woba", "xwoba")
 
@@ -45,8 +46,12 @@ def plus_stats(
 def simple_index(
     profiles: DataFrame, stat: str, *, by: Sequence[str] = (), name: str | None = None, scale: float = 1.0
 ) -> DataFrame:
-    """``scale * stat / mean(stat)``, over the whole frame or within ``by``."""
+    """``scale * stat / mean(stat)``, over the whole frame or within ``by``.
+
+    The profiles, one row per player, are read for the mean and again for the index; they are written first.
+    """
     name = name or f"{stat}_plus"
+    profiles = materialize(profiles, "profiles")
     if not by:
         mean = profiles.agg(F.avg(stat)).scalar()
         return profiles.withColumn(name, F.lit(scale) * F.try_divide(F.col(stat), mean))

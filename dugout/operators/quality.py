@@ -11,6 +11,7 @@ from dugout import schema as S
 from dugout.functions.columns import null_safe_join, ratio
 from dugout.operators.clean import is_plate_appearance
 from dugout.operators.ordered import top_fraction_mean
+from dugout.sources.shared import materialize
 
 BATTER = ("season", "batter")
 
@@ -47,10 +48,13 @@ def top_half_quality(
     ``top=1.0`` gives the plain mean.
     """
     plain = hit_quality(pitches, by, minimum)
+    if top < 1.0:
+        plain = materialize(plain, "qualified")  # read to choose the pitches and again for the result
     if top >= 1.0:
         return plain.select(*by, F.col("avg_exit_speed").alias("avg_exit_speed_top"), "avg_angle")
+    chosen = null_safe_join(pitches.select(*by, "exit_speed"), plain.select(*by), list(by), "left_semi")
     fastest = top_fraction_mean(
-        pitches, "exit_speed", by=by, top=top, name="avg_exit_speed_top", bin_width=bin_width
+        chosen, "exit_speed", by=by, top=top, name="avg_exit_speed_top", bin_width=bin_width
     )
     # Small on both sides: one row per batter.
     return null_safe_join(plain.select(*by, "avg_angle"), fastest, list(by), "left").select(

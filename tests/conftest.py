@@ -6,6 +6,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from dugout.session import local_session  # noqa: E402
+from dugout.sources.shared import remove_written  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,4 +16,5 @@ def spark():
     session = local_session(8, shuffle_partitions=4)
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    remove_written(session)
     session.stop()

@@ -10,6 +10,7 @@ from pathlib import Path
 import duckdb
 
 from dugout.session import local_session
+from dugout.sources.shared import remove_written
 from verification.queries import ORACLES, QUERIES
 
 
@@ -66,6 +67,7 @@ def main() -> int:
             ok, note = False, f"{type(e).__name__}: {str(e)[:600]}"
         failures += not ok
         print(f"{'ok  ' if ok else 'FAIL'} {name:32s} {time.time() - start:6.2f}s  {note}", flush=True)
+    remove_written(spark)
     print(f"{len(names) - failures}/{len(names)} passed")
     return 1 if failures else 0
 
