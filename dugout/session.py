@@ -26,16 +26,23 @@ SETTINGS = {
 def local_session(
     cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g", checkpoint_dir: str | None = None
 ) -> SparkSession:
-    """Session on one machine, for tests and benchmarks; its shared folder is a temporary one unless given."""
+    """Session on one machine, for tests and benchmarks.
+
+    Its shared folder is ``checkpoint_dir``, else the configured one, else a temporary one.
+    """
     builder = SparkSession.builder.master(f"local[{cores}]").appName("dugout")
-    builder = builder.config("spark.checkpoint.dir", checkpoint_dir or tempfile.mkdtemp(prefix="dugout-"))
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
-    return (
+    spark = (
         builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", memory)
         .getOrCreate()
     )
+    if not spark.conf.get("spark.checkpoint.dir", ""):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="dugout-"))
+    return spark
 
 
 def side_by_side(spark: SparkSession, fn: Callable, items: Sequence, workers: int = 4) -> list:
