@@ -172,21 +172,10 @@ FEATURE_SETS = {
 }
 
 
-def cross_validated_logloss(
-    balls: DataFrame, *, k: int = 5, fold: str = "fold", common_rows: bool = True,
-    feature_sets: Mapping[str, Sequence[str]] = FEATURE_SETS, parallelism: int = 8,
-) -> DataFrame:
-    """(model_set, outcome, log_loss): mean over folds of the held-out binary log loss.
-
-    ``balls`` are batted balls with a fold column. Each feature set gets one cached table of
-    distinct rows with counts, shared by all its fits; a set of few features stays small
-    however many balls there are. ``common_rows`` scores every set on the balls that have
-    all features, so the sets are compared on the same balls.
-    """
-    spark = balls.sparkSession
-    every = list(dict.fromkeys(f for fs in feature_sets.values() for f in fs))
+def _fold_tables(balls: DataFrame, fold: str, feature_sets: Mapping[str, Sequence[str]]) -> dict[str, DataFrame]:
+    """Distinct rows with counts per feature set, cached: all rows, and those that have every feature."""
     complete = F.lit(True)
-    for f in every:
+    for f in dict.fromkeys(f for fs in feature_sets.values() for f in fs):
         complete = complete & F.col(f).isNotNull()
     tables = {}
     for name, features in feature_sets.items():
@@ -194,13 +183,49 @@ def cross_validated_logloss(
             F.count("*").cast("double").alias(WEIGHT), F.count_if(complete).cast("double").alias("n_complete")
         )
         tables[name] = hit_indicators(counted).persist(StorageLevel.MEMORY_AND_DISK)
+    return tables
 
+
+def _fit_all_folds(
+    spark, tables: Mapping[str, DataFrame], k: int, fold: str, feature_sets: Mapping[str, Sequence[str]], parallelism: int
+) -> list[tuple]:
     def fit(job):
         held_out, name, y = job
-        train = sized[name].where(F.col(fold) != held_out)
-        intercept, weights = fit_binary(train, feature_sets[name], y)
+        intercept, weights = fit_binary(tables[name].where(F.col(fold) != held_out), feature_sets[name], y)
         return (name, held_out, y, intercept, *weights)
 
+    jobs = [(i, name, y) for i in range(1, k + 1) for name in feature_sets for y in OUTCOME_FLAGS]
+    return side_by_side(spark, fit, jobs, parallelism)
+
+
+def fit_folds(
+    balls: DataFrame, *, k: int = 5, fold: str = "fold",
+    feature_sets: Mapping[str, Sequence[str]] = FEATURE_SETS, parallelism: int = 8,
+) -> list[tuple]:
+    """(feature set, held-out fold, outcome, intercept, *weights) of every cross-validation fit."""
+    tables = _fold_tables(balls, fold, feature_sets)
+    try:
+        sized = {name: _sized(table) for name, table in tables.items()}
+        return _fit_all_folds(balls.sparkSession, sized, k, fold, feature_sets, parallelism)
+    finally:
+        for table in tables.values():
+            table.unpersist()
+
+
+def cross_validated_logloss(
+    balls: DataFrame, *, k: int = 5, fold: str = "fold", common_rows: bool = True,
+    feature_sets: Mapping[str, Sequence[str]] = FEATURE_SETS, parallelism: int = 8,
+) -> DataFrame:
+    """(model_set, outcome, log_loss): mean over folds of the held-out binary log loss.
+
+    ``balls`` are batted balls with a fold column. Each feature set gets one cached table of
+    distinct rows with counts, shared by all its fits; a set of few features stays small
+    however many balls there are. ``common_rows`` scores every set on the balls that have
+    all features, so the sets are compared on the same balls.
+    """
+    spark = balls.sparkSession
+    tables = _fold_tables(balls, fold, feature_sets)
+
     def held_out_losses(name: str, fits: list) -> DataFrame:
         features = feature_sets[name]
         schema = f"{fold} int, outcome string, intercept double, " + ", ".join(f"b_{f} double" for f in features)
@@ -224,8 +249,7 @@ def cross_validated_logloss(
 
     try:
         sized = {name: _sized(table) for name, table in tables.items()}
-        jobs = [(i, name, y) for i in range(1, k + 1) for name in feature_sets for y in OUTCOME_FLAGS]
-        fits = side_by_side(spark, fit, jobs, parallelism)
+        fits = _fit_all_folds(spark, sized, k, fold, feature_sets, parallelism)
         per_fold = reduce(DataFrame.unionByName, [held_out_losses(name, fits) for name in feature_sets])
         summary = per_fold.groupBy("model_set", "outcome").agg(F.avg("log_loss").alias("log_loss"))
         found = [tuple(r) for r in summary.collect()]  # one row per model set and outcome

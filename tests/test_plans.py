@@ -11,7 +11,7 @@ from verification.queries import QUERIES
 
 EAGER = {
     "cv_logloss", "multinomial_fit", "coefficient_errors", "outcome_models", "predictor_sweep", "project_levels",
-    "season_models_fine", "season_models_coarse", "season_model_reports",
+    "season_models_fine", "season_models_coarse", "season_model_reports", "horizon_moments", "cv_fold_moments",
     "horizon_losses", "confusion_inference", "accuracy_p_value",  # the interval is a function of one row per model
 }
 

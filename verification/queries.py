@@ -1020,3 +1020,65 @@ def _(spark, d):
 def _(spark, d):
     training = _profiles(spark, d).where(F.col("season") == X.SEASONS[0])
     return projection.fit_horizons(training, _horizons(spark, d))[1]
+
+
+def _horizon_moments_sql() -> str:
+    """Observed targets per horizon among the training players, the same rows the fits see."""
+    fine = "CASE r.level " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in X.PRIORITY_LEVELS.items()) + " END"
+    named = ", ".join(f"'{x}'" for x in S.TARGET_LEVELS[:-1])
+    usable = " AND ".join(f"l.{c} IS NOT NULL" for c in model.HORIZON_SETS["Traditional"])
+    return f"""WITH {O.LINES}, seasons AS (
+  SELECT season, row_number() OVER (ORDER BY season) AS nth FROM (SELECT DISTINCT year(o_orderdate) AS season FROM orders)),
+played AS (
+  SELECT o_custkey AS player, nth, o_orderpriority AS level, count(*) AS pa
+  FROM orders JOIN seasons ON season = year(o_orderdate) WHERE nth <= {X.HORIZONS} GROUP BY 1, 2, 3),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY player, nth
+    ORDER BY CASE WHEN pa >= 2 THEN 0 ELSE 1 END, CASE WHEN pa >= 2 THEN {_RANK_CASE} ELSE -pa END, {_RANK_CASE}) AS pick
+  FROM played),
+labelled AS (
+  SELECT CAST(2024 + s.nth AS INT) AS year, CASE WHEN {fine} IN ({named}) THEN {fine} ELSE '{S.TARGET_LEVELS[-1]}' END AS label
+  FROM lines l JOIN seasons s ON s.nth <= {X.HORIZONS}
+  LEFT JOIN ranked r ON r.player = l.batter AND r.nth = s.nth AND r.pick = 1
+  WHERE l.season = {X.SEASONS[0]} AND {usable})
+SELECT year, label, round(CAST(count(*) AS DOUBLE), 1) AS n FROM labelled GROUP BY year, label"""
+
+
+@query("horizon_moments", _horizon_moments_sql())
+def _(spark, d):
+    """Players expected in every target by the model of each horizon over its training rows."""
+    training = _profiles(spark, d).where(F.col("season") == X.SEASONS[0])
+    years = _horizons(spark, d)
+    fitted, _ = projection.fit_horizons(
+        training, years, predictor_sets={"Traditional": model.HORIZON_SETS["Traditional"]})
+    parts = []
+    for year, m in fitted.items():
+        names = {x: f"p_{i}" for i, x in enumerate(m.labels)}
+        usable = training.dropna(subset=list(m.features))
+        scored = add_class_probabilities(usable, m, names)
+        parts.append(_moments(scored, names, (), {"n": (F.lit(1.0), 1)}).select(F.lit(year).alias("year"), "*"))
+    return tables.union_sources(parts)
+
+
+@query("cv_fold_moments", f"""WITH {O.BALLS}, folded AS (
+  SELECT *, CAST((row_number() OVER (ORDER BY md5(CAST(pitch_id AS VARCHAR) || ':42'), pitch_id) - 1) % 5 + 1 AS INT) AS fold
+  FROM balls)
+""" + "\nUNION ALL ".join(
+    f"""SELECT '{name}' AS model_set, h.fold AS held_out, '{y}' AS outcome, round(sum({y}), 1) AS hits,
+  round(sum({y} * exit_speed) / sum({y}), 1) AS exit_speed
+FROM folded f JOIN (SELECT DISTINCT fold FROM folded) h ON f.fold <> h.fold
+WHERE {" AND ".join(f"{c} IS NOT NULL" for c in features)} GROUP BY h.fold"""
+    for name, features in model.FEATURE_SETS.items() for y in model.OUTCOME_FLAGS))
+def _(spark, d):
+    """Hits, and their mean speed, that every cross-validation fit expects on the rows it was trained on."""
+    balls = model.kfold(clean.batted_balls(X.plays(spark, d)), ["pitch_id"])
+    parts = []
+    for name, features in model.FEATURE_SETS.items():
+        fits = [f for f in model.fit_folds(balls, feature_sets={name: features})]
+        table = clean.hit_indicators(model.compress(balls, features, "fold", "play_result")).persist()
+        for _, held_out, y, intercept, *weights in fits:
+            p = binary_probability(intercept, weights, features) * F.col(model.WEIGHT)
+            parts.append(table.where(F.col("fold") != held_out).agg(
+                F.round(F.sum(p), 1).alias("hits"), F.round(F.sum(p * F.col("exit_speed")) / F.sum(p), 1).alias("exit_speed"),
+            ).select(F.lit(name).alias("model_set"), F.lit(held_out).alias("held_out"), F.lit(y).alias("outcome"), "*"))
+    return tables.union_sources(parts)
