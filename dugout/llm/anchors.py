@@ -37,6 +37,8 @@ from dugout.sources.shared import materialize, new_path
 
 #: text in a bucket, and text that is hashed at a time
 BUCKET_BYTES, PART_BYTES = 4 << 20, 1 << 20
+#: buckets whose anchors one shard may gather, about 256 MB of text
+SHARD_BUCKETS = 64
 NO_ID = np.iinfo(np.int64).max  # null ids come after all others
 _LOW = np.uint64(0xFFFFFFFF)
 _STEP, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -369,6 +371,15 @@ def bucket_table(df: DataFrame, id_col: str, text_col: str, carry: bool = False)
     return table
 
 
+def shard_count(buckets: DataFrame) -> int:
+    """Shards for the anchors: the shuffle partitions, and more where these would make shards too large.
+
+    Memory of a shard is thus bounded also when the setting does not fit the size of the input.
+    """
+    parts = max(1, int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(parts, -(-buckets.select("bucket").distinct().count() // SHARD_BUCKETS))
+
+
 def recurring_anchors(buckets: DataFrame, sieve: Sieve) -> DataFrame:
     """(bucket, shard, blob): for each bucket its anchors that recur in the corpus, with a hot mark."""
 

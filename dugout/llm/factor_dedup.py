@@ -138,10 +138,10 @@ def repeats(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 # --- the distributed steps ------------------------------------------------------------------
 
 
-def _sieve(df: DataFrame, length: int, hot: int) -> tuple[A.Sieve, int]:
-    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def _sieve(buckets: DataFrame, length: int, hot: int) -> tuple[A.Sieve, int]:
+    shards = A.shard_count(buckets)
     gram = max(1, min(GRAM_BYTES, length - length // 2))
-    return A.Sieve(length, gram, "bytes", False, shards=parts, hot=hot, hot_run=max(1, length // 20)), 4 * parts
+    return A.Sieve(length, gram, "bytes", False, shards=shards, hot=hot, hot_run=max(1, length // 20)), 4 * shards
 
 
 def _first_places(found: A.Segments) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -288,8 +288,8 @@ def repeated_bytes(
     if keep not in ("first", "none"):
         raise ValueError("keep must be 'first' or 'none'")
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    sieve, shards = _sieve(df, length, hot)
     buckets = A.bucket_table(df, id_col, text_col)
+    sieve, shards = _sieve(buckets, length, hot)
     anchors = A.recurring_anchors(buckets, sieve)
     sent = buckets.groupBy("bucket").cogroup(anchors.groupBy("bucket")).applyInArrow(_send(sieve, shards), _SENT)
     marks = sent.groupBy("shard").applyInArrow(_mark(sieve, keep), _FOUND)

@@ -40,11 +40,11 @@ _SENT = "shard long, bucket long, heads binary, text binary"
 _FOUND = "bucket long, kind int, shard long, blob binary"
 
 
-def _sieve(df: DataFrame, length: int, hot: int) -> tuple[A.Sieve, int]:
-    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def _sieve(buckets: DataFrame, length: int, hot: int) -> tuple[A.Sieve, int]:
+    shards = A.shard_count(buckets)
     # At most MASK_BITS windows share an anchor.
     gram = max(min(GRAM_WORDS, length - length // 2), length + 1 - MASK_BITS)
-    return A.Sieve(length, gram, "words", True, shards=parts, hot=hot), 4 * parts
+    return A.Sieve(length, gram, "words", True, shards=shards, hot=hot), 4 * shards
 
 
 def _smallest_ids(found: A.Segments) -> tuple[np.ndarray, np.ndarray]:
@@ -244,8 +244,8 @@ def kept_text(raw: bytes, words: list[bytes], gone: np.ndarray) -> bytes:
 
 
 def _find(df: DataFrame, id_col: str, text_col: str, length: int, hot: int, carry: bool):
-    sieve, shards = _sieve(df, length, hot)
     buckets = A.bucket_table(df, id_col, text_col, carry)
+    sieve, shards = _sieve(buckets, length, hot)
     anchors = A.recurring_anchors(buckets, sieve)
     sent = buckets.select("bucket", "doc_id", "text").groupBy("bucket").cogroup(
         anchors.groupBy("bucket")).applyInArrow(_send(sieve, shards), _SENT)

@@ -48,6 +48,23 @@ def test_phrases_on_odd_rows(make, odd_rows, length, hot):
     assert rows_of(got, *PHRASE) == ordered(brute.phrases(odd_rows, length))
 
 
+def test_shards_follow_the_input_when_few_partitions_are_set(spark, make, odd_rows, monkeypatch):
+    monkeypatch.setattr(phrase_automata.A, "SHARD_BUCKETS", 1)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        df = make(odd_rows, partitions=5)
+        buckets = phrase_automata.A.bucket_table(df, "doc_id", "text")
+        assert phrase_automata.A.shard_count(buckets) == 5
+        assert phrase_automata.A.shard_count(buckets.limit(0)) == 1
+        got = phrase_automata.phrase_digests(df)
+        assert rows_of(got, *PHRASE) == ordered(brute.phrases(odd_rows, 13))
+        got = factor_dedup.repeated_bytes(df, length=60, keep="none")
+        assert rows_of(got, *FACTOR) == ordered(brute.repeated_bytes(odd_rows, 60, "none"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_phrases_are_judged_on_the_input(make):
     text = " ".join(f"w{i}" for i in range(20))
     rows = [(1, text), (2, text + " tail"), (3, "head " + text + " tail")]
