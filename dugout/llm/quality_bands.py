@@ -21,17 +21,27 @@ from pyspark.sql import DataFrame
 from dugout.llm.common import id_and_text, map_slices
 
 #: (bytes from, smallest ratio, largest ratio); a text uses the last row that it reaches.
-#: Prose in alphabetic scripts lies well inside at every length.
+#: The lower limits lie below every document labelled good in 0.5 GB, above the ratio of base64 in lines from 160
+#: bytes on (up to 1.33) and in words of three to nine signs from 192 bytes on (up to 1.39), and above random
+#: lower-case letters from 1,280 bytes on (1.65 to 1.72). Shorter than that, prose and such noise overlap.
 BANDS = (
-    (128, 0.80, 2.6),
-    (256, 1.10, 2.8),
-    (512, 1.15, 3.0),
-    (1024, 1.20, 3.2),
-    (2048, 1.25, 3.4),
-    (4096, 1.30, 3.6),
-    (8192, 1.30, 3.8),
-    (16384, 1.35, 4.0),
-    (65536, 1.35, 4.5),
+    (128, 1.02, 2.6),
+    (160, 1.07, 2.6),
+    (176, 1.09, 2.6),
+    (192, 1.125, 2.6),
+    (224, 1.18, 2.6),
+    (256, 1.20, 2.8),
+    (384, 1.28, 2.8),
+    (512, 1.33, 3.0),
+    (768, 1.42, 3.0),
+    (1024, 1.50, 3.2),
+    (1280, 1.66, 3.2),
+    (1536, 1.69, 3.2),
+    (2048, 1.72, 3.4),
+    (4096, 1.76, 3.6),
+    (8192, 1.80, 3.8),
+    (16384, 1.80, 4.0),
+    (65536, 1.80, 4.5),
 )
 CHUNK_BYTES, LEVEL = 4096, 3
 #: a document goes when more than this share of its full chunks is out of band

@@ -287,6 +287,69 @@ def test_quality_keeps_documents_labelled_good(spark):
     assert good.where("not kept").count() == 0 and good.count() > 0
 
 
+def _coder():
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=quality_bands.LEVEL, write_checksum=False, write_content_size=False)
+
+
+def _random_words(rng, n, letters):
+    out = ""
+    while len(out) < n:
+        out += "".join(rng.choices(letters, k=rng.randrange(3, 10))) + " "
+    return out[:n].encode()
+
+
+def _base64_lines(rng, n):
+    import base64
+
+    return base64.encodebytes(rng.randbytes(n))[:n]
+
+
+def test_noise_is_out_of_band_at_every_length():
+    import random
+    import string
+
+    rng, coder = random.Random(8), _coder()
+    signs = string.ascii_letters + string.digits + "+/"
+    starts = [b[0] for b in quality_bands.BANDS]
+    for start, end in zip(starts, [*starts[1:], 100_000]):
+        for n in (start, (start + end) // 2, end - 1) * 5:
+            lines = _base64_lines(rng, n)
+            assert not quality_bands.in_band(coder, lines)[0] or n < 160 and len(lines.split()) < quality_bands.MIN_WORDS, n
+            if n >= 192:
+                assert not quality_bands.in_band(coder, _random_words(rng, n, signs))[0], n
+            if n >= 1280:
+                assert not quality_bands.in_band(coder, _random_words(rng, n, string.ascii_lowercase))[0], n
+
+
+def _good_bodies(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    good = spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1")
+    return [r["text"].encode() for r in docs.join(good, "doc_id").orderBy("doc_id").collect() if r["text"]]
+
+
+def test_documents_that_are_mostly_noise_are_out_of_band(spark):
+    import random
+    import string
+
+    rng, coder = random.Random(9), _coder()
+    good = _good_bodies(spark, SF.replace("0.001", "0.01"))
+    prose = b" ".join(b for b in good if len(b) > 1000)
+    for n in (8192, 20_000, 65_536, 226_000):
+        for noise in (_base64_lines(rng, n * 9 // 10), _random_words(rng, n * 9 // 10, string.ascii_lowercase)):
+            share = prose[:n // 10]
+            assert not quality_bands.in_band(coder, share + b"\n" + noise)[0], n
+            assert not quality_bands.in_band(coder, noise + b"\n" + share)[0], n
+
+
+def test_prose_labelled_good_is_in_band_at_every_length(spark):
+    coder = _coder()
+    good = _good_bodies(spark, SF.replace("0.001", "0.1"))
+    assert all(quality_bands.in_band(coder, b)[0] for b in good)
+    assert {quality_bands.band(len(b)) for b in good} >= {b[1:] for b in quality_bands.BANDS if b[0] <= 16384}
+
+
 # --- 9 simhash -----------------------------------------------------------------------------------
 
 
