@@ -12,6 +12,7 @@ from dugout.operators import evaluate, model
 from dugout.plans import projection
 from tests.conftest import SF
 from verification import fixture as X
+from verification.queries import QUERIES
 
 LABELS = ("A", "B", "C")
 TRUE_B, TRUE_W = np.array([0.0, 0.5, -1.0]), np.array([[0.0, 0.0], [1.0, -0.5], [-0.8, 0.7]])
@@ -268,3 +269,8 @@ print("P", e.queries()["accuracy_p_value"](spark, "/root/testdata/sf0.001").coun
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
     assert "P 1" in out.stdout, out.stderr[-2000:]
+
+
+def test_reports_cover_every_predictor_set(spark):
+    found = QUERIES["season_model_reports"](spark, SF.replace("0.001", "0.01"))
+    assert {r["model"] for r in found.select("model").distinct().collect()} == set(model.SEASON_SETS)

@@ -922,20 +922,33 @@ FINE_LABELS = ("A+", "AA", "AAA", "DNP", "MLB", "Mex")
 COARSE_LABELS = ("AAA", "Affiliated", "DNP", "Independent", "MLB")
 #: predictor sets whose features are plain ratios, so that SQL can select the same training rows
 MOMENT_SETS = {k: model.SEASON_SETS[k] for k in ("age", "traditional", "rates", "traditional_rates")}
+#: the other sets: SQL selects their training rows by whether expected values and tracked balls exist
+TRACKED_SETS = {k: v for k, v in model.SEASON_SETS.items() if k not in MOMENT_SETS}
+#: players with every feature that is null where a fit leaves the row out; an index is null where its statistic is
+_TRACKED = f"""{O.PLAYERS}, {_QUALITY_ONLY}, medians AS (
+  SELECT season, batter, quantile_cont(exit_speed, 0.5) AS cut FROM plays
+  WHERE exit_speed IS NOT NULL GROUP BY season, batter),
+fast AS (
+  SELECT p.season, p.batter, avg(exit_speed) AS avg_exit_speed_top
+  FROM plays p JOIN medians m ON m.season = p.season AND m.batter = p.batter WHERE exit_speed >= cut
+  GROUP BY p.season, p.batter),
+tracked AS (
+  SELECT p.*, p.xwoba AS xwoba_plus, f.avg_exit_speed_top, q.avg_angle, q.hard_hit_percentage
+  FROM players p LEFT JOIN quality q USING (season, batter) LEFT JOIN fast f USING (season, batter))"""
 
 
-def _season_models(spark, d, coarse: bool) -> projection.ModelReports:
+def _season_models(spark, d, coarse: bool, sets=model.SEASON_SETS) -> projection.ModelReports:
     first = levels.seasons_of(_appearances(spark, d))[0]
     reached = F.col(f"level_{first}")
     profiles = _profiles(spark, d).where(F.col("season") == X.SEASONS[0])
     labelled = profiles.withColumn("level", levels.consolidate_levels(reached) if coarse else reached)
     return projection.report_models(
-        labelled, ["batter"], "level", COARSE_LABELS if coarse else FINE_LABELS, predictor_sets=MOMENT_SETS)
+        labelled, ["batter"], "level", COARSE_LABELS if coarse else FINE_LABELS, predictor_sets=sets)
 
 
-def _season_moments(spark, d, coarse: bool) -> DataFrame:
+def _season_moments(spark, d, coarse: bool, sets=MOMENT_SETS) -> DataFrame:
     """Players expected in every class by each model over its own training rows."""
-    found = _season_models(spark, d, coarse)
+    found = _season_models(spark, d, coarse, sets)
     parts = []
     for name, m in found.models.items():
         names = {x: f"p_{i}" for i, x in enumerate(m.labels)}
@@ -945,7 +958,7 @@ def _season_moments(spark, d, coarse: bool) -> DataFrame:
     return tables.union_sources(parts)
 
 
-def _season_moments_sql(coarse: bool) -> str:
+def _season_moments_sql(coarse: bool, sets=MOMENT_SETS, players: str = O.LINES, source: str = "lines") -> str:
     fine = "CASE r.level " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in X.PRIORITY_LEVELS.items()) + " END"
     level = f"CASE WHEN c.c_custkey IS NULL THEN NULL ELSE coalesce({fine}, 'DNP') END"
     if coarse:
@@ -956,8 +969,8 @@ def _season_moments_sql(coarse: bool) -> str:
     each = "\nUNION ALL ".join(
         f"""SELECT '{name}' AS model, level AS label, round(CAST(count(*) AS DOUBLE), 1) AS n FROM split
 WHERE is_train AND level IS NOT NULL AND {" AND ".join(f"{c} IS NOT NULL" for c in columns)} GROUP BY level"""
-        for name, columns in MOMENT_SETS.items())
-    return f"""WITH {O.LINES}, played AS (
+        for name, columns in sets.items())
+    return f"""WITH {players}, played AS (
   SELECT o_custkey AS player, o_orderpriority AS level, count(*) AS pa FROM orders
   WHERE year(o_orderdate) = (SELECT min(year(o_orderdate)) FROM orders) GROUP BY 1, 2),
 ranked AS (
@@ -966,7 +979,7 @@ ranked AS (
   FROM played),
 base AS (
   SELECT l.*, CASE WHEN l.batter % 7 = 3 THEN NULL ELSE 22 + l.batter % 15 END AS age, {level} AS level
-  FROM lines l LEFT JOIN customer c ON c.c_custkey = l.batter
+  FROM {source} l LEFT JOIN customer c ON c.c_custkey = l.batter
   LEFT JOIN ranked r ON r.player = l.batter AND r.pick = 1 WHERE l.season = {X.SEASONS[0]}),
 split AS (
   SELECT *, row_number() OVER (PARTITION BY level ORDER BY md5(CAST(batter AS VARCHAR) || ':425'), batter)
@@ -984,6 +997,16 @@ def _(spark, d):
     return _season_moments(spark, d, coarse=True)
 
 
+@query("season_models_fine_tracked", _season_moments_sql(False, TRACKED_SETS, _TRACKED, "tracked"))
+def _(spark, d):
+    return _season_moments(spark, d, coarse=False, sets=TRACKED_SETS)
+
+
+@query("season_models_coarse_tracked", _season_moments_sql(True, TRACKED_SETS, _TRACKED, "tracked"))
+def _(spark, d):
+    return _season_moments(spark, d, coarse=True, sets=TRACKED_SETS)
+
+
 @query("season_model_reports")
 def _(spark, d):
     """Rates of every class and fit summary of every model on the fine labels."""
