@@ -12,7 +12,7 @@ from dugout.operators import evaluate, model
 from dugout.plans import projection
 from tests.conftest import SF
 from verification import fixture as X
-from verification.queries import QUERIES
+from verification.queries import ORACLES, QUERIES
 
 LABELS = ("A", "B", "C")
 TRUE_B, TRUE_W = np.array([0.0, 0.5, -1.0]), np.array([[0.0, 0.0], [1.0, -0.5], [-0.8, 0.7]])
@@ -274,3 +274,9 @@ print("P", e.queries()["accuracy_p_value"](spark, "/root/testdata/sf0.001").coun
 def test_reports_cover_every_predictor_set(spark):
     found = QUERIES["season_model_reports"](spark, SF.replace("0.001", "0.01"))
     assert {r["model"] for r in found.select("model").distinct().collect()} == set(model.SEASON_SETS)
+
+
+def test_every_horizon_set_has_a_moment_check():
+    checks = {"Traditional": "horizon_moments", "HitQuality": "horizon_moments_quality",
+              "Expected": "horizon_moments_expected"}
+    assert set(checks) == set(model.HORIZON_SETS) and set(checks.values()) <= set(ORACLES)

@@ -1045,12 +1045,12 @@ def _(spark, d):
     return projection.fit_horizons(training, _horizons(spark, d))[1]
 
 
-def _horizon_moments_sql() -> str:
+def _horizon_moments_sql(name: str = "Traditional", players: str = O.LINES, source: str = "lines") -> str:
     """Observed targets per horizon among the training players, the same rows the fits see."""
     fine = "CASE r.level " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in X.PRIORITY_LEVELS.items()) + " END"
     named = ", ".join(f"'{x}'" for x in S.TARGET_LEVELS[:-1])
-    usable = " AND ".join(f"l.{c} IS NOT NULL" for c in model.HORIZON_SETS["Traditional"])
-    return f"""WITH {O.LINES}, seasons AS (
+    usable = " AND ".join(f"l.{c} IS NOT NULL" for c in model.HORIZON_SETS[name])
+    return f"""WITH {players}, seasons AS (
   SELECT season, row_number() OVER (ORDER BY season) AS nth FROM (SELECT DISTINCT year(o_orderdate) AS season FROM orders)),
 played AS (
   SELECT o_custkey AS player, nth, o_orderpriority AS level, count(*) AS pa
@@ -1061,19 +1061,17 @@ ranked AS (
   FROM played),
 labelled AS (
   SELECT CAST(2024 + s.nth AS INT) AS year, CASE WHEN {fine} IN ({named}) THEN {fine} ELSE '{S.TARGET_LEVELS[-1]}' END AS label
-  FROM lines l JOIN seasons s ON s.nth <= {X.HORIZONS}
+  FROM {source} l JOIN seasons s ON s.nth <= {X.HORIZONS}
   LEFT JOIN ranked r ON r.player = l.batter AND r.nth = s.nth AND r.pick = 1
   WHERE l.season = {X.SEASONS[0]} AND {usable})
 SELECT year, label, round(CAST(count(*) AS DOUBLE), 1) AS n FROM labelled GROUP BY year, label"""
 
 
-@query("horizon_moments", _horizon_moments_sql())
-def _(spark, d):
-    """Players expected in every target by the model of each horizon over its training rows."""
+def _horizon_moments(spark, d, name: str) -> DataFrame:
     training = _profiles(spark, d).where(F.col("season") == X.SEASONS[0])
     years = _horizons(spark, d)
     fitted, _ = projection.fit_horizons(
-        training, years, predictor_sets={"Traditional": model.HORIZON_SETS["Traditional"]})
+        training, years, predictor_sets={name: model.HORIZON_SETS[name]}, chosen=name)
     parts = []
     for year, m in fitted.items():
         names = {x: f"p_{i}" for i, x in enumerate(m.labels)}
@@ -1083,6 +1081,22 @@ def _(spark, d):
     return tables.union_sources(parts)
 
 
+@query("horizon_moments", _horizon_moments_sql())
+def _(spark, d):
+    """Players expected in every target by the model of each horizon over its training rows."""
+    return _horizon_moments(spark, d, "Traditional")
+
+
+@query("horizon_moments_quality", _horizon_moments_sql("HitQuality", _TRACKED, "tracked"))
+def _(spark, d):
+    return _horizon_moments(spark, d, "HitQuality")
+
+
+@query("horizon_moments_expected", _horizon_moments_sql("Expected", _TRACKED, "tracked"))
+def _(spark, d):
+    return _horizon_moments(spark, d, "Expected")
+
+
 @query("cv_fold_moments", f"""WITH {O.BALLS}, folded AS (
   SELECT *, CAST((row_number() OVER (ORDER BY md5(CAST(pitch_id AS VARCHAR) || ':42'), pitch_id) - 1) % 5 + 1 AS INT) AS fold
   FROM balls)
