@@ -3,7 +3,8 @@
 The zstandard ratio (bytes before / after) of ordinary prose grows slowly with length.
 Text far above the band of its length repeats itself, text below it is noise. The ratio
 is taken over the whole text and over fixed chunks, so that a document is also rejected
-when most of its chunks are out of band while the whole looks ordinary.
+when most of its bytes lie in chunks out of band while the whole looks ordinary. The last
+chunk is judged by the limits of its own length; texts of one chunk or more have chunks.
 
 Defined results: a null text has no words and counts 0 everywhere; it fails the base rules.
 Texts shorter than the smallest band have no ratio limits.
@@ -44,7 +45,7 @@ BANDS = (
     (65536, 1.80, 4.5),
 )
 CHUNK_BYTES, LEVEL = 4096, 3
-#: a document goes when more than this share of its full chunks is out of band
+#: a document goes when more than this share of its bytes lies in chunks out of band
 MAX_BAD_CHUNKS = 0.5
 REPEAT_WORDS, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
 
@@ -100,16 +101,18 @@ def _ratio(coder, body: bytes) -> float:
 
 
 def in_band(coder, body: bytes) -> tuple[bool, float, float]:
-    """Verdict, ratio of the whole, share of full chunks out of band."""
+    """Verdict, ratio of the whole, share of the bytes in chunks out of band; the last chunk may be short."""
     if not body:
         return True, 0.0, 0.0
     whole = _ratio(coder, body)
     low, high = band(len(body))
     ok = low <= whole <= high
-    chunks = range(0, len(body) - CHUNK_BYTES + 1, CHUNK_BYTES) if len(body) >= 2 * CHUNK_BYTES else range(0)
-    low, high = band(CHUNK_BYTES)
-    bad = sum(not low <= _ratio(coder, body[i:i + CHUNK_BYTES]) <= high for i in chunks)
-    share = bad / len(chunks) if len(chunks) else 0.0
+    bad = 0
+    for i in range(0, len(body) if len(body) >= CHUNK_BYTES else 0, CHUNK_BYTES):
+        chunk = body[i:i + CHUNK_BYTES]
+        low, high = band(len(chunk))
+        bad += 0 if low <= _ratio(coder, chunk) <= high else len(chunk)
+    share = bad / len(body)
     return ok and share <= MAX_BAD_CHUNKS, whole, share
 
 

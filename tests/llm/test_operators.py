@@ -350,6 +350,24 @@ def test_prose_labelled_good_is_in_band_at_every_length(spark):
     assert {quality_bands.band(len(b)) for b in good} >= {b[1:] for b in quality_bands.BANDS if b[0] <= 16384}
 
 
+def test_every_chunk_is_tested_from_one_chunk_on(spark):
+    import random
+
+    rng, coder = random.Random(10), _coder()
+    good = _good_bodies(spark, SF.replace("0.001", "0.01"))
+    prose = b" ".join(b for b in good if len(b) > 1000)
+    half = quality_bands.CHUNK_BYTES // 2
+    for n in (5000, 6500, 8191):
+        noise = _base64_lines(rng, quality_bands.CHUNK_BYTES)
+        assert not quality_bands.in_band(coder, noise + prose[:n - len(noise)])[0], n
+        dull = (prose[:60] + b" ") * 40
+        repeated = prose[:half] + dull[:half] + prose[half:n - half]
+        assert not quality_bands.in_band(coder, repeated)[0], n
+        assert quality_bands.in_band(coder, prose[:n])[0], n
+    last = prose[:2 * 4096] + _base64_lines(rng, 4000)
+    assert quality_bands.in_band(coder, last)[2] == 4000 / len(last)
+
+
 # --- 9 simhash -----------------------------------------------------------------------------------
 
 
