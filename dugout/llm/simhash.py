@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dugout.llm.common import arrow_schema, id_and_text, map_slices, quoted
 from dugout.llm.components import connected_components
@@ -235,13 +236,39 @@ def near_duplicates(
 
 
 def one_per_component(
-    df: DataFrame, *, shingle_words: int, max_distance: int, id_col: str = "doc_id", text_col: str = "text"
+    df: DataFrame, *, shingle_words: int, max_distance: int, seed: int = 42, id_col: str = "doc_id",
+    text_col: str = "text",
 ) -> DataFrame:
-    """Rows of ``df`` whose id names their component; all columns as they were.
+    """Rows of ``df`` that name their component by id and fingerprint; all columns as they were.
 
-    Rows with a null id stay: nothing tells them apart, so none is singled out.
+    Rows with a null id stay: nothing tells them apart, so none is singled out. Different texts under one
+    id are judged each by itself; of those under the smallest id of one component the smallest fingerprint
+    stays. Rows equal in id and fingerprint stay or go together.
     """
-    found = near_duplicates(df, shingle_words=shingle_words, max_distance=max_distance,
-                            id_col=id_col, text_col=text_col)
-    losers = found.where("doc_id != component_id").select(F.col("doc_id").alias("__loser")).distinct()
-    return df.join(losers, quoted(id_col).cast("long") == F.col("__loser"), "left_anti")
+    found = materialize(near_duplicates(df, shingle_words=shingle_words, max_distance=max_distance, seed=seed,
+                                        id_col=id_col, text_col=text_col), "near-duplicates")
+    heads = found.where("doc_id = component_id").groupBy(F.col("component_id").alias("__head")).agg(
+        F.min("fingerprint").alias("__first"))
+    judged = found.where("doc_id IS NOT NULL").join(heads, F.col("component_id") == F.col("__head"), "left").select(
+        F.col("doc_id").alias("__id"), F.col("fingerprint").alias("__fp"),
+        F.coalesce((F.col("__id") == F.col("component_id")) & (F.col("__fp") == F.col("__first")), F.lit(False))
+        .alias("__stays"))
+    ids = judged.groupBy("__id").agg(F.bool_and("__stays").alias("__all"), F.bool_or("__stays").alias("__any"))
+    ids = materialize(ids.where("NOT __all"), "judged-ids")
+    key = quoted(id_col).cast("long") == F.col("__id")
+    clear = df.join(ids.select("__id"), key, "left_anti")
+    # Only ids with rows of both kinds need the fingerprint again to tell their rows apart.
+    several = materialize(ids.where("__any").select("__id"), "mixed-ids")
+    mixed = df.join(several, key, "left_semi")
+    kept = judged.where("__stays").select("__id", "__fp").distinct()
+    marked = T.StructType([*df.schema.fields, T.StructField("__mark", T.LongType())])
+
+    def mark(batches):
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.string()).to_pylist()
+            prints = pa.array(fingerprint_batch(texts, shingle_words, seed).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, prints], names=[*batch.schema.names, "__mark"])
+
+    prints = F.lower(F.lpad(F.hex("__mark"), 16, "0"))
+    stay = mixed.mapInArrow(mark, marked).join(kept, key & (prints == F.col("__fp")), "left_semi")
+    return clear.unionByName(stay.drop("__mark"))

@@ -409,6 +409,16 @@ def _classes(nodes, pairs):
     return {n: find(n) for n in nodes}
 
 
+def test_different_texts_under_one_id_are_judged_each_by_itself(make):
+    near = " ".join(f"word{i}" for i in range(300))
+    other = " ".join(f"sign{i * 7}" for i in range(300))
+    third = " ".join(f"leaf{i * 3}" for i in range(300))
+    rows = [(3, near), (7, near + " end"), (7, other), (8, other), (5, third), (5, third + " end"), (None, near)]
+    got = simhash.one_per_component(make(rows), shingle_words=3, max_distance=6)
+    kept = sorted((r["doc_id"] or 0, r["text"][:4]) for r in got.collect())
+    assert kept == [(0, "word"), (3, "word"), (5, "leaf"), (7, "sign")]
+
+
 def test_split_scheme_never_loses_a_pair():
     import random
 
