@@ -252,6 +252,13 @@ def test_language_of_odd_rows(make, odd_rows):
     assert kept.columns == make(odd_rows).columns and kept.count() < len(odd_rows)
 
 
+def test_size_of_the_dictionary_is_a_parameter(make):
+    rows = [(i, " ".join(f"w{chr(97 + i % 26)}{chr(97 + k % 26)}" for k in range(100))) for i in range(40)]
+    docs = make(rows).selectExpr("*", "'xx' AS lang")
+    sizes = {n: len(language_id.fit_languages(docs, dictionary_bytes=n).content["xx"]) for n in (500, 2000)}
+    assert sizes == {500: 500, 2000: 2000}
+
+
 # --- 8 quality -----------------------------------------------------------------------------------
 
 
