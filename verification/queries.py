@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from dugout import schema as S
 from dugout.functions import columns as C
 from dugout.functions.scoring import add_class_probabilities, binary_probability
-from dugout.operators import batting, clean, evaluate, indexing, levels, model, ordered, quality, runvalue
+from dugout.operators import batting, clean, evaluate, indexing, levels, model, ordered, quality, runvalue, smooth
 from dugout.plans import projection, season
 from dugout.session import side_by_side
 from dugout.sources import csv_tree, tables
@@ -517,6 +517,63 @@ def _(spark, d):
     return quality.binned_trend(_scored(spark, d), xs, ("xba", "xslg"), bins=20, by=["season"])
 
 
+#: bins, positions and share of points of the smooth curves
+_SMOOTH = {"bins": 240, "points": 40, "span": 0.75}
+
+_SMOOTH_SQL = f"""{O.SCORED}, points AS (
+  """ + "\n  UNION ALL ".join(
+    f"""SELECT season, '{x}' AS x, '{y}' AS y, {lo} + (b - 0.5) * w AS centre, b AS bin, (v - ({lo})) / w - (b - 0.5) AS u, r, w
+    FROM (SELECT season, {x} AS v, {y} AS r, CAST({hi - lo} AS DOUBLE) / {_SMOOTH["bins"]} AS w,
+      CASE WHEN {x} < {lo} THEN 0 WHEN {x} >= {hi} THEN {_SMOOTH["bins"] + 1}
+        ELSE CAST(floor({_SMOOTH["bins"]} * (({x} - ({lo})) / {float(hi - lo)})) AS BIGINT) + 1 END AS b FROM scored
+      WHERE {x} IS NOT NULL AND {y} IS NOT NULL)"""
+    for x, lo, hi in _TREND for y in ("xba", "xslg")) + f"""),
+bins AS (
+  SELECT season, x, y, bin, any_value(centre) AS c, any_value(w) AS w, count(*) AS n, sum(u) AS x1, sum(u * u) AS x2,
+    sum(u * u * u) AS x3, sum(u * u * u * u) AS x4, sum(r) AS y0, sum(r * u) AS y1, sum(r * u * u) AS y2, sum(r * r) AS yy
+  FROM points GROUP BY season, x, y, bin),
+placed AS (SELECT *, c + w * x1 / n AS mean FROM bins),
+ends AS (
+  SELECT season, x, y, min(mean) AS first, max(mean) AS last, floor(sum(n) * {_SMOOTH["span"]} + 1e-5) AS wanted
+  FROM placed GROUP BY season, x, y),
+grid AS (
+  SELECT season, x, y, wanted, k, first + k * ((last - first) / {_SMOOTH["points"] - 1}) AS x_at
+  FROM ends, range(0, {_SMOOTH["points"]}) g(k)),
+far AS (
+  SELECT p.*, g.k, g.x_at, g.wanted, abs(mean - g.x_at) AS distance,
+    sum(n) OVER (PARTITION BY season, x, y, g.k ORDER BY abs(mean - g.x_at), bin ROWS UNBOUNDED PRECEDING) AS held
+  FROM placed p JOIN grid g USING (season, x, y)),
+reach AS (
+  SELECT season, x, y, k, min(distance) FILTER (WHERE held >= wanted) AS h FROM far GROUP BY season, x, y, k),
+weighted AS (
+  SELECT f.*, h, (c - x_at) / h AS a, w / h AS s,
+    CASE WHEN distance < h THEN pow(1 - pow(distance / h, 3), 3) ELSE 0 END AS q FROM far f JOIN reach USING (season, x, y, k)),
+moved AS (
+  SELECT season, x, y, k, any_value(x_at) AS x_at, any_value(h) AS bandwidth, CAST(sum(n) FILTER (WHERE q > 0) AS BIGINT) AS n,
+    sum(q * n) AS m0, sum(q * (a * n + s * x1)) AS m1, sum(q * (a * a * n + 2 * a * s * x1 + s * s * x2)) AS m2,
+    sum(q * (a ** 3 * n + 3 * a * a * s * x1 + 3 * a * s * s * x2 + s ** 3 * x3)) AS m3,
+    sum(q * (a ** 4 * n + 4 * a ** 3 * s * x1 + 6 * a * a * s * s * x2 + 4 * a * s ** 3 * x3 + s ** 4 * x4)) AS m4,
+    sum(q * y0) AS t0, sum(q * (a * y0 + s * y1)) AS t1, sum(q * (a * a * y0 + 2 * a * s * y1 + s * s * y2)) AS t2,
+    sum(q * yy) AS tt
+  FROM weighted GROUP BY season, x, y, k),
+solved AS (
+  SELECT *, m0 * (m2 * m4 - m3 * m3) - m1 * (m1 * m4 - m2 * m3) + m2 * (m1 * m3 - m2 * m2) AS det,
+    t0 * (m2 * m4 - m3 * m3) - m1 * (t1 * m4 - t2 * m3) + m2 * (t1 * m3 - t2 * m2) AS d0,
+    m0 * (t1 * m4 - t2 * m3) - t0 * (m1 * m4 - m2 * m3) + m2 * (m1 * t2 - m2 * t1) AS d1,
+    m0 * (m2 * t2 - m3 * t1) - m1 * (m1 * t2 - m2 * t1) + t0 * (m1 * m3 - m2 * m2) AS d2
+  FROM moved),
+curve AS (
+  SELECT season, x, y, k, x_at, bandwidth, n, d0 / det AS fit,
+    sqrt(greatest(tt - (d0 * t0 + d1 * t1 + d2 * t2) / det, 0) / m0) AS spread FROM solved)"""
+
+
+@query("smooth_trend", O.final(_SMOOTH_SQL, "curve", "season x y n", "x_at bandwidth fit spread", 6), 6)
+def _(spark, d):
+    xs = {x: (lo, hi) for x, lo, hi in _TREND}
+    moments = smooth.bin_moments(_scored(spark, d), xs, ("xba", "xslg"), bins=_SMOOTH["bins"], by=["season"])
+    return smooth.smooth_trend(moments, points=_SMOOTH["points"], span=_SMOOTH["span"], by=["season"])
+
+
 @query("binned_scatter", f"""WITH {O.SCORED}
 SELECT season, CASE WHEN exit_speed < 50 THEN 0 WHEN exit_speed >= 115 THEN 21
     ELSE CAST(floor(20 * ((exit_speed - 50) / 65.0)) AS BIGINT) + 1 END AS x_bin,
