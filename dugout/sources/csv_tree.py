@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from dugout import schema as S
 from dugout.functions.columns import snake_case
+from dugout.sources.quoted import block_states, quoted_records
 from dugout.sources.shared import materialize
 from dugout.sources.tables import NULL_TEXT, coerce, conform  # noqa: F401  (part of this module's interface)
 
@@ -53,10 +54,13 @@ def file_layouts(spark: SparkSession, root: str, *, skip_damaged: bool = False)
         .select("value", "_metadata.file_path", "_metadata.file_block_start")
         .withColumn("position", F.struct("file_block_start", F.monotonically_increasing_id()))
     )
-    read = lines.groupBy("file_path").agg(
+    return _with_sizes(spark, root, lines.groupBy("file_path").agg(
         F.rtrim(F.min_by("value", "position"), F.lit("\r")).alias("header"),
         F.sum(F.octet_length("value") + 1).alias("bytes"),
-    )
+    ))
+
+
+def _with_sizes(spark: SparkSession, root: str, read: DataFrame) -> DataFrame:
     # The listing alone: no content is read here.
     files = spark.read.format("binaryFile").options(**_TREE).load(root).select(
         F.col("_metadata.file_path").alias("file_path"), F.col("length"))
@@ -83,20 +87,34 @@ def _field_count(record: Column) -> Column:
     return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
 
 
-def _scan(spark: SparkSession, root: str, width: int, skip_damaged: bool, multi_line: bool) -> DataFrame:
+def _scan(spark: SparkSession, root: str, width: int, skip_damaged: bool) -> DataFrame:
     """All records of all files by position: values (array), record (null if there are exactly ``width``), file_path."""
     cells = [f"c{i}" for i in range(width)]
     positional = T.StructType([T.StructField(c, T.StringType()) for c in (*cells, _CORRUPT)])
     df = spark.read.schema(positional).options(
-        **_TREE, header=True, enforceSchema=True, nullValue=NULL_TEXT, mode="PERMISSIVE", multiLine=multi_line,
+        **_TREE, header=True, enforceSchema=True, nullValue=NULL_TEXT, mode="PERMISSIVE",
         columnNameOfCorruptRecord=_CORRUPT, columnPruning=False, ignoreCorruptFiles=skip_damaged,
     ).csv(root)
     # Always true; the reader refuses to return the record column alone, as a plain count would ask.
     return df.where(F.length(F.concat_ws("", "c0")) >= 0).select(
-        F.array(*cells).alias("values"), F.col(_CORRUPT).alias("record"), F.col("_metadata.file_path").alias("file_path")
+        F.array(*cells).alias("values"), F.col(_CORRUPT).alias("record"), F.col("_metadata.file_path").alias("file_path"),
+        F.lit(True).alias("closed"),
     )
 
 
+def _scan_quoted(spark: SparkSession, root: str, states: DataFrame, width: int, options: dict) -> DataFrame:
+    """The same as :func:`_scan` where quoted fields may hold line breaks; ``closed`` is false after a quote without end."""
+    cells = [f"c{i}" for i in range(width)]
+    positional = ", ".join(f"{c} string" for c in (*cells, _CORRUPT))
+    parsed = F.from_csv("record", positional, {
+        "nullValue": NULL_TEXT, "escape": '"', "multiLine": True, "mode": "PERMISSIVE",
+        "columnNameOfCorruptRecord": _CORRUPT, "maxCharsPerColumn": -1})
+    records = quoted_records(spark, root, states, options).where("NOT header AND trim(record) != ''")
+    return records.select("file_path", "closed", F.col("record").alias("raw"), parsed.alias("parsed")).select(
+        F.array(*[F.col(f"parsed.{c}") for c in cells]).alias("values"),
+        F.when(F.col("closed"), F.col(f"parsed.{_CORRUPT}")).otherwise(F.col("raw")).alias("record"), "file_path", "closed")
+
+
 def read_csv_tree(
     spark: SparkSession, root: str, schema: T.StructType | None = None, *,
     skip_damaged: bool = False, multi_line: bool = False,
@@ -108,13 +126,21 @@ def read_csv_tree(
     other error is raised.
 
     ``skip_damaged``: a file that cannot be read to its end is left out whole and listed in the
-    quarantine; otherwise it raises. ``multi_line``: quoted fields may hold line breaks; a file is then
-    read by one task, not in splits.
+    quarantine; otherwise it raises. ``multi_line``: quoted fields may hold line breaks and doubled quotes.
+    Files are still read in splits (:mod:`dugout.sources.quoted`); what follows a quote that is never closed is
+    in the quarantine line by line.
     """
     report = "reason string, file_path string, record string"
     empty = lambda of: spark.createDataFrame([], of)
+    options = {**_TREE, "ignoreCorruptFiles": skip_damaged}
     try:
-        layouts = file_layouts(spark, root, skip_damaged=skip_damaged)
+        if multi_line:
+            states = materialize(block_states(spark, root, options), "block_states")
+            layouts = _with_sizes(spark, root, states.groupBy("file_path").agg(
+                F.rtrim(F.max(F.when(F.col("block") == 0, F.col("header"))), F.lit("\r")).alias("header"),
+                F.sum("bytes").alias("bytes")))
+        else:
+            layouts = file_layouts(spark, root, skip_damaged=skip_damaged)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -129,15 +155,17 @@ def read_csv_tree(
     schema = schema or infer_schema(spark, first)
     wanted = F.array(*[F.lit(f.name) for f in schema.fields])
     known = sound.withColumn("known", F.arrays_overlap("names", wanted))
-    records = _scan(spark, root, max(1, width), skip_damaged, multi_line).join(known, "file_path")
+    width = max(1, width)
+    scanned = _scan_quoted(spark, root, states, width, options) if multi_line else _scan(spark, root, width, skip_damaged)
+    records = scanned.join(known, "file_path")
     fields = F.when(F.col("record").isNull(), F.lit(width)).otherwise(_field_count(F.col("record")))
-    fits = fields == F.size("names")
+    fits = F.col("closed") & (fields == F.size("names"))
     cell = lambda name: F.get(F.col("values"), F.array_position("names", F.lit(name)).cast("int") - 1)
     rows = records.where(F.col("known") & fits).select(
         *[coerce(cell(f.name), f.dataType).alias(f.name) for f in schema.fields]
     )
     text = F.coalesce("record", F.array_join("values", ",", NULL_TEXT))
-    reason = F.when(~F.col("known"), "unknown layout").otherwise("ragged row")
+    reason = F.when(~F.col("known"), "unknown layout").when(~F.col("closed"), "unclosed quote").otherwise("ragged row")
     rejected = records.where(~F.col("known") | ~fits).select(
         reason.alias("reason"), "file_path", text.alias("record"))
     headers = known.where("NOT known").select(

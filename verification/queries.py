@@ -137,6 +137,27 @@ def _(spark, d):
     return found.groupBy("reason").agg(F.count("*").alias("n"))
 
 
+_DOCUMENT_SCHEMA = T.StructType([
+    T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType())])
+
+
+@query("ingest_multiline", """
+SELECT doc_id, nullif(text, '') AS text, lang FROM documents
+UNION ALL SELECT o_orderkey, o_comment, o_orderpriority FROM (
+  SELECT o_orderkey, 'said "' || o_orderstatus || '",' || chr(10) || chr(10) || 'then ' || o_orderdate AS o_comment,
+    o_orderpriority FROM orders WHERE o_orderkey % 3 = 0)""")
+def _(spark, d):
+    root = new_path(spark, "quoted")
+    options = {"header": True, "escape": '"', "nullValue": tables.NULL_TEXT, "ignoreLeadingWhiteSpace": False,
+               "ignoreTrailingWhiteSpace": False}
+    X.table(spark, d, "documents").select("doc_id", "text", "lang").write.options(**options).csv(f"{root}/a")
+    orders = X.table(spark, d, "orders").where(F.col("o_orderkey") % 3 == 0).select(
+        F.col("o_orderpriority").alias("lang"), F.col("o_orderkey").alias("doc_id"),
+        F.concat(F.lit('said "'), "o_orderstatus", F.lit('",\n\nthen '), F.col("o_orderdate").cast("string")).alias("text"))
+    orders.write.options(**options).csv(f"{root}/b")  # another order of columns
+    return csv_tree.read_csv_tree(spark, root, _DOCUMENT_SCHEMA, multi_line=True).rows
+
+
 @query("union_sources", """
 SELECT o_orderkey, o_totalprice, CAST(NULL AS VARCHAR) AS o_orderpriority FROM orders WHERE o_orderkey % 2 = 0
 UNION ALL SELECT o_orderkey, CAST(NULL AS DOUBLE), o_orderpriority FROM orders WHERE o_orderkey % 2 <> 0""")
