@@ -1,6 +1,6 @@
 """Season folders of tracking CSVs whose files may disagree on columns and types.
 
-The first file sets the schema. Every other file is matched to it by column name:
+The first file sets the schema, or all files together do (``types="all"``). Every file is matched to it by column name:
 missing columns become null, unknown ones are dropped, values that do not parse become
 null. What cannot be used goes to the quarantine and is not in the rows: files that share
 no column with the schema, records with too few or too many fields, and damaged files.
@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from dugout import schema as S
 from dugout.functions.columns import snake_case
+from dugout.sources.lattice import agreed_schema, column_kinds
 from dugout.sources.quoted import block_states, quoted_records
 from dugout.sources.shared import materialize
 from dugout.sources.tables import NULL_TEXT, coerce, conform  # noqa: F401  (part of this module's interface)
@@ -87,6 +88,12 @@ def _field_count(record: Column) -> Column:
     return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
 
 
+def _whole_record(width: int) -> Column:
+    """Has a record as many fields as its header has names?"""
+    fields = F.when(F.col("record").isNull(), F.lit(width)).otherwise(_field_count(F.col("record")))
+    return F.col("closed") & (fields == F.size("names"))
+
+
 def _scan(spark: SparkSession, root: str, width: int, skip_damaged: bool) -> DataFrame:
     """All records of all files by position: values (array), record (null if there are exactly ``width``), file_path."""
     cells = [f"c{i}" for i in range(width)]
@@ -116,10 +123,10 @@ def _scan_quoted(spark: SparkSession, root: str, states: DataFrame, width: int,
 
 
 def read_csv_tree(
-    spark: SparkSession, root: str, schema: T.StructType | None = None, *,
-    skip_damaged: bool = False, multi_line: bool = False,
+    spark: SparkSession, root: str | list[str], schema: T.StructType | None = None, *,
+    skip_damaged: bool = False, multi_line: bool = False, types: str = "first",
 ) -> CsvTree:
-    """Read all CSV files below ``root`` into one schema with a single scan for all layouts.
+    """Read all CSV files below ``root`` (or the files listed) into one schema with a single scan for all layouts.
 
     Files are joined by path to the small table of their headers, and columns are picked by position;
     the driver sees one number, the widest header. Only a missing folder gives an empty table, every
@@ -128,7 +135,9 @@ def read_csv_tree(
     ``skip_damaged``: a file that cannot be read to its end is left out whole and listed in the
     quarantine; otherwise it raises. ``multi_line``: quoted fields may hold line breaks and doubled quotes.
     Files are still read in splits (:mod:`dugout.sources.quoted`); what follows a quote that is never closed is
-    in the quarantine line by line.
+    in the quarantine line by line. ``types``: without a ``schema``, "first" infers it from the first file, "all"
+    takes every column of every file with the smallest type that holds all its values, for one more pass; files that
+    share no column with the layout most files have are unknown.
     """
     report = "reason string, file_path string, record string"
     empty = lambda of: spark.createDataFrame([], of)
@@ -152,14 +161,18 @@ def read_csv_tree(
     if first is None:
         return CsvTree(empty(schema or S.SEASON_SCHEMA), damaged)
 
+    width = max(1, width)
+    scanned = _scan_quoted(spark, root, states, width, options) if multi_line else _scan(spark, root, width, skip_damaged)
+    if schema is None and types == "all":
+        main = sound.groupBy("names").agg(F.count("*").alias("n"), F.min("file_path").alias("path")).orderBy(
+            F.desc("n"), "path").first()["names"]
+        akin = sound.where(F.arrays_overlap("names", F.array(*[F.lit(n) for n in main]))).select("file_path", "names")
+        schema = agreed_schema(column_kinds(scanned.join(akin, "file_path").where(_whole_record(width))))
     schema = schema or infer_schema(spark, first)
     wanted = F.array(*[F.lit(f.name) for f in schema.fields])
     known = sound.withColumn("known", F.arrays_overlap("names", wanted))
-    width = max(1, width)
-    scanned = _scan_quoted(spark, root, states, width, options) if multi_line else _scan(spark, root, width, skip_damaged)
     records = scanned.join(known, "file_path")
-    fields = F.when(F.col("record").isNull(), F.lit(width)).otherwise(_field_count(F.col("record")))
-    fits = F.col("closed") & (fields == F.size("names"))
+    fits = _whole_record(width)
     cell = lambda name: F.get(F.col("values"), F.array_position("names", F.lit(name)).cast("int") - 1)
     rows = records.where(F.col("known") & fits).select(
         *[coerce(cell(f.name), f.dataType).alias(f.name) for f in schema.fields]

@@ -137,6 +137,33 @@ def _(spark, d):
     return found.groupBy("reason").agg(F.count("*").alias("n"))
 
 
+@query("schema_lattice", f"""WITH {O.LOG}, kept AS (SELECT *, pitch_id % 3 = 1 AS drifted FROM log WHERE pitch_id % 3 <> 1 OR pitch_id % 7 <> 0),
+cells AS (
+  SELECT 'pitch_id' AS name, CAST(pitch_id AS VARCHAR) AS v FROM kept
+  UNION ALL SELECT 'batter', batter FROM kept
+  UNION ALL SELECT 'play_result', play_result FROM kept
+  UNION ALL SELECT 'pitcher', pitcher FROM kept WHERE drifted
+  UNION ALL SELECT 'angle', CAST(angle AS VARCHAR) FROM kept WHERE NOT drifted
+  UNION ALL SELECT 'date', CASE WHEN drifted AND pitch_id % 8 = 0 THEN 'soon' ELSE CAST(date AS VARCHAR) END FROM kept
+  UNION ALL SELECT 'outs', CAST(outs AS VARCHAR) || CASE WHEN drifted THEN '.0' ELSE '' END FROM kept
+  UNION ALL SELECT 'exit_speed', CASE WHEN drifted AND pitch_id % 5 = 0 THEN 'n/a' ELSE CAST(exit_speed AS VARCHAR) END FROM kept),
+kinds AS (
+  SELECT name, CASE
+    WHEN regexp_full_match(v, '[+-]?(0|[1-9][0-9]*)') THEN CASE WHEN TRY_CAST(v AS INT) IS NOT NULL THEN 1 ELSE 2 END
+    WHEN regexp_full_match(v, '[+-]?((0|[1-9][0-9]*)([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?') THEN 4
+    WHEN regexp_full_match(v, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN 16 ELSE 32 END AS kind
+  FROM cells WHERE v IS NOT NULL)
+SELECT name, CASE bit_or(kind) WHEN 1 THEN 'int' WHEN 2 THEN 'bigint' WHEN 3 THEN 'bigint' WHEN 16 THEN 'date'
+    ELSE CASE WHEN bit_or(kind) < 8 THEN 'double' ELSE 'string' END END AS type, count(*) AS filled
+FROM kinds GROUP BY name""")
+def _(spark, d):
+    rows = csv_tree.read_csv_tree(spark, _write_tree(spark, d), types="all").rows
+    filled = rows.agg(*[F.count(f.name).alias(f.name) for f in rows.schema.fields])
+    return filled.select(F.inline(F.array(*[
+        F.struct(F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("type"), F.col(f.name).alias("filled"))
+        for f in rows.schema.fields])))
+
+
 _DOCUMENT_SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType())])
 
