@@ -88,3 +88,8 @@ def minute_chunk(ts: str, minutes: int = 60) -> Column:
     c = F.col(ts)
     total = F.unix_date(F.to_date(c)).cast("long") * 1440 + F.hour(c) * 60 + F.minute(c)
     return F.floor(total / F.lit(minutes)).cast("long")
+
+
+def quoted_column(name: str) -> Column:
+    """Column by its exact name, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")

@@ -124,7 +124,7 @@ def _scan_quoted(spark: SparkSession, root: str, states: DataFrame, width: int,
 
 def read_csv_tree(
     spark: SparkSession, root: str | list[str], schema: T.StructType | None = None, *,
-    skip_damaged: bool = False, multi_line: bool = False, types: str = "first",
+    skip_damaged: bool = False, multi_line: bool = False, types: str = "first", with_path: bool = False,
 ) -> CsvTree:
     """Read all CSV files below ``root`` (or the files listed) into one schema with a single scan for all layouts.
 
@@ -137,9 +137,11 @@ def read_csv_tree(
     Files are still read in splits (:mod:`dugout.sources.quoted`); what follows a quote that is never closed is
     in the quarantine line by line. ``types``: without a ``schema``, "first" infers it from the first file, "all"
     takes every column of every file with the smallest type that holds all its values, for one more pass; files that
-    share no column with the layout most files have are unknown.
+    share no column with the layout most files have are unknown. ``with_path`` adds the column ``file_path``.
     """
     report = "reason string, file_path string, record string"
+    path = [T.StructField("file_path", T.StringType())] if with_path else []
+    nothing = lambda: spark.createDataFrame([], T.StructType([*(schema or S.SEASON_SCHEMA).fields, *path]))
     empty = lambda of: spark.createDataFrame([], of)
     options = {**_TREE, "ignoreCorruptFiles": skip_damaged}
     try:
@@ -153,13 +155,13 @@ def read_csv_tree(
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return CsvTree(empty(schema or S.SEASON_SCHEMA), empty(report))
+        return CsvTree(nothing(), empty(report))
     sound = layouts.where("NOT damaged")
     damaged = layouts.where("damaged").select(
         F.lit("damaged file").alias("reason"), "file_path", F.lit(None).cast("string").alias("record"))
     first, width = sound.agg(F.min("file_path"), F.max(F.size("names"))).first()
     if first is None:
-        return CsvTree(empty(schema or S.SEASON_SCHEMA), damaged)
+        return CsvTree(nothing(), damaged)
 
     width = max(1, width)
     scanned = _scan_quoted(spark, root, states, width, options) if multi_line else _scan(spark, root, width, skip_damaged)
@@ -175,7 +177,7 @@ def read_csv_tree(
     fits = _whole_record(width)
     cell = lambda name: F.get(F.col("values"), F.array_position("names", F.lit(name)).cast("int") - 1)
     rows = records.where(F.col("known") & fits).select(
-        *[coerce(cell(f.name), f.dataType).alias(f.name) for f in schema.fields]
+        *[coerce(cell(f.name), f.dataType).alias(f.name) for f in schema.fields], *[f.name for f in path]
     )
     text = F.coalesce("record", F.array_join("values", ",", NULL_TEXT))
     reason = F.when(~F.col("known"), "unknown layout").when(~F.col("closed"), "unclosed quote").otherwise("ragged row")

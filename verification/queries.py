@@ -14,7 +14,7 @@ from dugout.functions.scoring import add_class_probabilities, binary_probability
 from dugout.operators import batting, clean, evaluate, indexing, levels, model, ordered, quality, runvalue, smooth
 from dugout.plans import projection, season
 from dugout.session import side_by_side
-from dugout.sources import csv_tree, tables
+from dugout.sources import csv_tree, incremental, publish, tables
 from dugout.sources.shared import new_path
 from verification import fixture as X
 from verification import oracle as O
@@ -164,6 +164,46 @@ def _(spark, d):
         for f in rows.schema.fields])))
 
 
+def _deliver(log: DataFrame, root: str, name: str) -> None:
+    columns = INGEST_COLUMNS.split()
+    log.select(*columns).write.mode("overwrite").option("header", True).option("nullValue", tables.NULL_TEXT).csv(f"{root}/{name}")
+
+
+@query("ingest_deliveries", f"""WITH {O.LOG}
+SELECT season, pitch_id, date, batter, outs FROM log WHERE pitch_id % 4 <> 3 AND (season = {X.SEASONS[0]} OR pitch_id % 4 <> 1)""")
+def _(spark, d):
+    base, log = new_path(spark, "deliveries"), X.pitch_log(spark, d)
+    roots = {s: f"{base}/in/{s}" for s in X.SEASONS}
+    part = lambda s, k: log.where((F.col("season") == s) & (F.col("pitch_id") % 4 == k))
+    for s in X.SEASONS:  # every play is delivered by both teams
+        for team in ("home", "away"):
+            _deliver(part(s, 0), roots[s], f"{team}_0")
+            _deliver(part(s, 1), roots[s], f"{team}_1")
+            _deliver(part(s, 3).limit(100), roots[s], f"{team}_3")
+    incremental.ingest_deliveries(spark, roots, f"{base}/table", INGEST_SCHEMA)
+    late = X.SEASONS[1]
+    for s in X.SEASONS:  # files that changed: other plays under the name of a delivered folder
+        _deliver(part(s, 2), roots[s], "home_3")
+        _deliver(part(s, 2), roots[s], "away_3")
+    for team in ("home", "away"):  # files that are empty now hold no plays any more
+        _deliver(part(late, 1).limit(0), roots[late], f"{team}_1")
+    incremental.ingest_deliveries(spark, roots, f"{base}/table", INGEST_SCHEMA)
+    return incremental.read_seasons(spark, f"{base}/table").select("season", "pitch_id", "date", "batter", "outs")
+
+
+@query("published_results", f"""WITH {O.PLAYERS}
+SELECT 'players' AS name, count(*) AS n, CAST(sum(total_pa) AS BIGINT) AS pa FROM players
+UNION ALL SELECT 'weights', count(*), count(m3_weight) FROM weights""")
+def _(spark, d):
+    base, stats = new_path(spark, "results"), _statistics(spark, d)
+    publish.publish({"players": stats.players.limit(1), "weights": stats.weights}, base)
+    publish.publish({"players": stats.players}, base, format="csv")
+    assert all(publish.verify(spark, base).values())
+    size = lambda name, total: publish.read_published(spark, base, name).agg(
+        F.lit(name).alias("name"), F.count("*").alias("n"), total.cast("long").alias("pa"))
+    return size("players", F.sum("total_pa")).unionByName(size("weights", F.count("m3_weight")))
+
+
 _DOCUMENT_SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType())])
 
