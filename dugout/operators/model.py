@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from dugout.functions.scoring import LinearModel, add_class_probabilities, logistic
 from dugout.operators.clean import hit_indicators
 from dugout.operators.evaluate import binary_loss, multiclass_logloss
-from dugout.operators.ordered import hash_rank
+from dugout.operators.ordered import digest_cut, hash_rank, shuffle_digest
 from dugout.session import side_by_side
 
 WEIGHT = "n_rows"
@@ -37,12 +37,20 @@ def kfold(df: DataFrame, ids: Sequence[str], *, k: int = 5, seed: int = 42, name
 def stratified_split(
     df: DataFrame, ids: Sequence[str], stratum: str, *, p: float = 0.8, seed: int = 425, flag: str = "is_train"
 ) -> DataFrame:
-    """Exact split: ``ceil(p * n)`` rows of every stratum go to training."""
-    ranked = hash_rank(df, ids=ids, seed=seed, by=[stratum], rank="__rank", size="__size")
+    """Exact split: ``ceil(p * n)`` rows of every stratum go to training.
+
+    The rows are not ranked: the digest at the cut is found from histograms, and the split is a filter on it, so no row
+    is shuffled or sorted. ``ids`` must identify a row.
+    """
     # Integer arithmetic keeps the ceiling exact: 0.8 * 5 must not become 4.0000001.
     parts = 1_000_000
-    share = F.lit(round(p * parts)) * F.col("__size")
-    return ranked.withColumn(flag, (F.col("__rank") - 1) * parts < share).drop("__rank", "__size")
+    share = F.lit(round(p * parts)) * F.col("n")
+    digest = shuffle_digest(ids, seed)
+    cuts = digest_cut(df, digest, F.ceil(share / parts).cast("long"), by=[stratum])
+    cuts = cuts.select(F.col(f"key.{stratum}").alias("__stratum"), F.col("cut").alias("__cut"))
+    # One row per stratum, written before: the planner sees its size and sends it to the rows.
+    joined = df.join(cuts, F.col(stratum).eqNullSafe(F.col("__stratum")), "left")
+    return joined.withColumn(flag, digest <= F.col("__cut")).drop("__stratum", "__cut")
 
 
 def compress(df: DataFrame, features: Sequence[str], *others: str) -> DataFrame:

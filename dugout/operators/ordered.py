@@ -116,9 +116,7 @@ def hash_rank(
     so neither a global sort nor one large group reaches a single task: with the default,
     a slice holds 1/65536 of its group.
     """
-    text = F.concat_ws("|", *[F.col(c).cast("string") for c in ids])
-    digest = F.md5(F.concat(text, F.lit(f":{seed}")))
-    rows = df.withColumns({"__key": key_of(*by), "__digest": digest})
+    rows = df.withColumns({"__key": key_of(*by), "__digest": shuffle_digest(ids, seed)})
     rows = rows.withColumn("__slice", F.substring("__digest", 1, slice_digits))
     pair = ["__key", "__slice"]
     along = W.partitionBy("__key").orderBy("__slice").rowsBetween(*_BEFORE)
@@ -137,6 +135,58 @@ def hash_rank(
     )
 
 
+def shuffle_digest(ids: Sequence[str], seed: int) -> Column:
+    """The digest that puts rows in a reproducible shuffled order."""
+    text = F.concat_ws("|", *[F.col(c).cast("string") for c in ids])
+    return F.md5(F.concat(text, F.lit(f":{seed}")))
+
+
+#: rows of one group that may be sorted to find the digest at a rank
+SORTED_ROWS = 10_000
+
+
+def digest_cut(
+    df: DataFrame, digest: Column, wanted: Column, *, by: Sequence[str] = (), digits: int = 4, sorted_rows: int = SORTED_ROWS
+) -> DataFrame:
+    """(key, cut): per group the digest at rank ``wanted``, so that ``digest <= cut`` takes that many rows.
+
+    Histograms of leading digits are refined where they hold the rank, until few rows are left to sort; only
+    histograms and those few rows are shuffled. ``wanted`` is an expression of the group size ``n``. A cut of
+    rank 0 is empty, one of rank ``n`` is above every digest. Equal digests stay on one side, the lower one.
+    """
+    rows = df.select(key_of(*by).alias("key"), digest.alias("digest"))
+    size, start, cuts = None, 0, []
+    while True:
+        part = F.substring("digest", start + 1, digits)
+        open_rows = rows if size is None else rows.join(size.select("key", "prefix"), "key").where(
+            F.col("digest").startswith(F.col("prefix")))
+        counts = open_rows.groupBy("key", part.alias("part")).agg(F.count("*").alias("held"))
+        along = W.partitionBy("key").orderBy("part").rowsBetween(*_BEFORE)
+        if size is None:
+            counts = counts.withColumn("n", F.sum("held").over(W.partitionBy("key"))).withColumn("rank", wanted.cast("long"))
+            counts = counts.withColumn("prefix", F.lit("")).withColumn("before", F.lit(0).cast("long"))
+        else:
+            counts = counts.join(size.drop("held"), "key")
+        slices = counts.withColumn("before", F.col("before") + F.coalesce(F.sum("held").over(along), F.lit(0)))
+        slices = materialize(slices.select("key", F.concat("prefix", "part").alias("prefix"), "rank", "before", "held").where(
+            ((F.col("before") < F.col("rank")) & (F.col("rank") <= F.col("before") + F.col("held")))
+            | ((F.col("rank") <= 0) & (F.col("before") == 0))), "slices")
+        # A slice that is needed whole is cut above all of its digests; rank 0 is cut below all digests.
+        whole = F.col("rank") == F.col("before") + F.col("held")
+        cuts.append(slices.where(whole | (F.col("rank") <= 0)).select(
+            "key", F.when(F.col("rank") <= 0, F.lit("")).otherwise(F.concat("prefix", F.lit("~"))).alias("cut")))
+        size, start = slices.where(~whole & (F.col("rank") > 0)), start + digits
+        most = size.agg(F.max("held")).first()[0]
+        if most is None or most <= sorted_rows or start >= 32:
+            break
+    last = rows.join(size, "key").where(F.col("digest").startswith(F.col("prefix"))).groupBy("key").agg(
+        F.element_at(F.sort_array(F.collect_list("digest")), F.any_value(F.col("rank") - F.col("before")).cast("int")).alias("cut")
+    ) if most is not None and start < 32 else size.select("key", F.col("prefix").alias("cut"))
+    for found in cuts:
+        last = last.unionByName(found)
+    return materialize(last, "cuts")
+
+
 # --- exact order statistics ---------------------------------------------------------
 
 

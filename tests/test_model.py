@@ -280,3 +280,27 @@ def test_every_horizon_set_has_a_moment_check():
     checks = {"Traditional": "horizon_moments", "HitQuality": "horizon_moments_quality",
               "Expected": "horizon_moments_expected"}
     assert set(checks) == set(model.HORIZON_SETS) and set(checks.values()) <= set(ORACLES)
+
+
+@pytest.mark.parametrize("digits,sorted_rows", [(4, 10_000), (1, 0), (1, 3), (2, 40), (32, 5)])
+def test_digest_cut_takes_the_first_rows_of_the_shuffled_order(spark, digits, sorted_rows):
+    from dugout.operators import ordered
+
+    df = spark.range(700).withColumn("y", F.when(F.col("id") % 50 == 0, None).when(F.col("id") < 3, "rare").otherwise("common"))
+    for share in (0.0, 0.31, 0.8, 1.0):
+        wanted = F.ceil(F.col("n") * share).cast("long")
+        cuts = ordered.digest_cut(df, ordered.shuffle_digest(["id"], 7), wanted, by=["y"], digits=digits, sorted_rows=sorted_rows)
+        found = {r["key"]["y"]: r["cut"] for r in cuts.collect()}
+        assert set(found) == {None, "rare", "common"}
+        ranked = ordered.hash_rank(df, ids=["id"], seed=7, by=["y"]).withColumn("digest", ordered.shuffle_digest(["id"], 7)).collect()
+        for r in ranked:
+            assert (r["digest"] <= found[r["y"]]) == (r["rank"] <= math.ceil(r["group_size"] * share))
+
+
+def test_split_moves_no_row(spark):
+    df = spark.range(5000).selectExpr("id", "id % 3 AS y", "id * 2 AS other")
+    split = model.stratified_split(df, ["id"], "y")
+    plan = split._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Sort" not in plan and "BroadcastHashJoin" in plan
+    assert split.columns == ["id", "y", "other", "is_train"] and split.where("is_train").count() == 3 * 1334 - 2 + 1
+    assert model.stratified_split(df.limit(0), ["id"], "y").count() == 0
