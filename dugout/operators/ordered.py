@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -146,7 +146,7 @@ SORTED_ROWS = 10_000
 
 
 def digest_cut(
-    df: DataFrame, digest: Column, wanted: Column, *, by: Sequence[str] = (), digits: int = 4, sorted_rows: int = SORTED_ROWS
+    df: DataFrame, digest: Column, wanted: Column, *, by: Sequence[str] = (), digits: int = 3, sorted_rows: int = SORTED_ROWS
 ) -> DataFrame:
     """(key, cut): per group the digest at rank ``wanted``, so that ``digest <= cut`` takes that many rows.
 
@@ -168,15 +168,18 @@ def digest_cut(
         else:
             counts = counts.join(size.drop("held"), "key")
         slices = counts.withColumn("before", F.col("before") + F.coalesce(F.sum("held").over(along), F.lit(0)))
-        slices = materialize(slices.select("key", F.concat("prefix", "part").alias("prefix"), "rank", "before", "held").where(
+        seen = Observation()
+        slices = slices.select("key", F.concat("prefix", "part").alias("prefix"), "rank", "before", "held").where(
             ((F.col("before") < F.col("rank")) & (F.col("rank") <= F.col("before") + F.col("held")))
-            | ((F.col("rank") <= 0) & (F.col("before") == 0))), "slices")
+            | ((F.col("rank") <= 0) & (F.col("before") == 0)))
         # A slice that is needed whole is cut above all of its digests; rank 0 is cut below all digests.
         whole = F.col("rank") == F.col("before") + F.col("held")
+        left = F.max(F.when(~whole & (F.col("rank") > 0), F.col("held"))).alias("most")
+        slices = materialize(slices.observe(seen, left), "slices")
         cuts.append(slices.where(whole | (F.col("rank") <= 0)).select(
             "key", F.when(F.col("rank") <= 0, F.lit("")).otherwise(F.concat("prefix", F.lit("~"))).alias("cut")))
         size, start = slices.where(~whole & (F.col("rank") > 0)), start + digits
-        most = size.agg(F.max("held")).first()[0]
+        most = seen.get["most"]
         if most is None or most <= sorted_rows or start >= 32:
             break
     last = rows.join(size, "key").where(F.col("digest").startswith(F.col("prefix"))).groupBy("key").agg(

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from dugout import schema as S
 from dugout.functions import columns as C
 from dugout.functions.scoring import add_class_probabilities, binary_probability
-from dugout.operators import batting, clean, evaluate, indexing, levels, model, ordered, quality, runvalue, smooth
+from dugout.operators import batting, clean, evaluate, indexing, levels, model, ordered, quality, radix, runvalue, smooth
 from dugout.plans import projection, season
 from dugout.session import side_by_side
 from dugout.sources import csv_tree, incremental, publish, tables
@@ -673,6 +673,32 @@ def _(spark, d):
     )
 
 
+_MEASURES = ("l_quantity", "l_extendedprice", "l_discount")
+
+
+@query("measure_quantiles", O.final(
+    "q AS (" + " UNION ALL ".join(f"""SELECT l_returnflag, '{c}' AS measure, quantile_cont({c}, 0.05) AS low,
+      quantile_cont({c}, 0.5) AS median, quantile_cont({c}, 0.95) AS high FROM lineitem GROUP BY l_returnflag"""
+                              for c in _MEASURES) + ")", "q", "l_returnflag measure", "low median high", 6), 6)
+def _(spark, d):
+    return radix.quantiles(X.table(spark, d, "lineitem"), _MEASURES, by=["l_returnflag"], probs=[0.05, 0.5, 0.95],
+                           names=["low", "median", "high"])
+
+
+@query("price_box", O.final(f"""h AS (
+  SELECT l_returnflag, quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.5) AS median,
+    quantile_cont(l_extendedprice, 0.75) AS q3 FROM lineitem GROUP BY l_returnflag),
+boxes AS (
+  SELECT l.l_returnflag, count(*) AS n, h.q1, h.median, h.q3,
+    min(l_extendedprice) FILTER (WHERE l_extendedprice >= q1 - 1.5 * (q3 - q1)) AS whisker_low,
+    max(l_extendedprice) FILTER (WHERE l_extendedprice <= q3 + 1.5 * (q3 - q1)) AS whisker_high,
+    count(*) FILTER (WHERE l_extendedprice < q1 - 1.5 * (q3 - q1) OR l_extendedprice > q3 + 1.5 * (q3 - q1)) AS outliers
+  FROM lineitem l JOIN h USING (l_returnflag) GROUP BY l.l_returnflag, h.q1, h.median, h.q3)""",
+    "boxes", "l_returnflag n outliers", "whisker_low q1 median q3 whisker_high", 6), 6)
+def _(spark, d):
+    return radix.box_summary(X.table(spark, d, "lineitem"), "l_extendedprice", by=["l_returnflag"])
+
+
 @query("box_summary", O.final("""h AS (
   SELECT o_orderpriority, quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.5) AS median,
     quantile_cont(o_totalprice, 0.75) AS q3 FROM orders GROUP BY o_orderpriority),
