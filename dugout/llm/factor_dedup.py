@@ -3,10 +3,12 @@
 A byte is covered by a repeat if it lies in a string of ``length`` bytes that also starts
 elsewhere. Strings that may recur are found by the sieve of :mod:`dugout.llm.anchors` and meet
 in shards, as short segments of text. A shard sorts the suffixes of its distinct segments, laid
-out in corpus order. For a suffix, the nearest suffixes before and after it in sorted order that
-start earlier in the text hold its longest previous factor; the position repeats an earlier one
-exactly if that factor has ``length`` bytes. The mirrored arrays, with later positions, find the
-strings that are repeated further on.
+out in corpus order, and measures what neighbours have in common. For a suffix, the nearest suffixes
+before and after it in sorted order that start earlier in the text hold its longest previous factor;
+its length is the smallest common prefix on the way there. A segment that occurs several times stands in
+the text once: its other places have the rest of the segment as a factor, which enters the array as a
+length. A byte string is removed exactly where the array says that the factor has ``length`` bytes. The
+mirrored array, with later positions, finds the strings that are repeated further on.
 
 ``keep="first"`` removes later copies and keeps the first one, in order of (id, position);
 ``keep="none"`` removes every copy. Matches never cross documents.
@@ -51,12 +53,11 @@ def _first_rank(text: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def suffix_order(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Suffixes sorted by ``length`` bytes or more, and ranks by a known power-of-two width.
+def suffix_order(text: np.ndarray, length: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Suffixes sorted by ``length`` bytes or more, and (width, ranks) for widths that double up to it.
 
-    Ranks double their width in each round, and only suffixes that still tie are sorted again.
-    The returned ranks are equal exactly where the first ``width`` bytes are equal, and
-    ``width <= length < 2 * width``.
+    Ranks of a width are equal exactly where the first ``width`` bytes are equal; only suffixes that still tie
+    are sorted again in a round.
     """
     n = len(text)
     width = 8
@@ -69,10 +70,8 @@ def suffix_order(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray,
     starts = np.flatnonzero(new)
     rank = np.empty(n, np.int64)
     rank[order] = np.repeat(starts, np.diff(np.append(starts, n)))
-    snapshot, known = rank.copy(), width
+    levels = [(width, rank.astype(np.int32))]
     while width < length:
-        if width * 2 > length:
-            snapshot, known = rank.copy(), width
         ranks = rank[order]
         tied = np.ones(n, bool)
         tied[1:] = ranks[1:] != ranks[:-1]
@@ -92,47 +91,70 @@ def suffix_order(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray,
         starts = np.flatnonzero(new)
         rank[suffix] = np.repeat(at[starts], np.diff(np.append(starts, len(at))))
         width *= 2
-    else:
-        return order, snapshot, known
-    return order, rank, width  # all suffixes differ within ``width`` bytes
+        if width <= length:
+            levels.append((width, rank.astype(np.int32)))
+    return order, levels
 
 
-def _nearest_smaller(values: np.ndarray, run: np.ndarray) -> np.ndarray:
-    """Index of the nearest smaller value to the left in the same run, -1 if there is none."""
-    n = len(values)
-    previous = np.arange(-1, n - 1)
-    previous[run != np.append(-1, run[:-1])] = -1
+def common_prefixes(text: np.ndarray, order: np.ndarray, levels: list, length: int) -> np.ndarray:
+    """Bytes that each suffix shares with the one before it in sorted order, at most ``length``; the first has 0."""
+    n = len(text)
+    a, b = order[:-1].astype(np.int64), order[1:].astype(np.int64)
+    shared = np.zeros(n - 1, np.int64)
+    for width, rank in reversed(levels):
+        ends = np.maximum(a, b) + shared + width
+        equal = rank[np.minimum(a + shared, n - 1)] == rank[np.minimum(b + shared, n - 1)]
+        shared += width * (equal & (ends <= n))
+    # Less than the smallest width is left.
+    open_ = np.arange(n - 1)
+    for _ in range(levels[0][0] - 1):
+        x, y = a[open_] + shared[open_], b[open_] + shared[open_]
+        fits = np.maximum(x, y) < n
+        open_, x, y = open_[fits], x[fits], y[fits]
+        open_ = open_[text[x] == text[y]]
+        shared[open_] += 1
+    return np.append(0, np.minimum(shared, length))
+
+
+def _to_nearest_smaller(values: np.ndarray, link: np.ndarray) -> np.ndarray:
+    """Smallest link on the way to the nearest smaller value on the left; 0 if a link of 0 lies before it.
+
+    ``link[i]`` joins i - 1 and i. Pointers jump over values that are not smaller, and minima go with them.
+    """
+    previous = np.where(link > 0, np.arange(-1, len(values) - 1), -1)
+    least = np.where(previous >= 0, link, 0)
     while True:
         wrong = np.flatnonzero((previous >= 0) & (values[previous] >= values))
         if not len(wrong):
-            return previous
-        previous[wrong] = previous[previous[wrong]]
+            return least
+        via = previous[wrong]
+        least[wrong] = np.minimum(least[wrong], least[via])
+        previous[wrong] = previous[via]
 
 
-def repeats(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every position whether its first ``length`` bytes also start earlier, and later."""
+def factor_lengths(text: np.ndarray, length: int, again: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Longest factors at every position that also start earlier, later, and earlier than the position's other places.
+
+    Lengths are exact from half of ``length`` on and end at ``length``; shorter factors are 0. ``again`` holds for each
+    position of a segment that occurs several times the bytes up to the segment's end, else 0: that is what its places
+    have in common.
+    """
     n = len(text)
-    earlier, later = np.zeros(n, bool), np.zeros(n, bool)
-    if n < 2:
-        return earlier, later
-    order, rank, width = suffix_order(text, length)
-    a, b = order[:-1], order[1:]
-    tail = length - width
-    inside = (a + length <= n) & (b + length <= n)
-    last = n - 1
-    same = inside & (rank[a] == rank[b]) & (rank[np.minimum(a + tail, last)] == rank[np.minimum(b + tail, last)])
-    # Runs of neighbours that share ``length`` bytes; a factor outside the run is shorter.
-    run = np.cumsum(np.append(True, ~same))
-    size = np.bincount(run)
-    at = np.flatnonzero(size[run] > 1)
-    if not len(at):
-        return earlier, later
-    place, run = order[at], run[at]
-    for flag, value in ((earlier, place), (later, -place)):
-        before = _nearest_smaller(value, run) >= 0
-        behind = _nearest_smaller(value[::-1], run[::-1])[::-1] >= 0
-        flag[place[before | behind]] = True
-    return earlier, later
+    again = np.zeros(n, np.int64) if again is None else np.minimum(again, length)
+    earlier, later = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    if n > 1:
+        order, levels = suffix_order(text, length)
+        link = common_prefixes(text, order, levels, length)
+        link[link < max(1, length // 2)] = 0
+        # Suffixes without a link on either side have no factor of this length.
+        at = np.flatnonzero((link > 0) | (np.append(link[1:], 0) > 0))
+        place, link = order[at].astype(np.int64), link[at]
+        back = np.append(0, link[:0:-1]) if len(at) else link
+        for out, value in ((earlier, place), (later, -place)):
+            before = _to_nearest_smaller(value, link)
+            behind = _to_nearest_smaller(value[::-1], back)[::-1]
+            out[place] = np.maximum(before, behind)
+    return earlier, np.maximum(later, again), np.maximum(earlier, again)
 
 
 # --- the distributed steps ------------------------------------------------------------------
@@ -211,33 +233,37 @@ def _mark(sieve: A.Sieve, keep: str):
                 rows.append((bucket, (d, p), s))
         del index
         flags: list = [None] * len(texts)
+        others: list = [None] * len(texts)  # of a segment's places after the first
         sizes = [len(t) for t in texts]
         for batch in _batches(sorted(range(len(texts)), key=routes.__getitem__), routes, sizes):
             batch.sort(key=first.__getitem__)  # corpus order: an earlier place in the text is an earlier copy
             joined = b"".join(texts[s] + bytes([_SEPARATOR]) for s in batch)
-            earlier, later = repeats(np.frombuffer(joined, np.uint8), length)
+            again = np.concatenate([
+                np.append(np.arange(sizes[s], 0, -1), 0) if places[s] > 1 else np.zeros(sizes[s] + 1, np.int64) for s in batch])
+            earlier, later, repeated = factor_lengths(np.frombuffer(joined, np.uint8), length, again)
             at = 0
             for s in batch:
                 windows = slice(at, at + sizes[s] - length + 1)
-                if keep == "first":
-                    flags[s] = earlier[windows].copy()
+                flags[s] = earlier[windows] >= length
+                if keep == "none":
+                    flags[s] |= later[windows] >= length
                 else:
-                    flags[s] = earlier[windows] | later[windows] | (places[s] > 1)
+                    others[s] = repeated[windows] >= length
                 at += sizes[s] + 1
         out: dict[int, list] = {}
         for bucket, place, s in rows:
-            gone = flags[s]
-            if keep == "first" and place != first[s]:
-                gone = np.ones(len(gone), bool)
-            if gone.any():
-                out.setdefault(bucket, []).append((xxhash.xxh3_128_digest(texts[s]), gone))
+            marks = [flags[s]] if keep == "none" else [flags[s] if place == first[s] else others[s], others[s]]
+            if any(m.any() for m in marks):
+                out.setdefault(bucket, []).append((xxhash.xxh3_128_digest(texts[s]), marks))
         found = []
-        for bucket, marks in out.items():
-            bits = np.zeros((len(marks), -(-(length - sieve.gram + 1) // 8)), np.uint8)
-            for i, (_, gone) in enumerate(marks):
-                packed = np.packbits(gone)
-                bits[i, :len(packed)] = packed
-            digests = np.frombuffer(b"".join(d for d, _ in marks), np.uint8).reshape(-1, 16)
+        for bucket, rows in out.items():
+            width = -(-(length - sieve.gram + 1) // 8)
+            bits = np.zeros((len(rows), width * len(rows[0][1])), np.uint8)
+            for i, (_, marks) in enumerate(rows):
+                for k, mark in enumerate(marks):
+                    packed = np.packbits(mark)
+                    bits[i, k * width:k * width + len(packed)] = packed
+            digests = np.frombuffer(b"".join(d for d, _ in rows), np.uint8).reshape(-1, 16)
             found.append((bucket, 1, key[0].as_py(), A.pack(np.hstack([digests, bits]))))
         return table_of(arrow_schema(_FOUND), found)
 
@@ -248,28 +274,29 @@ def _removed_bytes(bucket: A.Bucket, found: pa.Table, keep: str) -> list[np.ndar
     """For each document of the bucket which of its bytes go."""
     kind = found.column("kind").to_numpy() if found.num_rows else np.zeros(0)
     anchors, marks = found.filter(pa.array(kind == 0)), found.filter(pa.array(kind == 1))
-    length, width = bucket.sieve.length, 16 + -(-(bucket.sieve.length - bucket.sieve.gram + 1) // 8)
+    length, part = bucket.sieve.length, -(-(bucket.sieve.length - bucket.sieve.gram + 1) // 8)
+    width = 16 + part * (1 if keep == "none" else 2)
     bits_of: dict[bytes, bytes] = {}
     for blob in marks.column("blob").to_pylist():
         for row in A.unpack(blob, f"V{width}")[0].tolist():
             bits_of[row[:16]] = row[16:]
     places = bucket.segments(*A.read_anchors(anchors))
-    ids, starts, copies = _first_places(places)
     edges = [np.zeros(n + 1, np.int32) for n in bucket.size]
-    whole = copies[places.code] > 1
-    if keep == "first":
-        whole &= (bucket.ids[places.doc] != ids[places.code]) | (places.start != starts[places.code])
+    other = np.zeros(len(places.code), bool)
+    if keep == "first":  # the bucket's first place of a segment, or one of the others
+        ids, starts, _ = _first_places(places)
+        other = (bucket.ids[places.doc] != ids[places.code]) | (places.start != starts[places.code])
     bits = [bits_of.get(d) for d in places.digests]
-    rows = zip(places.doc.tolist(), places.start.tolist(), places.count.tolist(), places.code.tolist(), whole.tolist())
-    for doc, start, count, code, all_of_it in rows:
-        if not all_of_it:
-            if bits[code] is None:
-                continue
-            gone = np.flatnonzero(np.unpackbits(np.frombuffer(bits[code], np.uint8))[:count])
-            if len(gone) < count:
-                edges[doc][start + gone] += 1
-                edges[doc][start + gone + length] -= 1
-                continue
+    rows = zip(places.doc.tolist(), places.start.tolist(), places.count.tolist(), places.code.tolist(), other.tolist())
+    for doc, start, count, code, later in rows:
+        if bits[code] is None:
+            continue
+        mine = bits[code][part:] if later else bits[code][:part]
+        gone = np.flatnonzero(np.unpackbits(np.frombuffer(mine, np.uint8))[:count])
+        if len(gone) < count:
+            edges[doc][start + gone] += 1
+            edges[doc][start + gone + length] -= 1
+            continue
         edges[doc][start] += 1
         edges[doc][start + count + length - 1] -= 1
     return [np.cumsum(e[:-1]) > 0 for e in edges]

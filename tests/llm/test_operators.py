@@ -201,21 +201,64 @@ def test_repeated_bytes_of_the_test_table(spark):
     assert rows_of(queries.op5_factor_dedup(spark, SF), *FACTOR) == ordered(brute.repeated_bytes(rows, 200))
 
 
-@pytest.mark.parametrize("length", [1, 2, 5, 8, 9, 13, 16, 30])
+@pytest.mark.parametrize("length", [1, 2, 5, 8, 9, 13, 16, 30, 31])
 def test_factors_of_random_text(length):
     import numpy as np
 
     rng = np.random.default_rng(length)
-    for size in (1, 2, 40, 300):
+    for size in (1, 2, 40, 120):
         text = rng.integers(97, 99, size).astype(np.uint8)
-        text = np.concatenate([text, text[: size // 2], text])
-        earlier, later = factor_dedup.repeats(text, length)
-        raw = text.tobytes()
+        text = np.concatenate([text, text[: size // 2], rng.integers(97, 100, 9).astype(np.uint8), text])
+        earlier, later, _ = factor_dedup.factor_lengths(text, length)
+        raw, least = text.tobytes(), max(1, length // 2)
         for i in range(len(raw)):
-            part = raw[i:i + length]
-            whole = len(part) == length
-            assert earlier[i] == (whole and raw.find(part) < i)
-            assert later[i] == (whole and raw.find(part, i + 1) >= 0)
+            for found, starts in ((earlier[i], range(i)), (later[i], range(i + 1, len(raw)))):
+                longest = max((_shared(raw, i, j, length) for j in starts), default=0)
+                assert found == (longest if longest >= least else 0)
+
+
+def _shared(raw, i, j, most):
+    n = 0
+    while n < most and max(i, j) + n < len(raw) and raw[i + n] == raw[j + n]:
+        n += 1
+    return n
+
+
+def test_places_of_a_segment_enter_the_array():
+    import numpy as np
+
+    text = np.frombuffer(b"abcdefgh\xffxyzxyzxy\xff", np.uint8)
+    again = np.append(np.arange(8, 0, -1), np.zeros(10, np.int64))
+    earlier, later, repeated = factor_dedup.factor_lengths(text, 4, again)
+    assert earlier[:8].tolist() == [0] * 8 and later[:8].tolist() == repeated[:8].tolist() == [4, 4, 4, 4, 4, 3, 2, 1]
+    assert earlier[9:17].tolist() == [0, 0, 0, 4, 4, 3, 2, 0] and later[9:17].tolist() == [4, 4, 3, 2, 0, 0, 0, 0]
+
+
+def _without_factors(keep_mark):
+    def mark(*args):
+        inner = keep_mark(*args)
+
+        def run(key, table):
+            import numpy as np
+
+            from dugout.llm import factor_dedup as module
+
+            real, module.factor_lengths = module.factor_lengths, lambda text, *_: (np.zeros(len(text), np.int64),) * 3
+            try:
+                return inner(key, table)
+            finally:  # workers are used again
+                module.factor_lengths = real
+
+        return run
+
+    return mark
+
+
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_nothing_goes_without_the_factor_arrays(make, odd_rows, monkeypatch, keep):
+    monkeypatch.setattr(factor_dedup, "_mark", _without_factors(factor_dedup._mark))
+    got = factor_dedup.repeated_bytes(make(odd_rows), length=40, keep=keep).collect()
+    assert sum(r["n_removed"] for r in got) == 0 and len(got) == len(odd_rows)
 
 
 # --- 7 language --------------------------------------------------------------------------------
