@@ -96,24 +96,32 @@ def suffix_order(text: np.ndarray, length: int) -> tuple[np.ndarray, list[tuple[
     return order, levels
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, levels: list, length: int) -> np.ndarray:
-    """Bytes that each suffix shares with the one before it in sorted order, at most ``length``; the first has 0."""
+def common_prefixes(text: np.ndarray, order: np.ndarray, levels: list, length: int, least: int) -> np.ndarray:
+    """Bytes that each suffix shares with the one before it in sorted order, from ``least`` to ``length``, else 0."""
     n = len(text)
-    a, b = order[:-1].astype(np.int64), order[1:].astype(np.int64)
-    shared = np.zeros(n - 1, np.int64)
+    link = np.zeros(n, np.int32)
+    enough = [rank for width, rank in levels if width <= least]
+    if enough:  # who differs in the first bytes shares less than ``least``
+        ranks = enough[-1][order]
+        at = np.flatnonzero(ranks[1:] == ranks[:-1]) + 1
+    else:
+        at = np.arange(1, n)
+    a, b = order[at - 1], order[at]
+    shared = np.zeros(len(at), np.int64)
     for width, rank in reversed(levels):
         ends = np.maximum(a, b) + shared + width
         equal = rank[np.minimum(a + shared, n - 1)] == rank[np.minimum(b + shared, n - 1)]
         shared += width * (equal & (ends <= n))
     # Less than the smallest width is left.
-    open_ = np.arange(n - 1)
+    open_ = np.flatnonzero(shared < length)
     for _ in range(levels[0][0] - 1):
         x, y = a[open_] + shared[open_], b[open_] + shared[open_]
         fits = np.maximum(x, y) < n
         open_, x, y = open_[fits], x[fits], y[fits]
         open_ = open_[text[x] == text[y]]
         shared[open_] += 1
-    return np.append(0, np.minimum(shared, length))
+    link[at] = np.where(shared >= least, np.minimum(shared, length), 0)
+    return link
 
 
 def _to_nearest_smaller(values: np.ndarray, link: np.ndarray) -> np.ndarray:
@@ -121,15 +129,17 @@ def _to_nearest_smaller(values: np.ndarray, link: np.ndarray) -> np.ndarray:
 
     ``link[i]`` joins i - 1 and i. Pointers jump over values that are not smaller, and minima go with them.
     """
-    previous = np.where(link > 0, np.arange(-1, len(values) - 1), -1)
+    previous = np.where(link > 0, np.arange(-1, len(values) - 1, dtype=np.int32), -1)
     least = np.where(previous >= 0, link, 0)
-    while True:
-        wrong = np.flatnonzero((previous >= 0) & (values[previous] >= values))
-        if not len(wrong):
-            return least
+    wrong = np.flatnonzero(previous >= 0)
+    while len(wrong):
         via = previous[wrong]
+        larger = values[via] >= values[wrong]
+        wrong, via = wrong[larger], via[larger]
         least[wrong] = np.minimum(least[wrong], least[via])
         previous[wrong] = previous[via]
+        wrong = wrong[previous[wrong] >= 0]
+    return least
 
 
 def factor_lengths(text: np.ndarray, length: int, again: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,11 +154,10 @@ def factor_lengths(text: np.ndarray, length: int, again: np.ndarray | None = Non
     earlier, later = np.zeros(n, np.int64), np.zeros(n, np.int64)
     if n > 1:
         order, levels = suffix_order(text, length)
-        link = common_prefixes(text, order, levels, length)
-        link[link < max(1, length // 2)] = 0
+        link = common_prefixes(text, order, levels, length, max(1, length // 2))
         # Suffixes without a link on either side have no factor of this length.
         at = np.flatnonzero((link > 0) | (np.append(link[1:], 0) > 0))
-        place, link = order[at].astype(np.int64), link[at]
+        place, link = order[at].astype(np.int32), link[at]
         back = np.append(0, link[:0:-1]) if len(at) else link
         for out, value in ((earlier, place), (later, -place)):
             before = _to_nearest_smaller(value, link)

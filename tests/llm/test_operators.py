@@ -234,29 +234,11 @@ def test_places_of_a_segment_enter_the_array():
     assert earlier[9:17].tolist() == [0, 0, 0, 4, 4, 3, 2, 0] and later[9:17].tolist() == [4, 4, 3, 2, 0, 0, 0, 0]
 
 
-def _without_factors(keep_mark):
-    def mark(*args):
-        inner = keep_mark(*args)
-
-        def run(key, table):
-            import numpy as np
-
-            from dugout.llm import factor_dedup as module
-
-            real, module.factor_lengths = module.factor_lengths, lambda text, *_: (np.zeros(len(text), np.int64),) * 3
-            try:
-                return inner(key, table)
-            finally:  # workers are used again
-                module.factor_lengths = real
-
-        return run
-
-    return mark
-
-
 @pytest.mark.parametrize("keep", ["none", "first"])
 def test_nothing_goes_without_the_factor_arrays(make, odd_rows, monkeypatch, keep):
-    monkeypatch.setattr(factor_dedup, "_mark", _without_factors(factor_dedup._mark))
+    import numpy as np
+
+    monkeypatch.setattr(factor_dedup, "factor_lengths", lambda text, *_: (np.zeros(len(text), np.int64),) * 3)
     got = factor_dedup.repeated_bytes(make(odd_rows), length=40, keep=keep).collect()
     assert sum(r["n_removed"] for r in got) == 0 and len(got) == len(odd_rows)
 
