@@ -10,7 +10,8 @@ Texts are cut before they are encoded where no piece can cross: between two char
 never stand next to each other inside a piece. The cuts change no token; they make the parts
 short and let a bounded cache serve repeated words.
 
-Defined results: a null text is encoded as the empty text, which has no tokens.
+Defined results: a null text is encoded as the empty text, which has no tokens. Texts are encoded whole, in memory that
+follows the longest single text. Rows that repeat are encoded each on its own, null ids stay null, other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 import string
+from sys import getsizeof
 
 import ahocorasick
 import sentencepiece
@@ -28,12 +30,14 @@ from dugout.llm.common import id_and_text, map_slices
 
 SPACE = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
-#: entries of the caches of a worker for encoded parts and for pairs; a full cache starts again empty
-CHUNK_ENTRIES, PAIR_ENTRIES = 250_000, 400_000
+#: bytes that a worker's cache of encoded parts holds, and entries of its cache of pairs; a full cache starts again empty
+CHUNK_BYTES, PAIR_ENTRIES = 96 << 20, 400_000
+#: longer parts hardly ever come again; they are encoded each time
+LONGEST_CACHED = 48
 
 
 class _Cache(dict):
-    """Computes missing values; bounded."""
+    """Computes missing values; bounded by its number of entries."""
 
     def __init__(self, compute, entries: int):
         super().__init__()
@@ -46,6 +50,26 @@ class _Cache(dict):
         return value
 
 
+class _TextCache(dict):
+    """Computes missing values of texts; bounded by the bytes of keys and values, long texts are not kept."""
+
+    def __init__(self, compute, limit: int, longest: int):
+        super().__init__()
+        self.compute, self.limit, self.longest, self.held = compute, limit, longest, 0
+
+    def __missing__(self, key):
+        value = self.compute(key)
+        if len(key) <= self.longest:
+            # The tuple, the slot in the table and the integers come to less than 300 bytes.
+            size = 300 + getsizeof(key) + sum(map(getsizeof, value))
+            if self.held + size > self.limit:
+                self.clear()
+                self.held = 0
+            self.held += size
+            self[key] = value
+        return value
+
+
 class PieceModel:
     """Pieces of a merge-type model with byte fallback, and its encoder and decoder."""
 
@@ -69,7 +93,7 @@ class PieceModel:
         self.special = {i for i, t in enumerate(self.types) if t != _NORMAL}
         self._build_tokens()
         self._build_cuts()
-        self.round_trip = _Cache(self._round_trip, CHUNK_ENTRIES)
+        self.round_trip = _TextCache(self._round_trip, CHUNK_BYTES, LONGEST_CACHED)
 
     # --- merging, the definition that everything else is checked against
 

@@ -123,6 +123,20 @@ def test_sentencepiece_caches_stay_bounded(monkeypatch):
     assert [cache[i] for i in range(10)] == [2 * i for i in range(10)] and len(cache) <= 3
 
 
+def test_long_parts_do_not_fill_the_memory():
+    import resource
+
+    cache = sentencepiece_bpe._TextCache(lambda k: (k * 2, k, len(k)), 4 << 20, 48)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    for i in range(100_000):
+        cache["\u65e5\u672c" * 500 + str(i)]  # all different, 1,000 signs each
+    assert len(cache) == 0 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 50_000  # KB
+    for i in range(100_000):
+        assert cache[f"w{i}"] == (f"w{i}" * 2, f"w{i}", len(f"w{i}"))
+        assert cache.held <= 4 << 20
+    assert 0 < len(cache) < 15_000
+
+
 # --- 3 packing ---------------------------------------------------------------------------
 
 
