@@ -13,10 +13,16 @@ _WRITTEN: dict[str, list[str]] = {}
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, or the checkpoint folder set on the context.
 
-    Without either, a folder below the warehouse, which all executors of a session share.
+    Without either, a folder below the warehouse. On a cluster that has to be one that all machines reach, and not a
+    folder of the driver's own.
     """
     found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    return (found or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints").rstrip("/")
+    if found:
+        return found.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if warehouse.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
+    return f"{warehouse}/checkpoints"
 
 
 def new_path(spark: SparkSession, label: str) -> str:

@@ -112,7 +112,8 @@ def test_shared_dir_follows_the_session(spark, tmp_path):
 class _Session:
     """The few parts of a session that decide on the shared folder."""
 
-    def __init__(self, setting, checkpoint, warehouse):
+    def __init__(self, setting, checkpoint, warehouse, master="spark://x"):
+        self.master = master
         self.conf = {"spark.checkpoint.dir": setting} if setting else {}
         self.conf["spark.sql.warehouse.dir"] = warehouse
         self.sparkContext = self
@@ -126,6 +127,10 @@ def test_shared_dir_rules():
     assert shared_dir(_Session("hdfs:/shared/", "file:/x", "hdfs:/house")) == "hdfs:/shared"
     assert shared_dir(_Session(None, "hdfs:/other", "hdfs:/house")) == "hdfs:/other"
     assert shared_dir(_Session(None, None, "hdfs:/house/")) == "hdfs:/house/checkpoints"
+    assert shared_dir(_Session(None, None, "file:/house", "local[4]")) == "file:/house/checkpoints"
+    for own in ("file:/house", "/house"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_dir(_Session(None, None, own))
 
 
 def _accounted(tree):

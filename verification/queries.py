@@ -14,7 +14,7 @@ from dugout.functions.scoring import add_class_probabilities, binary_probability
 from dugout.operators import batting, clean, evaluate, indexing, levels, model, ordered, quality, radix, runvalue, smooth
 from dugout.plans import projection, season
 from dugout.session import side_by_side
-from dugout.sources import csv_tree, incremental, publish, tables
+from dugout.sources import csv_tree, incremental, ledger, publish, tables
 from dugout.sources.shared import new_path
 from verification import fixture as X
 from verification import oracle as O
@@ -191,6 +191,25 @@ def _(spark, d):
     return incremental.read_seasons(spark, f"{base}/table").select("season", "pitch_id", "date", "batter", "outs")
 
 
+@query("pitch_id_ledger", f"""WITH {O.LOG}, first AS (
+  SELECT date, time, pitcher, batter, game_id, inning, top_bottom, min(CASE WHEN pitch_id % 3 = 0 THEN 1 WHEN pitch_id % 3 = 1 THEN 2 ELSE 3 END) AS d
+  FROM log GROUP BY ALL)
+SELECT d AS delivery, count(*) AS plays, count(*) AS ids, 1 + coalesce(sum(count(*)) OVER (
+    ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_id,
+  (sum(count(*)) OVER (ORDER BY d))::BIGINT AS last_id
+FROM first GROUP BY d""")
+def _(spark, d):
+    base, log = new_path(spark, "ledger"), X.pitch_log(spark, d)
+    key = ["date", "time", "pitcher", "batter", "game_id", "inning", "top_bottom"]
+    third = F.col("pitch_id") % 3
+    for late in (third == 0, third <= 1, third >= 0):  # every delivery repeats the earlier ones
+        ledger.extend_ledger(log.where(late), base, key)
+    plays = ledger.with_ledger_id(log.withColumn("delivery", (third + 1).cast("int")), base, key, "id")
+    known = plays.groupBy(*key).agg(F.min("delivery").alias("delivery"), F.min("id").alias("id"), F.count_distinct("id").alias("n"))
+    return known.groupBy("delivery").agg(
+        F.count("*").alias("plays"), F.sum("n").alias("ids"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+
 @query("published_results", f"""WITH {O.PLAYERS}
 SELECT 'players' AS name, count(*) AS n, CAST(sum(total_pa) AS BIGINT) AS pa FROM players
 UNION ALL SELECT 'weights', count(*), count(m3_weight) FROM weights""")
