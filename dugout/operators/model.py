@@ -138,14 +138,26 @@ def train_multinomial(
     try:
         sized = _sized(table)
         model = fit_multinomial(sized, features, label, labels, compressed=True, **options)
-        names = {x: f"p_{i}" for i, x in enumerate(model.labels)}
-        scored = add_class_probabilities(sized, model, names)
-        loss = multiclass_logloss(scored, label, names, weight=WEIGHT).first()["log_loss"]
+        loss = _model_loss(sized, model, label).first()["log_loss"]
     finally:
         table.unpersist()
     return model, float(loss)
 
 
+def _model_loss(table: DataFrame, model: LinearModel, label: str) -> DataFrame:
+    names = {x: f"p_{i}" for i, x in enumerate(model.labels)}
+    return multiclass_logloss(add_class_probabilities(table, model, names), label, names, weight=WEIGHT)
+
+
+def sweep_losses(rows: DataFrame, models: Mapping[str, LinearModel], label: str) -> DataFrame:
+    """(predictor_set, log_loss): the loss of every model on the rows that have all of its features."""
+    losses = [
+        _model_loss(compress(rows, model.features, label), model, label).select(F.lit(name).alias("predictor_set"), "log_loss")
+        for name, model in models.items()
+    ]
+    return reduce(DataFrame.unionByName, losses)
+
+
 def predictor_sweep(
     rows: DataFrame, predictor_sets: Mapping[str, Sequence[str]], label: str, labels: Sequence[str], **options
 ) -> tuple[dict[str, LinearModel], DataFrame]:
@@ -233,8 +245,39 @@ def cross_validated_logloss(
     """
     spark = balls.sparkSession
     tables = _fold_tables(balls, fold, feature_sets)
+    try:
+        sized = {name: _sized(table) for name, table in tables.items()}
+        fits = _fit_all_folds(spark, sized, k, fold, feature_sets, parallelism)
+        summary = _mean_losses(spark, sized, fits, fold, common_rows, feature_sets)
+        found = [tuple(r) for r in summary.collect()]  # one row per model set and outcome
+    finally:
+        for table in tables.values():
+            table.unpersist()
+    return spark.createDataFrame(found, "model_set string, outcome string, log_loss double")
+
+
+def score_folds(
+    balls: DataFrame, fits: Sequence[tuple], *, fold: str = "fold", common_rows: bool = True,
+    feature_sets: Mapping[str, Sequence[str]] = FEATURE_SETS,
+) -> DataFrame:
+    """(model_set, outcome, log_loss): the mean over folds of the held-out loss of fits as :func:`fit_folds` gives them."""
+    tables = _fold_tables(balls, fold, feature_sets)
+    try:
+        summary = _mean_losses(balls.sparkSession, tables, fits, fold, common_rows, feature_sets)
+        found = [tuple(r) for r in summary.collect()]  # one row per model set and outcome
+    finally:
+        for table in tables.values():
+            table.unpersist()
+    return balls.sparkSession.createDataFrame(found, "model_set string, outcome string, log_loss double")
+
+
+def _mean_losses(
+    spark, tables: Mapping[str, DataFrame], fits: Sequence[tuple], fold: str, common_rows: bool,
+    feature_sets: Mapping[str, Sequence[str]],
+) -> DataFrame:
+    """Each fold's rows are scored by the fit that did not see them; folds count alike."""
 
-    def held_out_losses(name: str, fits: list) -> DataFrame:
+    def held_out_losses(name: str) -> DataFrame:
         features = feature_sets[name]
         schema = f"{fold} int, outcome string, intercept double, " + ", ".join(f"b_{f} double" for f in features)
         # k x outcomes rows, known here: small enough to broadcast.
@@ -247,7 +290,7 @@ def cross_validated_logloss(
             hit = F.when(F.col("outcome") == y, F.col(y)).otherwise(hit)
         weight = F.col("n_complete" if common_rows else WEIGHT)
         return (
-            sized[name].join(models, fold)
+            tables[name].join(models, fold)
             .select(F.lit(name).alias("model_set"), "outcome", fold, weight.alias("__w"),
                     binary_loss(hit, logistic(z)).alias("__loss"))
             .where(F.col("__w") > 0)
@@ -255,16 +298,8 @@ def cross_validated_logloss(
             .agg((F.sum(F.col("__loss") * F.col("__w")) / F.sum("__w")).alias("log_loss"))
         )
 
-    try:
-        sized = {name: _sized(table) for name, table in tables.items()}
-        fits = _fit_all_folds(spark, sized, k, fold, feature_sets, parallelism)
-        per_fold = reduce(DataFrame.unionByName, [held_out_losses(name, fits) for name in feature_sets])
-        summary = per_fold.groupBy("model_set", "outcome").agg(F.avg("log_loss").alias("log_loss"))
-        found = [tuple(r) for r in summary.collect()]  # one row per model set and outcome
-    finally:
-        for table in tables.values():
-            table.unpersist()
-    return spark.createDataFrame(found, "model_set string, outcome string, log_loss double")
+    per_fold = reduce(DataFrame.unionByName, [held_out_losses(name) for name in feature_sets])
+    return per_fold.groupBy("model_set", "outcome").agg(F.avg("log_loss").alias("log_loss"))
 
 
 def level_column(year: int, level: str) -> str:

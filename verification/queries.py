@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from dugout import schema as S
 from dugout.functions import columns as C
-from dugout.functions.scoring import add_class_probabilities, binary_probability
+from dugout.functions.scoring import LinearModel, add_class_probabilities, binary_probability
 from dugout.operators import batting, clean, evaluate, indexing, levels, model, ordered, quality, radix, runvalue, smooth
 from dugout.plans import projection, season
 from dugout.session import side_by_side
@@ -1026,6 +1026,56 @@ def _(spark, d):
     return model.cross_validated_logloss(balls)
 
 
+def _pinned_fits() -> list[tuple]:
+    """Fits that do not depend on the data: another one for every fold, outcome and feature set."""
+    return [
+        (name, fold, y, b0 + 0.05 * fold, *(b1 + 0.001 * fold, b2, -0.002)[:len(features)])
+        for name, features in model.FEATURE_SETS.items() for y, (b0, b1, b2) in X.BINARY_WEIGHTS.items() for fold in range(1, 6)
+    ]
+
+
+_FIT_ROWS = ", ".join(
+    f"('{name}', {fold}, '{y}', {O.number(b0)}, {O.number(w[0])}, {O.number(w[1])}, {O.number(w[2] if len(w) > 2 else 0)})"
+    for name, fold, y, b0, *w in _pinned_fits())
+
+
+@query("cv_logloss_pinned", O.final(f"""{O.BALLS}, folded AS (
+  SELECT *, CAST((row_number() OVER (ORDER BY md5(CAST(pitch_id AS VARCHAR) || ':42'), pitch_id) - 1) % 5 + 1 AS INT) AS fold
+  FROM balls),
+fits(model_set, fold, target, b0, b1, b2, b3) AS (VALUES {_FIT_ROWS}),
+scored AS (
+  SELECT model_set, target AS outcome, fold, CASE target WHEN 'is_single' THEN is_single WHEN 'is_double' THEN is_double
+      WHEN 'is_triple' THEN is_triple ELSE is_home_run END AS hit,
+    least(greatest(1 / (1 + exp(-(b0 + b1 * exit_speed + b2 * angle + b3 * direction))), 1e-15), 1 - 1e-15) AS p
+  FROM folded JOIN fits USING (fold) WHERE direction IS NOT NULL),
+per_fold AS (
+  SELECT model_set, outcome, fold, avg(CASE WHEN hit = 1 THEN -ln(p) ELSE -ln(1 - p) END) AS loss
+  FROM scored GROUP BY model_set, outcome, fold),
+means AS (SELECT model_set, outcome, avg(loss) AS log_loss FROM per_fold GROUP BY model_set, outcome)""",
+    "means", "model_set outcome", "log_loss"))
+def _(spark, d):
+    """Cross-validated losses of given fits: everything of ``cv_logloss`` but the fits, which ``cv_fold_moments`` checks."""
+    balls = model.kfold(clean.batted_balls(X.plays(spark, d)), ["pitch_id"])
+    return model.score_folds(balls, _pinned_fits())
+
+
+_SWEEP = {
+    "all": X.FLAG_MODEL,
+    "quantity": LinearModel(("l_quantity",), X.FLAG_LABELS, (0.0, 0.5, -0.5), ((0.0,), (0.01,), (-0.02,))),
+    "rates": LinearModel(("l_discount", "l_tax"), X.FLAG_LABELS, (0.0, 0.1, 0.2), ((0.0, 0.0), (1.0, -1.0), (3.0, 2.0))),
+}
+
+
+@query("predictor_sweep_pinned", O.final(
+    "losses AS (" + " UNION ALL ".join(
+        f"""SELECT '{name}' AS predictor_set, avg(-ln(CASE l_returnflag WHEN 'A' THEN p_a WHEN 'N' THEN p_n ELSE p_r END)) AS log_loss
+  FROM ({O.softmax("lineitem", m, X.FLAG_NAMES)})""" for name, m in _SWEEP.items()) + ")",
+    "losses", "predictor_set", "log_loss"))
+def _(spark, d):
+    """Losses of given models: everything of ``predictor_sweep`` and ``multinomial_fit`` but the fits."""
+    return model.sweep_losses(X.table(spark, d, "lineitem"), _SWEEP, "l_returnflag")
+
+
 @query("multinomial_fit")
 def _(spark, d):
     rows = X.table(spark, d, "lineitem")
