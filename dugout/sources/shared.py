@@ -26,7 +26,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    path = f"{shared_dir(spark)}/dugout/{label}-{uuid.uuid4().hex}"
+    """A path of its own below the shared folder, with scheme and host, so that it means the same to every reader."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/dugout/{label}-{uuid.uuid4().hex}")
+    path = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toString()
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
 

@@ -206,6 +206,13 @@ def test_extracts_are_read_by_name(spark, tmp_path):
     assert sorted((tuple(r) for r in got.collect()), key=str) == [("Ann", 90.0, 12.5, None), (None, 101.0, None, None)]
 
 
+def test_paths_say_where_they_are(spark):
+    from dugout.sources.shared import new_path
+
+    path = new_path(spark, "x")  # the shared folder of these tests is given without a scheme
+    assert path.startswith("file:/") and "/dugout/x-" in path
+
+
 def test_written_tables_can_be_removed(spark, tmp_path, monkeypatch):
     from dugout.sources import shared
 
