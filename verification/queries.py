@@ -12,7 +12,7 @@ from dugout import schema as S
 from dugout.functions import columns as C
 from dugout.functions.scoring import LinearModel, add_class_probabilities, binary_probability
 from dugout.operators import batting, clean, evaluate, indexing, levels, model, ordered, quality, radix, runvalue, smooth
-from dugout.plans import projection, season
+from dugout.plans import projection, season, standing
 from dugout.session import side_by_side
 from dugout.sources import csv_tree, incremental, ledger, publish, tables
 from dugout.sources.shared import new_path
@@ -471,6 +471,30 @@ for _method in ("m1", "m3"):
         return runvalue.run_values(_cells(spark, d)).select("season", "play_result", "plays", method)
 
 
+def _stand(spark, d) -> str:
+    """Statistics of all plays from four deliveries; the second brings right what the first had wrong, the last is a repeat."""
+    base, plays = new_path(spark, "standing"), X.plays(spark, d)
+    third = F.col("game_no") % 3
+    wrong = plays.where((third == 1) & (F.col("pitch_id") % 2 == 0)).withColumn("runs_scored", F.lit(3))
+    second = plays.where(third == 1)
+    for name, part in (("1", plays.where(third == 0).unionByName(wrong)), ("2", second), ("3", plays.where(third == 2)),
+                       ("2", second)):
+        standing.apply_delivery(part, base, name, game=("game_date", "game_no"), **_half_innings())
+    return base
+
+
+@query("standing_run_values", O.final(f"{O.PLAYS}, {O.RUN_VALUES}", "run_values", "season play_result plays", "m1 m3"))
+def _(spark, d):
+    values = runvalue.run_values(standing.standing(spark, _stand(spark, d), standing.CELLS))
+    return values.select("season", "play_result", "plays", "m1", "m3")
+
+
+@query("standing_batting_line", O.final(O.LINES, "lines", f"season batter {O.LINE_PLAIN}", O.LINE_RATES))
+def _(spark, d):
+    totals = standing.standing(spark, _stand(spark, d), standing.TOTALS)
+    return batting.batting_line(totals, minimum=X.MINIMUM, expected=False)
+
+
 @query("run_values_m2", O.final(f"{O.PLAYS}, {O.RUN_VALUES}", "run_values", "season play_result", "m2"))
 def _(spark, d):
     return runvalue.run_values_by_state(_cells(spark, d))
