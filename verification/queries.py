@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from dugout import schema as S
 from dugout.functions import columns as C
 from dugout.functions.scoring import LinearModel, add_class_probabilities, binary_probability
-from dugout.operators import batting, clean, evaluate, indexing, levels, model, ordered, quality, radix, runvalue, smooth
+from dugout.operators import batting, clean, evaluate, folds, indexing, levels, model, ordered, quality, radix, runvalue, smooth
 from dugout.plans import projection, season, standing
 from dugout.session import side_by_side
 from dugout.sources import csv_tree, incremental, ledger, publish, tables
@@ -1361,7 +1361,7 @@ def _(spark, d):
     return _horizon_moments(spark, d, "Expected")
 
 
-@query("cv_fold_moments", f"""WITH {O.BALLS}, folded AS (
+_CV_FOLD_MOMENTS = f"""WITH {O.BALLS}, folded AS (
   SELECT *, CAST((row_number() OVER (ORDER BY md5(CAST(pitch_id AS VARCHAR) || ':42'), pitch_id) - 1) % 5 + 1 AS INT) AS fold
   FROM balls)
 """ + "\nUNION ALL ".join(
@@ -1369,7 +1369,10 @@ def _(spark, d):
   round(sum({y} * exit_speed) / sum({y}), 1) AS exit_speed
 FROM folded f JOIN (SELECT DISTINCT fold FROM folded) h ON f.fold <> h.fold
 WHERE {" AND ".join(f"{c} IS NOT NULL" for c in features)} GROUP BY h.fold"""
-    for name, features in model.FEATURE_SETS.items() for y in model.OUTCOME_FLAGS))
+    for name, features in model.FEATURE_SETS.items() for y in model.OUTCOME_FLAGS)
+
+
+@query("cv_fold_moments", _CV_FOLD_MOMENTS)
 def _(spark, d):
     """Hits, and their mean speed, that every cross-validation fit expects on the rows it was trained on."""
     balls = model.kfold(clean.batted_balls(X.plays(spark, d)), ["pitch_id"])
@@ -1383,3 +1386,20 @@ def _(spark, d):
                 F.round(F.sum(p), 1).alias("hits"), F.round(F.sum(p * F.col("exit_speed")) / F.sum(p), 1).alias("exit_speed"),
             ).select(F.lit(name).alias("model_set"), F.lit(held_out).alias("held_out"), F.lit(y).alias("outcome"), "*"))
     return tables.union_sources(parts)
+
+
+@query("cv_fold_moments_together", _CV_FOLD_MOMENTS)
+def _(spark, d):
+    """The same of fits that share their passes."""
+    balls = model.kfold(clean.batted_balls(X.plays(spark, d)), ["pitch_id"])
+    fits = folds.fit_folds_together(balls).fits
+    parts = []
+    for name, features in model.FEATURE_SETS.items():
+        table = clean.hit_indicators(model.compress(balls, features, "fold", "play_result"))
+        schema = "model_set string, held_out int, outcome string, " + ", ".join(f"b{i} double" for i in range(len(features) + 1))
+        models = F.broadcast(spark.createDataFrame([f for f in fits if f[0] == name], schema))  # a row per fit
+        z = sum((F.col(f"b{i + 1}") * F.col(c) for i, c in enumerate(features)), F.col("b0"))
+        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-z)) * F.col(model.WEIGHT)
+        parts.append(table.join(models, F.col("fold") != F.col("held_out")).groupBy("model_set", "held_out", "outcome").agg(
+            F.round(F.sum(p), 1).alias("hits"), F.round(F.sum(p * F.col("exit_speed")) / F.sum(p), 1).alias("exit_speed")))
+    return tables.union_sources(parts)
