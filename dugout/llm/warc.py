@@ -10,7 +10,8 @@ up to a size limit, and fetches each joined range in one request.
 
 Defined results: a null payload is empty, a null address is written as an empty one. Of records
 with equal payloads the one with the largest page_id is the response; null ids come last, and
-rows that repeat the id of the response are responses too.
+rows that repeat the id of the response are responses too. Payloads are equal where SHA-256 and
+length agree; the SHA-1 digest that the format asks for decides nothing. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dugout.llm.common import arrow_schema, quoted, slices
+from dugout.llm.common import SLICE_BYTES, arrow_schema, quoted, slices
 from dugout.sources.shared import materialize, new_path
 
 #: rolls over to a new archive file; reads at most so much at once; reads over gaps up to this size
@@ -97,18 +98,23 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
 
 
 def plan_records(pages: DataFrame, id_col: str, url_col: str, payload_col: str, min_bytes: int) -> DataFrame:
-    """page_id, url, payload (null for revisits), n_bytes, record_type, refers_to.
+    """page_id, url, payload (null for revisits), n_bytes, sha, record_type, refers_to.
 
-    Equal payloads meet by digest and length in an aggregate over narrow rows.
+    Equal payloads meet by SHA-256 and length on rows without payload. The decisions go back to the pages by page and
+    digest, so that a payload that very many pages share is no key of a shuffle that carries payloads.
     """
     body = F.coalesce(quoted(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(
-        quoted(id_col).cast("long").alias("page_id"), quoted(url_col).cast("string").alias("url"),
-        body.alias("payload"),
-    ).withColumns({"sha": F.unhex(F.sha1("payload")), "n_bytes": F.octet_length("payload").cast("long")})
-    heads = rows.groupBy("sha", "n_bytes").agg(F.max("page_id").alias("head"))
+        quoted(id_col).cast("long").alias("page_id"), quoted(url_col).cast("string").alias("url"), body.alias("payload"),
+    ).withColumns({"sha": F.unhex(F.sha1("payload")), "strong": F.unhex(F.sha2("payload", 256)),
+                   "n_bytes": F.octet_length("payload").cast("long")})
+    narrow = rows.groupBy("page_id", "strong", "n_bytes").agg(F.lit(1))
+    heads = narrow.groupBy("strong", "n_bytes").agg(F.max("page_id").alias("head"))
+    decided = narrow.join(heads, ["strong", "n_bytes"]).select(
+        F.col("page_id").alias("__page"), F.col("strong").alias("__strong"), "head")
+    same = F.col("page_id").eqNullSafe(F.col("__page")) & (F.col("strong") == F.col("__strong"))
     revisit = (F.col("n_bytes") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("head"))
-    return rows.join(heads, ["sha", "n_bytes"]).select(
+    return rows.join(decided, same).select(
         "page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "n_bytes", "sha",
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         F.when(revisit, F.col("head")).alias("refers_to"),
@@ -165,6 +171,30 @@ def byte_ranges(index: DataFrame, gap_bytes: int = GAP_BYTES, range_bytes: int =
     )
 
 
+def records_of(raw: bytes, parts, start: int, name: str, limit: int = SLICE_BYTES):
+    """Rows of the records at ``parts`` of a range, in lists of about ``limit`` payload bytes.
+
+    A range of few bytes may hold very many: pages shrink many times over in compression.
+    """
+    rows, held = [], 0
+    for p in parts:
+        at = p["offset"] - start
+        headers, http, payload = parse_record(zlib.decompress(raw[at:at + p["length"]], wbits=31))
+        kind, digest = headers["warc-type"], headers["warc-payload-digest"].removeprefix("sha1:")
+        n_bytes = int(http["content-length"])
+        if kind == "response" and (len(payload) != n_bytes or digest_of(payload) != digest):
+            raise ValueError(f"damaged record in {name} at {p['offset']}")
+        refers = _page_of(headers["warc-refers-to"]) if kind == "revisit" else None
+        if rows and held + len(payload) > limit:
+            yield rows
+            rows, held = [], 0
+        rows.append((_page_of(headers["warc-record-id"]), n_bytes, digest, kind, refers,
+                     headers["warc-target-uri"], payload if kind == "response" else None))
+        held += len(payload)
+    if rows:
+        yield rows
+
+
 def read_records(index: DataFrame, folder: str, **limits) -> DataFrame:
     """Read the records that ``index`` lists; checks the digest of every payload read."""
 
@@ -172,25 +202,14 @@ def read_records(index: DataFrame, folder: str, **limits) -> DataFrame:
         schema = arrow_schema(RECORD + ", url string, payload binary")
         system, base = _open(folder)
         for batch in batches:
-            for r in batch.to_pylist():
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
                 with system.open_input_file(f"{base}/{r['file']}") as f:
                     f.seek(r["from"])
                     raw = f.read(r["to"] - r["from"])
-                rows = []
-                for p in r["parts"]:
-                    at = p["offset"] - r["from"]
-                    member = zlib.decompress(raw[at:at + p["length"]], wbits=31)
-                    headers, http, payload = parse_record(member)
-                    kind, digest = headers["warc-type"], headers["warc-payload-digest"].removeprefix("sha1:")
-                    n_bytes = int(http["content-length"])
-                    if kind == "response" and (len(payload) != n_bytes or digest_of(payload) != digest):
-                        raise ValueError(f"damaged record in {r['file']} at {p['offset']}")
-                    refers = _page_of(headers["warc-refers-to"]) if kind == "revisit" else None
-                    rows.append((_page_of(headers["warc-record-id"]), n_bytes, digest, kind, refers,
-                                 headers["warc-target-uri"], payload if kind == "response" else None))
-                columns = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+                for rows in records_of(raw, r["parts"], r["from"], r["file"]):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     # Range rows are tiny and what they stand for is not: deal them out by the bytes to read.
     total = index.agg(F.sum("length")).first()[0] or 0

@@ -69,6 +69,37 @@ def test_damage_is_reported():
     assert gzip.decompress(gzip.compress(raw, mtime=0)) == raw
 
 
+def test_small_ranges_of_large_payloads_come_in_slices():
+    bodies = [bytes([65 + i]) * 300_000 for i in range(10)]
+    members = [gzip.compress(warc.record_bytes(i, "u", b, "response", None, warc.digest_of(b), len(b)), mtime=0)
+               for i, b in enumerate(bodies)]
+    parts, at = [], 7
+    for m in members:
+        parts.append({"offset": at, "length": len(m)})
+        at += len(m)
+    raw = b"".join(members)
+    assert len(raw) < 20_000
+    found = list(warc.records_of(raw, parts, 7, "f", limit=700_000))
+    assert [len(rows) for rows in found] == [2] * 5
+    assert [r[-1] for rows in found for r in rows] == bodies
+    assert [len(rows) for rows in warc.records_of(raw, parts, 7, "f", limit=1)] == [1] * 10
+
+
+def test_payloads_that_share_sha1_alone_stay_apart(spark, pages, monkeypatch):
+    monkeypatch.setattr(warc.F, "sha1", lambda c: warc.F.lit("00" * 20))
+    kinds = warc.plan_records(pages, "page_id", "url", "html", 0).groupBy("record_type").count().collect()
+    assert {r["record_type"]: r["count"] for r in kinds} == {"response": 7, "revisit": 3}
+
+
+def test_no_payload_travels_under_a_key_that_pages_share(spark, pages):
+    planned = warc.plan_records(pages, "page_id", "url", "html", 0)._jdf.queryExecution()
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    blocks = planned.explainString(mode).split("\n\n")
+    shuffles = [b for b in blocks if ") Exchange\n" in b and "hashpartitioning" in b]
+    carrying = [b for b in shuffles if "payload" in b]
+    assert len(shuffles) > len(carrying) and all("hashpartitioning(coalesce(page_id" in b for b in carrying)
+
+
 def test_no_pages(spark, pages):
     index, folder = warc.archive_pages(spark, pages.limit(0))
     assert warc.read_records(index, folder).count() == 0
