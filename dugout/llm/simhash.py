@@ -3,9 +3,9 @@
 Fingerprints are computed where the texts are read. Equal fingerprints are collapsed before
 anything else, so a group of exact copies is one row from there on. Candidate pairs come from
 a pigeonhole split: two fingerprints that differ in at most ``max_distance`` of their ``blocks``
-parts agree in the others, so they meet under at least one choice of agreeing parts. Where they
-meet, the distances of every fingerprint to fixed pivots are tabled. By the triangle inequality
-two fingerprints whose distances to some pivot differ by more than the limit cannot be linked:
+parts agree in the others, so they meet under at least one choice of agreeing parts. The distances
+of every distinct fingerprint to fixed pivots are tabled once, before, and stored; a row of the table
+travels with its fingerprint as two numbers. By the triangle inequality two fingerprints whose distances to some pivot differ by more than the limit cannot be linked:
 the first pivot orders the rows, so that only a short run of neighbours is looked at, the largest
 difference over all pivots discards most of these, and the survivors are compared bit by bit.
 A task returns a spanning forest of its links and never all pairs of a group.
@@ -16,6 +16,8 @@ in links, but never name a component unless all ids in it are null.
 
 from __future__ import annotations
 
+from collections import Counter
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -30,6 +32,7 @@ from dugout.llm.components import connected_components
 from dugout.sources.shared import materialize
 
 BITS, PIVOTS, PIVOT_SEED = 64, 16, 20240229
+_NEAR = tuple(f"near{i}" for i in range(PIVOTS // 8))
 #: rows that a task compares, and the size from which rows under one key are split further
 TASK_ROWS, HOT_ROWS = 400_000, 20_000
 
@@ -129,16 +132,34 @@ def _rest_masks(blocks: int, agree: int, max_distance: int) -> list[list[int]]:
     return out
 
 
-def pivot_table(fp: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """Hamming distance of every fingerprint to every pivot."""
-    return np.bitwise_count(fp[:, None] ^ pivots[None, :]).astype(np.int8)
+def pivot_table(distinct: DataFrame) -> DataFrame:
+    """fp and its distances to the pivots, a byte each, eight to a column ``near0``, ``near1``."""
+    pivots = np.random.default_rng(PIVOT_SEED).integers(0, 2**64, PIVOTS, np.uint64).tolist()
+    far = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(p)))).cast("long") for p in pivots]
+    packed = [
+        reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(d, 8 * i) for i, d in enumerate(far[at:at + 8])])
+        for at in range(0, PIVOTS, 8)]
+    return distinct.select("fp", *[c.alias(name) for c, name in zip(packed, _NEAR)])
 
 
-def linked_forest(key: np.ndarray, fp: np.ndarray, pivots: np.ndarray, limit: int) -> np.ndarray:
-    """Pairs (fingerprint, root) that span all links between rows of equal key."""
-    table = pivot_table(fp, pivots)
+def unpacked(columns: list[np.ndarray]) -> np.ndarray:
+    """Rows of distances out of the packed columns."""
+    return np.column_stack(columns).astype("<i8").view(np.int8)
+
+
+def linked_forest(
+    key: np.ndarray, fp: np.ndarray, table: np.ndarray, limit: int, tally: Counter | None = None
+) -> np.ndarray:
+    """Pairs (fingerprint, root) that span all links between rows of equal key.
+
+    ``tally`` counts pairs: of equal key, left by the first pivot, in one tree already, discarded by the other pivots,
+    discarded by their bits, linked.
+    """
     order = np.lexsort((fp, table[:, 0], key))
     key, fp, table = key[order], fp[order], table[order]
+    tally = Counter() if tally is None else tally
+    sizes = np.unique(key, return_counts=True)[1]
+    tally["equal key"] += int((sizes * (sizes - 1) // 2).sum())
     root = np.arange(len(fp))
     at, step = np.arange(len(fp) - 1), 1
     while len(at):
@@ -146,11 +167,16 @@ def linked_forest(key: np.ndarray, fp: np.ndarray, pivots: np.ndarray, limit: in
         near = (key[at] == key[other]) & (table[other, 0] - table[at, 0] <= limit)
         at = at[near]  # sorted by the first pivot: a row that is too far stays too far
         i, j = at, at + step
+        tally["first pivot"] += len(i)
         keep = root[i] != root[j]
+        tally["one tree"] += len(i) - int(keep.sum())
         i, j = i[keep], j[keep]
         keep = np.abs(table[i] - table[j]).max(axis=1, initial=0) <= limit
+        tally["by pivots"] += len(i) - int(keep.sum())
         i, j = i[keep], j[keep]
         keep = np.bitwise_count(fp[i] ^ fp[j]) <= limit
+        tally["by bits"] += len(i) - int(keep.sum())
+        tally["linked"] += int(keep.sum())
         for a, b in zip(i[keep].tolist(), j[keep].tolist()):
             a, b = _find(root, a), _find(root, b)
             if a != b:
@@ -182,8 +208,9 @@ def _flat(root: np.ndarray) -> np.ndarray:
 def links(distinct: DataFrame, max_distance: int, *, task_rows: int = TASK_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(a, b): enough links between distinct fingerprints ``fp`` to connect all that are linked."""
     blocks, agree = split_scheme(distinct.count(), max_distance)
+    tabled = materialize(pivot_table(distinct), "simhash-pivots")
     keyed = materialize(
-        distinct.select("fp", F.explode(agreeing_keys(F.col("fp"), blocks, agree)).alias("key")), "simhash-keys"
+        tabled.select("fp", *_NEAR, F.explode(agreeing_keys(F.col("fp"), blocks, agree)).alias("key")), "simhash-keys"
     )
     # A key with many rows is split again. The bits outside the agreeing parts hold all differences;
     # cut into one more set than there may be differences, two linked fingerprints agree in one of them.
@@ -191,19 +218,18 @@ def links(distinct: DataFrame, max_distance: int, *, task_rows: int = TASK_ROWS,
     rest = F.array(*[F.array(*[F.lit(_signed(m)) for m in masks])
                      for masks in _rest_masks(blocks, agree, max_distance)])
     finer = F.transform(rest[F.col("key.choice")], lambda m: F.col("fp").bitwiseAND(m))
-    split = keyed.join(hot, "key", "left_semi").select("fp", "key", F.posexplode(finer))
-    rows = keyed.join(hot, "key", "left_anti").select("fp", F.xxhash64("key").alias("key")).unionByName(
-        split.select("fp", F.xxhash64("key", "pos", "col").alias("key")))
+    split = keyed.join(hot, "key", "left_semi").select("fp", *_NEAR, "key", F.posexplode(finer))
+    rows = keyed.join(hot, "key", "left_anti").select("fp", *_NEAR, F.xxhash64("key").alias("key")).unionByName(
+        split.select("fp", *_NEAR, F.xxhash64("key", "pos", "col").alias("key")))
     tasks = max(1, -(-keyed.count() // task_rows))
-    pivots = np.random.default_rng(PIVOT_SEED).integers(0, 2**64, PIVOTS, np.uint64)
 
     def run(batches):
         schema = arrow_schema("a long, b long")
-        parts = [(b.column("key").to_numpy(), b.column("fp").to_numpy().view(np.uint64)) for b in batches]
+        parts = [[b.column(c).to_numpy() for c in ("key", "fp", *_NEAR)] for b in batches]
         if not parts:
             return
-        found = linked_forest(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]),
-                              pivots, max_distance).view(np.int64)
+        key, fp, *near = [np.concatenate(columns) for columns in zip(*parts)]
+        found = linked_forest(key, fp.view(np.uint64), unpacked(near), max_distance).view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], schema=schema)
 
     return rows.repartition(tasks, "key").mapInArrow(run, "a long, b long")
@@ -235,6 +261,14 @@ def near_duplicates(
     )
 
 
+def _free(df: DataFrame, name: str) -> str:
+    """A name that no column of ``df`` has, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def one_per_component(
     df: DataFrame, *, shingle_words: int, max_distance: int, seed: int = 42, id_col: str = "doc_id",
     text_col: str = "text",
@@ -245,30 +279,31 @@ def one_per_component(
     id are judged each by itself; of those under the smallest id of one component the smallest fingerprint
     stays. Rows equal in id and fingerprint stay or go together.
     """
+    id_name, fp_name, mark_name = (_free(df, name) for name in ("__id", "__fp", "__mark"))
     found = materialize(near_duplicates(df, shingle_words=shingle_words, max_distance=max_distance, seed=seed,
                                         id_col=id_col, text_col=text_col), "near-duplicates")
     heads = found.where("doc_id = component_id").groupBy(F.col("component_id").alias("__head")).agg(
         F.min("fingerprint").alias("__first"))
     judged = found.where("doc_id IS NOT NULL").join(heads, F.col("component_id") == F.col("__head"), "left").select(
-        F.col("doc_id").alias("__id"), F.col("fingerprint").alias("__fp"),
-        F.coalesce((F.col("__id") == F.col("component_id")) & (F.col("__fp") == F.col("__first")), F.lit(False))
+        F.col("doc_id").alias(id_name), F.col("fingerprint").alias(fp_name),
+        F.coalesce((F.col(id_name) == F.col("component_id")) & (F.col(fp_name) == F.col("__first")), F.lit(False))
         .alias("__stays"))
-    ids = judged.groupBy("__id").agg(F.bool_and("__stays").alias("__all"), F.bool_or("__stays").alias("__any"))
+    ids = judged.groupBy(id_name).agg(F.bool_and("__stays").alias("__all"), F.bool_or("__stays").alias("__any"))
     ids = materialize(ids.where("NOT __all"), "judged-ids")
-    key = quoted(id_col).cast("long") == F.col("__id")
-    clear = df.join(ids.select("__id"), key, "left_anti")
+    key = quoted(id_col).cast("long") == F.col(id_name)
+    clear = df.join(ids.select(id_name), key, "left_anti")
     # Only ids with rows of both kinds need the fingerprint again to tell their rows apart.
-    several = materialize(ids.where("__any").select("__id"), "mixed-ids")
+    several = materialize(ids.where("__any").select(id_name), "mixed-ids")
     mixed = df.join(several, key, "left_semi")
-    kept = judged.where("__stays").select("__id", "__fp").distinct()
-    marked = T.StructType([*df.schema.fields, T.StructField("__mark", T.LongType())])
+    kept = judged.where("__stays").select(id_name, fp_name).distinct()
+    marked = T.StructType([*df.schema.fields, T.StructField(mark_name, T.LongType())])
 
     def mark(batches):
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.string()).to_pylist()
             prints = pa.array(fingerprint_batch(texts, shingle_words, seed).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns, prints], names=[*batch.schema.names, "__mark"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, prints], names=[*batch.schema.names, mark_name])
 
-    prints = F.lower(F.lpad(F.hex("__mark"), 16, "0"))
-    stay = mixed.mapInArrow(mark, marked).join(kept, key & (prints == F.col("__fp")), "left_semi")
-    return clear.unionByName(stay.drop("__mark"))
+    prints = F.lower(F.lpad(F.hex(mark_name), 16, "0"))
+    stay = mixed.mapInArrow(mark, marked).join(kept, key & (prints == F.col(fp_name)), "left_semi")
+    return clear.unionByName(stay.drop(mark_name))
