@@ -23,29 +23,52 @@ _BEFORE = (W.unboundedPreceding, -1)
 _SLOT = ["key", "measure"]
 
 
+def _size(x: Column) -> Column:
+    return F.when(F.isnan(x), F.lit(0.0)).otherwise(F.abs(x))
+
+
+def _guess(size: Column) -> Column:
+    """Binary exponent of ``size``; may be off by one next to a power of two. -1022 for zero and what is too small."""
+    exponent = F.coalesce(F.log2(size), F.lit(-1022.0))
+    return F.greatest(F.lit(-1022), F.least(F.lit(1023.0), F.floor(exponent).cast("double")).cast("int"))
+
+
+def _scaled(size: Column, guess: Column) -> Column:
+    """``size`` over the power of two of its guess, which is exact: from 1 up to 2 where the guess is right."""
+    return size / F.pow(F.lit(2.0), guess)
+
+
+def _bits(x: Column, guess: Column, scaled: Column) -> Column:
+    """The whole number of :func:`order_bits`; never null, so that joins on it need no filter that repeats it."""
+    place = lambda e, m: (e + 1022).cast("long") * F.lit(1 << 52) + (m * F.lit(2.0**52)).cast("long")
+    size = F.when(scaled == float("inf"), F.lit(2047 << 52)).when(scaled >= 2, place(guess + 1, scaled / 2)).when(
+        (scaled < 1) & (guess > -1022), place(guess - 1, scaled * 2)).otherwise(place(guess, scaled))
+    return F.coalesce(F.when(x < 0, F.negative(size)).otherwise(size), F.lit(0).cast("long"))
+
+
 def order_bits(x: Column) -> Column:
     """Whole number in the order of the doubles: sign, exponent and 52 bits of fraction. 0.0 and -0.0 are equal.
 
     Made by arithmetic on powers of two, which is exact, so that it stays inside generated code.
     """
-    two, size = F.lit(2.0), F.when(F.isnan(x), F.lit(0.0)).otherwise(F.abs(x))
-    guess = F.floor(F.log2(size)).cast("int")  # may be off by one next to a power of two
-    exponent = F.greatest(F.lit(-1022), F.when(size < F.pow(two, guess), guess - 1).when(
-        size >= F.pow(two, guess + 1), guess + 1).otherwise(guess))
-    fraction = (size / F.pow(two, exponent) * F.lit(2.0**52)).cast("long")
-    bits = F.when(size == 0, F.lit(0).cast("long")).when(size == float("inf"), F.lit(2047 << 52)).otherwise(
-        (exponent + 1022).cast("long") * F.lit(1 << 52) + fraction)
-    return F.when(x < 0, -bits).otherwise(bits)
+    size = _size(x)
+    return _bits(x, _guess(size), _scaled(size, _guess(size)))
 
 
 def _points(df: DataFrame, values: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """(key, measure, v, bits): one row per measure that is there; null and NaN are missing."""
+    """(key, measure, v, bits): one row per measure that is there; null and NaN are missing.
+
+    The bits are made in steps, each a column that the next ones use several times: as one expression they repeat their
+    parts so often that the generated method is too long to be compiled.
+    """
     measures = F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("v")) for c in values])
     if len(values) == 1:
         rows = df.select(key_of(*by).alias("key"), F.lit(values[0]).alias("measure"), F.col(values[0]).cast("double").alias("v"))
     else:
         rows = df.select(key_of(*by).alias("key"), F.inline(measures))
-    return rows.where(F.col("v").isNotNull() & ~F.isnan("v")).withColumn("bits", order_bits(F.col("v")))
+    there = rows.where(F.col("v").isNotNull() & ~F.isnan("v")).withColumn("size", _size(F.col("v")))
+    placed = there.withColumn("guess", _guess(F.col("size"))).withColumn("scaled", _scaled(F.col("size"), F.col("guess")))
+    return placed.select("key", "measure", "v", _bits(F.col("v"), F.col("guess"), F.col("scaled")).alias("bits"))
 
 
 def _count(points: DataFrame, slots: Sequence[str], shift: int) -> DataFrame:

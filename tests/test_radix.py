@@ -92,6 +92,23 @@ def test_bits_are_those_of_the_double(spark):
         assert r["bits"] == (-bits if r["v"] < 0 else bits), r["v"]
 
 
+def test_generated_code_of_the_passes_is_short_enough_to_be_compiled(spark):
+    """The JVM interprets a method of over 8,000 bytes, which makes every pass many times slower."""
+    df = spark.range(100).selectExpr("id % 3 AS g", "id * 0.5 AS a", "id * 0.25 AS b")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        points = radix._points(df, ["a", "b"], ["g"])
+        counted = radix._count(points, radix._SLOT, radix.SHIFTS[0])
+        held = points.withColumn("prefix", F.shiftright("bits", radix.SHIFTS[0])).join(
+            counted.select("key", "measure", F.col("slot").alias("prefix")), ["key", "measure", "prefix"])
+        for passed in (counted, held):
+            stages = passed._jdf.queryExecution().debug().codegenToSeq()
+            longest = max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size()))
+            assert 0 < longest < 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_measures_share_their_passes_and_only_histograms_move(spark):
     df = spark.range(20_000).selectExpr("id % 3 AS g", "id * 0.5 AS a", "IF(id % 7 = 0, NULL, -id) AS b", "double('NaN') AS c")
     got = radix.quantiles(df, ["a", "b", "c"], by=["g"], probs=[0.5], names=["median"])
