@@ -69,6 +69,7 @@ def report_models(
     A set keeps its row, with ``n = 0`` and null rates, when no test row could be scored; unscored
     rows count as ``dropped``.
     """
+    profiles = materialize(profiles, "profiles")  # the split reads them for every step that looks for its cuts
     split = materialize(stratified_split(profiles, ids, label, p=p, seed=seed), "split")
     spark = split.sparkSession
     train, test = split.where("is_train"), split.where(~F.col("is_train"))

@@ -304,3 +304,18 @@ def test_split_moves_no_row(spark):
     assert "Exchange hashpartitioning" not in plan and "Sort" not in plan and "BroadcastHashJoin" in plan
     assert split.columns == ["id", "y", "other", "is_train"] and split.where("is_train").count() == 3 * 1334 - 2 + 1
     assert model.stratified_split(df.limit(0), ["id"], "y").count() == 0
+
+
+def test_reports_compute_their_profiles_once(spark):
+    """The split looks for its cuts in several passes; none of them may compute the profiles again."""
+    computed = spark.sparkContext.accumulator(0)
+
+    def name(x):
+        computed.add(1)
+        return "AB"[x % 2]
+
+    label = F.udf(name, "string").asNondeterministic()
+    profiles = spark.range(60).repartition(3).withColumns({"u": F.col("id") % 7 * 0.5, "label": label("id")})
+    found = projection.report_models(profiles, ["id"], "label", ["A", "B"], predictor_sets={"one": ["u"]})
+    assert computed.value == 60
+    assert sorted(r["is_train"] for r in found.split.collect()).count(True) == 48
