@@ -1,5 +1,7 @@
 """The operators against plain definitions, on odd tables and on the small test tables."""
 
+import random
+
 import public_tokenizers
 import pytest
 
@@ -291,6 +293,40 @@ def test_language_of_odd_rows(make, odd_rows):
     assert kept.columns == make(odd_rows).columns and kept.count() < len(odd_rows)
 
 
+def test_margin_from_which_languages_are_reliable():
+    narrow = [(0.001 * (i % 9), i % 2 == 0) for i in range(90)]  # half right, whatever the margin
+    wide = [(0.05 + 0.001 * i, i != 70) for i in range(100)]
+    assert 0.008 < language_id.reliable_margin(narrow + wide, 0.95) <= 0.05
+    assert language_id.reliable_margin(wide, 0.95) == 0.05
+    assert language_id.reliable_margin([(m, True) for m, _ in narrow + wide], 0.95) == language_id.MIN_MARGIN
+    assert language_id.reliable_margin([(m, False) for m, _ in narrow + wide], 0.95) == float("inf")
+    assert language_id.reliable_margin(narrow, 0.95) == language_id.MIN_MARGIN  # too few rows to tell
+
+
+def test_documents_of_no_certain_language_are_rejected(make):
+    rng = random.Random(4)
+    letters = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(400)]
+    pools = {"aa": letters[:200], "bb": letters[200:]}
+    rows, langs = [], {}
+    for i in range(900):
+        lang = ("aa", "bb")[i % 2]
+        mixed = i % 9 == 0  # words of both languages, either label
+        langs[i] = (lang, mixed)
+        rows.append((i, " ".join(rng.choices(letters if mixed else pools[lang], k=80))))
+    docs = make(rows).join(make([]).sparkSession.createDataFrame(
+        [(i, lang) for i, (lang, _) in langs.items()], "doc_id long, lang string"), "doc_id")
+    model = language_id.fit_languages(docs, dictionary_bytes=8000)
+    assert model.min_margin > 0.005
+    kept = {r["doc_id"] for r in language_id.keep_identified(docs, model).collect()}
+    plain = [i for i, (_, mixed) in langs.items() if not mixed]
+    assert sum(i in kept for i in plain) >= 0.99 * len(plain)
+    assert len(kept) - len(kept & set(plain)) <= 0.5 * (len(langs) - len(plain))
+    found = language_id.classify_languages(docs, model).collect()
+    assert {r["doc_id"] for r in found if not r["rejected"]} == kept
+    every = language_id.keep_identified(docs, model, min_margin=language_id.MIN_MARGIN)
+    assert every.count() >= 0.98 * len(langs)
+
+
 def test_size_of_the_dictionary_is_a_parameter(make):
     rows = [(i, " ".join(f"w{chr(97 + i % 26)}{chr(97 + k % 26)}" for k in range(100))) for i in range(40)]
     docs = make(rows).selectExpr("*", "'xx' AS lang")
