@@ -1393,13 +1393,14 @@ def _(spark, d):
     """The same of fits that share their passes."""
     balls = model.kfold(clean.batted_balls(X.plays(spark, d)), ["pitch_id"])
     fits = folds.fit_folds_together(balls).fits
-    parts = []
+    numbers, parts = sorted({f[1] for f in fits}), []
     for name, features in model.FEATURE_SETS.items():
         table = clean.hit_indicators(model.compress(balls, features, "fold", "play_result"))
-        schema = "model_set string, held_out int, outcome string, " + ", ".join(f"b{i} double" for i in range(len(features) + 1))
-        models = F.broadcast(spark.createDataFrame([f for f in fits if f[0] == name], schema))  # a row per fit
+        schema = "fold int, model_set string, held_out int, outcome string, " + ", ".join(f"b{i} double" for i in range(len(features) + 1))
+        models = F.broadcast(spark.createDataFrame(  # a row per fit and fold it was trained on
+            [(fold, *f) for f in fits if f[0] == name for fold in numbers if fold != f[1]], schema))
         z = sum((F.col(f"b{i + 1}") * F.col(c) for i, c in enumerate(features)), F.col("b0"))
         p = F.lit(1.0) / (F.lit(1.0) + F.exp(-z)) * F.col(model.WEIGHT)
-        parts.append(table.join(models, F.col("fold") != F.col("held_out")).groupBy("model_set", "held_out", "outcome").agg(
+        parts.append(table.join(models, "fold").groupBy("model_set", "held_out", "outcome").agg(
             F.round(F.sum(p), 1).alias("hits"), F.round(F.sum(p * F.col("exit_speed")) / F.sum(p), 1).alias("exit_speed")))
     return tables.union_sources(parts)
